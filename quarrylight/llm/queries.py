@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, chat_format, exact_dedup, packing, quality_rules
+from quarrylight.llm import bpe, chat_format, exact_dedup, html_extract, near_dedup, packing, pii, quality_rules, toxicity
 from quarrylight.llm.common import table
 
 #: Where the public vocabulary files are; read by the driver only.
@@ -25,6 +25,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*names)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = map(count, pii.KINDS)
+    return rows.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base_spans")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -32,6 +39,19 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(rows.unionByName(planted))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -44,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", pre_token_pattern())
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_chat_format, op8_exact_dedup, op9_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_chat_format, op5_html_extract, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_packing, op10_bpe)}
 
 ORACLES = {
     "op4_chat_format": r"""
