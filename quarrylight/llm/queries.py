@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, chat_format, exact_dedup, html_extract, near_dedup, packing, pii, quality_rules, toxicity
+from quarrylight.llm import bpe, chat_format, exact_dedup, html_extract, lm_score, near_dedup, packing, pii, quality_rules, toxicity
 from quarrylight.llm.common import table
 
 #: Where the public vocabulary files are; read by the driver only.
@@ -20,6 +20,10 @@ def pre_token_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*names)
@@ -64,7 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", pre_token_pattern())
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_pii, op4_chat_format, op5_html_extract, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_quality_rules, op3_pii, op4_chat_format, op5_html_extract, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_packing, op10_bpe)}
 
 ORACLES = {
     "op4_chat_format": r"""
