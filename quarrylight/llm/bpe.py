@@ -83,37 +83,41 @@ class Bpe:
         self.queue = RankQueue(len(self.vocabulary))
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. The queue's push is written out where it is called most."""
         ranks, queue, n = self.ranks, self.queue, len(piece)
-        if piece in ranks:
-            return [ranks[piece]]
+        whole = ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        get, push, pop, buckets = ranks.get, queue.push, queue.pop, queue.buckets
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pair: list[int | None] = [ranks.get(piece[i : i + 2]) for i in range(n - 1)]
+        pair = [get(piece[i : i + 2]) for i in range(n - 1)]
         pair.append(None)
         for i, rank in enumerate(pair):
             if rank is not None:
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions come in order: still a heap
+                else:
+                    push(rank, i)
+        while (found := pop()) is not None:
             rank, i = found
             if pair[i] != rank:
                 continue  # stale: the pair that began here has changed
             gone = after[i]
-            end = after[gone]
-            after[i] = end
+            end = after[i] = after[gone]
             pair[gone] = None
             if end < n:
                 before[end] = i
-                rank = pair[i] = ranks.get(piece[i : after[end]])
+                rank = pair[i] = get(piece[i : after[end]])
                 if rank is not None:
-                    queue.push(rank, i)
+                    push(rank, i)
             else:
                 pair[i] = None
             left = before[i]
             if left >= 0:
-                rank = pair[left] = ranks.get(piece[left:end])
+                rank = pair[left] = get(piece[left:end])
                 if rank is not None:
-                    queue.push(rank, left)
+                    push(rank, left)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -139,7 +143,7 @@ def coder(file: bytes, pattern: str) -> tuple[Bpe, PieceEncoder]:
     key = (zlib.crc32(file), pattern)
     if key not in _coders:
         bpe = Bpe(read_ranks(file), pattern)
-        _coders[key] = bpe, PieceEncoder(lambda xs: [np.array(bpe.encode(x), "<u4").tobytes() for x in xs])
+        _coders[key] = bpe, PieceEncoder(lambda xs: [np.array(bpe.encode(x), "<u4").tobytes() for x in xs], pattern)
     return _coders[key]
 
 

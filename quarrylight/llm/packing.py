@@ -28,25 +28,53 @@ from quarrylight.llm.common import text_of
 #: Cutting before a single space between two other characters never splits a pre-token, whatever stands around it.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 ODD_SPACE = re.compile(r"\s | \s|^ | $")
-CACHED = 400_000
+#: Entries of each table of pieces, some 200 bytes each.
+CACHED = 700_000
+#: How byte-level BPE of this vocabulary cuts texts into pre-tokens.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, piece_no long"
 
 
 class PieceEncoder:
-    """Token ids as little-endian bytes, by a table of the pieces seen before; encode_many gives the ids of new pieces."""
+    """Token ids as little-endian bytes, by tables of pieces and pre-tokens seen before; encode_many gives the ids of new ones.
+
+    A table of pieces that is full becomes the old one, from which what is
+    still in use moves over to the new.  Pieces of Latin letters are cut into
+    pre-tokens, which recur more often than pieces; others are encoded whole, as
+    tables of letters may differ between libraries beyond them.
+    """
+
+    def __init__(self, encode_many, pattern: str, cached: int = CACHED):
+        import regex
 
-    def __init__(self, encode_many, cached: int = CACHED):
         self.encode_many, self.cached = encode_many, cached
+        self.find = regex.compile(pattern).findall
         self.spaced: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.spaced))
+        new = words.difference(self.spaced)
         if len(self.spaced) + len(new) > self.cached:
-            self.spaced.clear()
-            new = list(words)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            self.spaced.update(zip(part, self.encode_many([" " + w for w in part]), strict=True))
+            self.old, self.spaced, new = self.spaced, {}, words
+        if len(self.tokens) > self.cached:
+            self.tokens = {}
+        cut, unknown = [], {}
+        for w in new:
+            ids = self.old.get(w)
+            if ids is not None:
+                self.spaced[w] = ids
+                continue
+            piece = " " + w
+            parts = self.find(piece) if max(piece) < "\u0250" else [piece]
+            cut.append((w, parts))
+            for p in parts:
+                if p not in self.tokens:
+                    unknown[p] = None
+        names = list(unknown)
+        self.tokens.update(zip(names, self.encode_many(names), strict=True))
+        for w, parts in cut:
+            self.spaced[w] = self.tokens[parts[0]] if len(parts) == 1 else b"".join([self.tokens[p] for p in parts])
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -75,7 +103,7 @@ def library_encoder(file: bytes) -> PieceEncoder:
         tok = Tokenizer.from_buffer(file)
         tok.encode_special_tokens = True
         batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
-        _encoders[key] = PieceEncoder(lambda xs: [np.array(e.ids, "<u4").tobytes() for e in batch(xs, add_special_tokens=False)])
+        _encoders[key] = PieceEncoder(lambda xs: [np.array(e.ids, "<u4").tobytes() for e in batch(xs, add_special_tokens=False)], PRE_TOKENS)
     return _encoders[key]
 
 
