@@ -21,7 +21,7 @@ from quarrylight.llm.common import bucket_of, text_of
 BITS = 18
 FACTORS = 8
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hash of their id.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.1, 2e-5
 MIN_TEXTS = 3
 #: Terms that the machine weighs: those whose presence tells most about the label, by the log-likelihood ratio.
@@ -146,7 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     chosen = marked.select("__id", "label", F.xxhash64("__id").alias("h")).orderBy("h", "label").limit(sample)
     rows = docs.select(docs[id_col].alias("__id"), text_of(docs, text_col).alias("text")).join(F.broadcast(chosen), "__id").select("h", "label", "text")
     got = rows.mapInArrow(_features, "h long, label int, terms array<int>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
-    return train([np.asarray(x, np.int32) for x in got["terms"].to_pylist()], got["label"].to_numpy().astype(float))
+    found = got["terms"].combine_chunks()
+    values, bounds = found.values.to_numpy(), found.offsets.to_numpy()
+    return train([values[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)], got["label"].to_numpy().astype(float))
 
 
 def _score(shipped):
