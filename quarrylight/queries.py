@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import vectors
+from quarrylight.plans import relational, vectors
 
 FLAGSHIP = "retrieve_minimal"
 QUERIES, ORACLES = {}, {}
-for _module in (vectors,):
+for _module in (vectors, relational):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
