@@ -1 +1 @@
-
+"""Column functions on texts and addresses."""

@@ -1 +1 @@
-
+"""Operators on DataFrames that the queries are composed of."""

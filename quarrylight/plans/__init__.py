@@ -1 +1,27 @@
+"""Queries by area; each module registers its queries with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Slate:
+    """Queries and their oracles, by name."""
+
+    def __init__(self):
+        self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+        self.oracles: dict[str, str] = {}
+
+    def __call__(self, sql: str):
+        def add(query):
+            self.queries[query.__name__] = query
+            self.oracles[query.__name__] = sql
+            return query
+
+        return add
