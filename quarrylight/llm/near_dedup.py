@@ -198,9 +198,15 @@ def release(df: DataFrame) -> None:
 
 
 def _cross(rows: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in different components; for small buckets."""
-    other = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
-    return rows.select("key", F.col("id").alias("x"), "comp").join(other, "key").filter("x < y AND comp <> cy").select("x", "y").distinct()
+    """Pairs of members of one bucket in different components and on fitting sides; for small buckets.
+
+    Of buckets with the same members one is enough; they are told by two sums of hashes and their size.
+    """
+    mark = lambda seed: F.sum(F.shiftright(F.xxhash64(F.lit(seed), "id", "side"), 12))
+    marked = rows.groupBy("key").agg(mark(1).alias("a"), mark(2).alias("b"), F.count("*").alias("size"))
+    rows = rows.join(marked.groupBy("a", "b", "size").agg(F.min("key").alias("key")).select("key"), "key")
+    other = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("side").alias("sy"))
+    return rows.select("key", F.col("id").alias("x"), "comp", "side").join(other, "key").filter("x < y AND comp <> cy AND side + sy = 0").select("x", "y").distinct()
 
 
 def _deltas(width: int):
@@ -220,7 +226,7 @@ def _deltas(width: int):
 
 
 def delta_buckets(found: Clusters, rows: DataFrame) -> DataFrame:
-    """(key, id) buckets, small as a rule, that hold every pair still to be compared in large buckets (key, id).
+    """(key, id, side) buckets, small as a rule, that hold every pair still to be compared in large buckets (key, id).
 
     Members are described by their difference to one member c, well linked if
     possible.  With d = |x delta c| and G(x) = (100 + p) d(x) - (100 - p) |x|,
@@ -228,7 +234,8 @@ def delta_buckets(found: Clusters, rows: DataFrame) -> DataFrame:
     (G(x) + G(y)) / 2 (100 + p) shingles.  Where that is not above 0 the member
     with the least G is linked with both; all other linked pairs share one of
     the rarest elements of their differences (prefix filtering), how many depending on
-    both: members are classed by G and meet in buckets of two classes.
+    both: members are classed by G and meet in buckets of two classes, where
+    `side` tells them apart: pairs of one class are those of its own bucket (0 and 0), others those of -1 and 1.
     """
     p = found.percent
     degree = found.links.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
@@ -250,7 +257,7 @@ def delta_buckets(found: Clusters, rows: DataFrame) -> DataFrame:
     # elements of one component alone come first in the order and lead to no pair: they use up the prefix
     rest = F.col("d") - need + 1 - (F.col("d") - F.size("all"))
     picked = classed.withColumn("rest", rest.cast("int")).filter("rest > 0").withColumn("s", F.explode(F.slice("all", F.lit(1), F.col("rest"))))
-    return picked.select("id", F.xxhash64("s.key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    return picked.select("id", F.xxhash64("s.key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     found.compare(pairs)
 
     left = tables.join(ends, "key").filter("id <> lo AND id <> hi").select("key", "id")
-    still = written(found.open_buckets(left), "open")
+    still = written(found.open_buckets(left.withColumn("side", F.lit(0))), "open")
     found.compare(_cross(still.filter(F.col("n") <= SMALL_BUCKET)))
     large = still.filter(F.col("n") > SMALL_BUCKET).select("key", "id")
     large = written(found.open_buckets(large).select("key", "id"), "large")
@@ -311,15 +318,15 @@ def peel(found: Clusters, buckets: DataFrame) -> None:
     """Settle buckets of any size: small ones at once; of others one member a round is compared with all, and leaves."""
     buckets = written(buckets, "prefixes")
     while True:
-        rows = written(found.open_buckets(buckets).select("key", "id", "comp", "n"), "round")
+        rows = written(found.open_buckets(buckets).select("key", "id", "side", "comp", "n"), "round")
         if not rows.head(1):
             return
         found.compare(_cross(rows.filter(F.col("n") <= PREFIX_BUCKET)))
-        rows = rows.filter(F.col("n") > PREFIX_BUCKET).select("key", "id")
+        rows = rows.filter(F.col("n") > PREFIX_BUCKET).select("key", "id", "side")
         if not rows.head(1):
             return
         centre = rows.groupBy("key").agg(F.min("id").alias("x"))
         rows = rows.join(centre, "key").filter("id <> x")
         found.compare(rows.select("x", F.col("id").alias("y")).distinct())
         drop(buckets)
-        buckets = written(rows.select("key", "id"), "prefixes")
+        buckets = written(rows.select("key", "id", "side"), "prefixes")
