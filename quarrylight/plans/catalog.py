@@ -105,11 +105,11 @@ def gap_clusters(spark, sf_dir):
     return g.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), (F.max("bottom") - F.min("top")).alias("height"))
 
 
-@slate("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN (value / 10)::BIGINT END AS sr, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
+@slate("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN floor(value / 10)::BIGINT END AS sr, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
     SELECT user_id, event_id, coalesce(sr, i + greatest(0, coalesce(max(sr - i) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS serial FROM e""")
 def serial_fill(spark, sf_dir):
     """Stated serial numbers stay; others go on from the highest before them."""
-    sr = F.when(F.col("event_type") == "purchase", F.round(F.col("value") / 10).cast("long"))
+    sr = F.when(F.col("event_type") == "purchase", F.floor(F.col("value") / 10))
     e = rows.numbered(read(spark, sf_dir, "events"), "i", ["user_id"], "ts", "event_id").withColumn("sr", sr)
     before = F.max(F.col("sr") - F.col("i")).over(W.partitionBy("user_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
     return e.withColumn("b", before).select("user_id", "event_id", F.coalesce("sr", F.col("i") + F.greatest(F.lit(0), F.coalesce("b", F.lit(0)))).cast("long").alias("serial"))
