@@ -37,6 +37,8 @@ SMALL_BUCKET = 8
 PREFIX_BUCKET = 512
 #: Classes of members by their distance from the centre, see delta_buckets.
 CLASSES = 32
+#: The texts to compare on are fetched in so many rounds, so that the shuffle holds a part of all texts at a time.
+TEXT_ROUNDS = 4
 WORDS_CACHED = 400_000
 
 
@@ -197,6 +199,17 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def texts_of(plain: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, text) of the members, fetched by parts of the ids."""
+    part = F.pmod(F.xxhash64("id"), F.lit(TEXT_ROUNDS))
+    plain, out = plain.select(F.col("doc_id").alias("id"), "text"), None
+    for at in range(TEXT_ROUNDS):
+        found = written(plain.filter(part == at).join(members.filter(part == at), "id"), "texts")
+        out = found if out is None else out.unionByName(found)
+        release(plain)
+    return out
+
+
 def _cross(rows: DataFrame) -> DataFrame:
     """Pairs of members of one bucket in different components and on fitting sides; for small buckets.
 
@@ -289,8 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     pairs = written(stars.select(F.least("id", "end").alias("x"), F.greatest("id", "end").alias("y")).groupBy("x", "y").agg(F.count("*").alias("n")), "stars")
     release(docs)
 
-    members = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    texts = written(plain.join(members, plain["doc_id"] == members["id"]).select("id", "text"), "texts")
+    texts = texts_of(plain, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
     found = Clusters(texts, sizes, width, percent)
     found.compare(pairs.groupBy("y").agg(F.max_by("x", "n").alias("x")))
     found.compare(pairs)
