@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarrylight.llm.common import text_of
-from quarrylight.llm.packing import PieceEncoder
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -135,6 +135,66 @@ def read_ranks(file: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file.splitlines()) if token}
 
 
+#: Cutting before a single space between two other characters never splits a pre-token, whatever stands around it.
+SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+ODD_SPACE = re.compile(r"\s | \s|^ | $")
+#: Entries of each table of pieces, some 200 bytes each.
+CACHED = 700_000
+
+
+class PieceEncoder:
+    """Token ids as little-endian bytes, by tables of pieces and pre-tokens seen before; encode_many gives the ids of new ones.
+
+    A table of pieces that is full becomes the old one, from which what is
+    still in use moves over to the new.  Pieces of Latin letters are cut into
+    pre-tokens, which recur more often than pieces; others are encoded whole, as
+    tables of letters may differ between libraries beyond them.
+    """
+
+    def __init__(self, encode_many, pattern: str, cached: int = CACHED):
+        import regex
+
+        self.encode_many, self.cached = encode_many, cached
+        self.find = regex.compile(pattern).findall
+        self.spaced: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.spaced)
+        if len(self.spaced) + len(new) > self.cached:
+            self.old, self.spaced, new = self.spaced, {}, words
+        if len(self.tokens) > self.cached:
+            self.tokens = {}
+        cut, unknown = [], {}
+        for w in new:
+            ids = self.old.get(w)
+            if ids is not None:
+                self.spaced[w] = ids
+                continue
+            piece = " " + w
+            parts = self.find(piece) if max(piece) < "\u0250" else [piece]
+            cut.append((w, parts))
+            for p in parts:
+                if p not in self.tokens:
+                    unknown[p] = None
+        names = list(unknown)
+        self.tokens.update(zip(names, self.encode_many(names), strict=True))
+        for w, parts in cut:
+            self.spaced[w] = self.tokens[parts[0]] if len(parts) == 1 else b"".join([self.tokens[p] for p in parts])
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if ODD_SPACE.search(text):
+            first, *rest = SAFE_CUT.split(text)
+            rest = [x[1:] for x in rest]
+        else:
+            first, *rest = text.split(" ")
+        self._learn(set(rest))
+        return b"".join([self.encode_many([first])[0], *map(self.spaced.__getitem__, rest)])
+
+
 _coders: dict[tuple[int, str], tuple[Bpe, PieceEncoder]] = {}
 
 

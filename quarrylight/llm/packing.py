@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import re
+import json
+import operator
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,107 +27,106 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import text_of
 
-#: Cutting before a single space between two other characters never splits a pre-token, whatever stands around it.
-SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-ODD_SPACE = re.compile(r"\s | \s|^ | $")
-#: Entries of each table of pieces, some 200 bytes each.
-CACHED = 700_000
-#: How byte-level BPE of this vocabulary cuts texts into pre-tokens.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, piece_no long"
 
 
-class PieceEncoder:
-    """Token ids as little-endian bytes, by tables of pieces and pre-tokens seen before; encode_many gives the ids of new ones.
+#: How byte-level BPE of these files cuts texts into pre-tokens, without back-tracking.
+RANK_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
-    A table of pieces that is full becomes the old one, from which what is
-    still in use moves over to the new.  Pieces of Latin letters are cut into
-    pre-tokens, which recur more often than pieces; others are encoded whole, as
-    tables of letters may differ between libraries beyond them.
-    """
 
-    def __init__(self, encode_many, pattern: str, cached: int = CACHED):
-        import regex
-
-        self.encode_many, self.cached = encode_many, cached
-        self.find = regex.compile(pattern).findall
-        self.spaced: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = words.difference(self.spaced)
-        if len(self.spaced) + len(new) > self.cached:
-            self.old, self.spaced, new = self.spaced, {}, words
-        if len(self.tokens) > self.cached:
-            self.tokens = {}
-        cut, unknown = [], {}
-        for w in new:
-            ids = self.old.get(w)
-            if ids is not None:
-                self.spaced[w] = ids
-                continue
-            piece = " " + w
-            parts = self.find(piece) if max(piece) < "\u0250" else [piece]
-            cut.append((w, parts))
-            for p in parts:
-                if p not in self.tokens:
-                    unknown[p] = None
-        names = list(unknown)
-        self.tokens.update(zip(names, self.encode_many(names), strict=True))
-        for w, parts in cut:
-            self.spaced[w] = self.tokens[parts[0]] if len(parts) == 1 else b"".join([self.tokens[p] for p in parts])
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if ODD_SPACE.search(text):
-            first, *rest = SAFE_CUT.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        self._learn(set(rest))
-        return b"".join([self.encode_many([first])[0], *map(self.spaced.__getitem__, rest)])
+class TextEncoder:
+    """Token ids of a whole text as little-endian bytes."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+
+_encoders: dict[int, TextEncoder] = {}
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level BPE writes bytes as: printable ones are themselves, others follow from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("\u00a1"), ord("\u00ac") + 1), *range(ord("\u00ae"), ord("\u00ff") + 1)]
+    rest = [x for x in range(256) if x not in set(plain)]
+    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(rest)}
 
 
-_encoders: dict[int, PieceEncoder] = {}
+def ranks_of(file: bytes) -> dict[bytes, int] | None:
+    """Tokens with their ids as merge ranks, or None where the file says more than ranks can (a normalizer, added words, another order of merges)."""
+    said = json.loads(file)
+    cut, model = said.get("pre_tokenizer") or {}, said["model"]
+    if said.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or model.get("ignore_merges") or model.get("dropout") or any(not x["special"] for x in said.get("added_tokens", [])):
+        return None
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    ids, letters = model["vocab"], byte_letters()
+    merged = [ids["".join(x)] for x in pairs]
+    if any(a >= b for a, b in itertools.pairwise(merged)) or not all(x in ids and ids[x] < (merged or [256])[0] for x in letters):
+        return None
+    return {bytes([letters[c] for c in w]): ids[w] for w in [*letters, *("".join(x) for x in pairs)]}
 
 
-def library_encoder(file: bytes) -> PieceEncoder:
-    """An encoder by the tokenizers library; one per worker process and file."""
+def library_encoder(file: bytes) -> TextEncoder:
+    """An encoder for a file of the tokenizers library; one per worker process and file.
+
+    Files that are plain ranks are encoded by the library of ranks, which takes a
+    third of the time and gives the same ids; others by the tokenizers library.
+    """
     key = zlib.crc32(file)
     if key not in _encoders:
-        import os
+        ranks = ranks_of(file)
+        if ranks:
+            from tiktoken import Encoding
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+            core = Encoding("packing", pat_str=RANK_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+            nothing: set[str] = set()
+            _encoders[key] = TextEncoder(lambda text: bytes(core.encode_to_tiktoken_buffer(text, nothing)))
+        else:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_buffer(file)
-        tok.encode_special_tokens = True
-        batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
-        _encoders[key] = PieceEncoder(lambda xs: [np.array(e.ids, "<u4").tobytes() for e in batch(xs, add_special_tokens=False)], PRE_TOKENS)
+            tok = Tokenizer.from_buffer(file)
+            tok.encode_special_tokens = True
+            _encoders[key] = TextEncoder(lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
     return _encoders[key]
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Indices of `sizes` in k windows, by the largest differencing method; ties go to what came first."""
-    heap = []
-    for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [[i]] + [[] for _ in range(k - 1)]))
+    """Indices of `sizes` in k windows, by the largest differencing method; ties go to what came first.
+
+    A partial partition lists its windows that hold something, largest first, as
+    (minus the sum above the smallest, what lies in it); empty ones are not kept.
+    What lies in a window is an index or a pair of such, flattened at the end.
+    """
+    heap = [(-s, i, [(-s, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     for n in itertools.count(len(sizes)):
         if len(heap) == 1:
-            return heap[0][3]
-        _, _, a, mine = heapq.heappop(heap)
-        _, _, b, other = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        sums -= sums[-1]
-        other.reverse()
-        heapq.heappush(heap, (-int(sums[0]), n, sums, [mine[j] + other[j] for j in order.tolist()]))
+            found = [flat(held) for _, held in heap[0][2]]
+            return found + [[] for _ in range(k - len(found))]
+        _, _, mine = heapq.heappop(heap)
+        _, _, other = heapq.heappop(heap)
+        alone, free = k - len(other), k - len(mine)
+        if free >= len(other):
+            merged = mine + other
+        else:  # the largest of one meets the smallest of the other, empty windows included
+            merged = mine[:alone] + other[:free]
+            merged += [(x + y, (held, more)) for (x, held), (y, more) in zip(mine[alone:], reversed(other[free:]), strict=True)]
+        merged.sort(key=operator.itemgetter(0))
+        if len(merged) == k and merged[-1][0]:
+            low = merged[-1][0]
+            merged = [(x - low, held) for x, held in merged]
+        heapq.heappush(heap, (merged[0][0], n, merged))
+
+
+def flat(held) -> list[int]:
+    out, left = [], [held]
+    while left:
+        x = left.pop()
+        if isinstance(x, tuple):
+            left += (x[1], x[0])
+        else:
+            out.append(x)
+    return out
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
