@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import catalog, documents, relational, retrieval, vectors
+from quarrylight.plans import catalog, documents, relational, retrieval, structure, vectors
 
 FLAGSHIP = "retrieve_minimal"
 QUERIES, ORACLES = {}, {}
-for _module in (vectors, relational, retrieval, documents, catalog):
+for _module in (vectors, relational, retrieval, documents, catalog, structure):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
