@@ -1,13 +1,16 @@
 """Language-model scores by online logistic context mixing.
 
 A byte is coded as the binary decisions on its path through a Huffman tree of
-the training bytes.  For each decision, predictors keyed by hashes of the last
-2, 4 and 6 bytes and the tree's node give log odds from counts over the whole
-training corpus.  A mixer adds them with weights chosen by a gate (how much the
-two longer contexts have seen) and refines these weights online along each
-text: a block of bytes is predicted with what the blocks before it taught, so
-that every probability depends on earlier bytes alone.  The tables have a fixed
-size however large the corpus is; counts are summed by slices.
+the training bytes.  For each decision, predictors keyed by the last 2, 4 and 6
+bytes and the tree's node give log odds from counts over the whole training
+corpus.  A mixer adds them with weights chosen by a gate (how much the two
+longer contexts have seen) and refines these weights online along each text: a
+block of bytes is predicted with what the blocks before it taught, so that
+every probability depends on earlier bytes alone.
+
+The counts are exact and grow with the corpus: rows are cut into chunks of
+text, each chunk sends the counts of the bytes after its contexts to buckets of
+contexts, where they are added up, and gets back those of the contexts it has.
 
 Beside it stands a unigram base over words, whose counts grow with the corpus:
 frequent words are looked up in a broadcast table of bounded size, all others
@@ -18,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import bucket_of, text_of, written
 
 ORDERS = (2, 4, 6)
+#: Places of a table in memory, at least: it has 256 for each context of the texts it serves.
 BITS = 20
-SLICES = 64
+#: Bytes of text that ask for counts together, chunks a bucket of contexts, and bytes laid out at a time.
+CHUNK, CHUNKS_A_BUCKET, GROUP = 16 << 20, 1, 1 << 19
 BLOCK = 256
 GATES = 16
 START_WEIGHT, RATE = 0.45, 0.02
@@ -39,9 +43,6 @@ START_WEIGHT, RATE = 0.45, 0.02
 FREQUENT, FREQUENT_BYTES = 100_000, 64
 HELD_OUT = 7, 2
 
-_MASK = np.uint32((1 << BITS) - 1)
-_MUL = np.uint32(0x9E3779B1)
-
 
 class Code:
     """A binary code of bytes: for each byte its path of (node, bit) in a Huffman tree of the given counts."""
@@ -65,7 +66,7 @@ class Code:
             paths.append(path[::-1])
         self.length = np.array([len(p) for p in paths], np.int32)
         self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int32)
-        self.node = (np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x85EBCA6B)) ^ np.uint32(0x27D4EB2F)
+        self.node = np.array([n for p in paths for n, _ in p], np.int32)
         self.bit = np.array([b for p in paths for _, b in p], np.int8)
 
     def decisions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +83,14 @@ def lowered(text: str) -> bytes:
 
 
 def contexts(padded: np.ndarray) -> list[np.ndarray]:
-    """For each order, a hash of the bytes before each place of `padded`; texts are preceded by ORDERS[-1] zeros."""
+    """For each order, the bytes before each place of `padded` as a number; texts are preceded by ORDERS[-1] zeros."""
     n, top = len(padded), ORDERS[-1]
-    wide = padded.astype(np.uint32)
-    out, h = [], np.full(n - top, np.uint32(1))
+    wide = padded.astype(np.int64)
+    out, h = [], np.zeros(n - top, np.int64)
     for back in range(1, top + 1):
-        h = (h ^ wide[top - back : n - back]) * _MUL
-        h ^= h >> np.uint32(15)
+        h = h | wide[top - back : n - back] << 8 * (back - 1)
         if back in ORDERS:
-            out.append((h * _MUL) ^ np.uint32(back))
+            out.append(h)
     return out
 
 
@@ -105,12 +105,11 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     return padded[top:][place], owner, [c[place] for c in contexts(padded)]
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    h = (context + node) * _MUL
-    return (h >> np.uint32(32 - BITS)).astype(np.int32)
+def slots(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
+    return (context << 8 | node) & (size - 1)
 
 
-def _groups(texts: Iterator[bytes], size: int = 1 << 21) -> Iterator[list[bytes]]:
+def _groups(texts: Iterator[bytes], size: int = GROUP) -> Iterator[list[bytes]]:
     group, total = [], 0
     for t in texts:
         if group and total + len(t) > size:
@@ -144,41 +143,152 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([1] * len(used), pa.int32()), pa.array([bytes([b]) for b in used], pa.binary()), pa.array(histogram[used], pa.int64())], ["kind", "word", "n"])
 
 
-def _count_bits(code: Code):
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Differences of the numbers, byte by byte, which the shuffle's compression makes small."""
+    return np.diff(numbers, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
+def joined(blobs: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([unpacked(b.as_py()) for b in blobs] or [np.empty(0, np.int64)])
+
+
+def tagged(k: int, contexts: np.ndarray) -> np.ndarray:
+    return np.int64(k) << 48 | contexts
+
+
+def gathered(training: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, contexts of `others` that are in no key): a key is the order, a context and a byte after it in `training`."""
+    whole, rest = [], []
+    for group in _groups(iter(training)):
+        data, _, ctx = laid_out(group)
+        whole.append(np.unique(ctx[-1] << 8 | data, return_counts=True))
+    for group in _groups(iter(others)):
+        rest.append(np.unique(laid_out(group)[2][-1]))
+    none = np.empty(0, np.int64)
+    seven, counts = added(np.concatenate([none, *(k for k, _ in whole)]), np.concatenate([none, *(c for _, c in whole)]))
+    more = np.unique(np.concatenate([none, *rest]))
+    low, top = 8 * ORDERS[0], len(ORDERS) - 1
+    two, sums = added(seven & ((1 << low + 8) - 1), counts)
+    keys = np.concatenate([tagged(0, two >> 8) << 8 | two & 255, tagged(top, seven >> 8) << 8 | seven & 255])
+    asked = np.concatenate([tagged(0, np.unique(more & ((1 << low) - 1))), tagged(top, more)])
+    return keys, np.concatenate([sums, counts]), np.setdiff1d(asked, keys >> 8)
+
+
+def middle(contexts: np.ndarray) -> np.ndarray:
+    """The contexts of the middle order that the longest ones end in."""
+    return tagged(1, contexts[contexts >> 48 == len(ORDERS) - 1] & ((1 << 8 * ORDERS[1]) - 1))
+
+
+def spread(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts with those of the middle order, which follow from the longest contexts."""
+    longest = (keys >> 8) >> 48 == len(ORDERS) - 1
+    between_them, sums = added(middle(keys >> 8) << 8 | keys[longest] & 255, counts[longest])
+    return added(np.concatenate([keys, between_them]), np.concatenate([counts, sums]))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+    rows, total = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and total + len(row[3]) > size:
+                yield rows
+                rows, total = [], 0
+            rows.append(row)
+            total += len(row[3])
+    if rows:
+        yield rows
+
+
+def _deal(size: int):
+    """Rows (rid, doc_id, held_out, text) with the chunk each is in: the first rid of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << BITS
-        tables = [np.zeros(2 * size, np.int64) for _ in ORDERS]
-        texts = (lowered(t.as_py()) for batch in batches for t in batch.column(0))
-        for group in _groups(texts):
-            data, _, ctx = laid_out(group)
-            for lo in range(0, len(data), 1 << 17):
-                part = data[lo : lo + (1 << 17)]
-                which, entry = code.decisions(part)
-                node, bit = code.node[entry], code.bit[entry]
-                for k, c in enumerate(ctx):
-                    tables[k] += np.bincount(2 * slots(c[lo : lo + (1 << 17)][which], node) + bit, minlength=2 * size)
-        each = 2 * size // SLICES
-        names, blobs = [], []
-        for k, t in enumerate(tables):
-            for s in range(SLICES):
-                part = t[s * each : (s + 1) * each]
-                if part.any():
-                    names.append(k * SLICES + s)
-                    blobs.append(zlib.compress(part.astype(np.uint32).tobytes(), 1))
-        yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
+        first, total = None, 0
+        for batch in batches:
+            chunk = []
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if first is None or total + len(text) > size:
+                    first, total = rid, 0
+                chunk.append(first)
+                total += len(text)
+            yield pa.record_batch([pa.array(chunk, pa.int64()), *batch.columns], ["chunk", "rid", "doc_id", "held_out", "text"])
 
     return run
 
 
-def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each slice of this partition, added up as they stream by."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts = np.frombuffer(zlib.decompress(blob.as_py()), np.uint32).astype(np.int64)
-            total[s] = total[s] + counts if s in total else counts
-    packed = [zlib.compress(odds(c).tobytes(), 1) for c in total.values()]
-    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["slice", "odds"])
+def _gather(buckets: int, size: int):
+    """Each chunk's counts and questions by bucket, cut as `_deal` cuts."""
+
+    def bucket(contexts: np.ndarray) -> np.ndarray:
+        longest = contexts >> 48 == len(ORDERS) - 1
+        h = np.where(longest, contexts & ((1 << 8 * ORDERS[1]) - 1), contexts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+    def counts_of(rows: list[tuple]) -> pa.RecordBatch:
+        keys, counts, more = gathered([lowered(r[3]) for r in rows if not r[2]], [lowered(r[3]) for r in rows if r[2]])
+        mine, other = bucket(keys >> 8), bucket(more)
+        order, rest = np.argsort(mine, kind="stable"), np.argsort(other, kind="stable")
+        keys, counts, more = keys[order], counts[order], more[rest]
+        at, to = np.searchsorted(mine[order], np.arange(buckets + 1)), np.searchsorted(other[rest], np.arange(buckets + 1))
+        used = [b for b in range(buckets) if at[b] < at[b + 1] or to[b] < to[b + 1]]
+        blobs = [[packed(a[x[b] : x[b + 1]]) for b in used] for a, x in ((keys, at), (counts, at), (more, to))]
+        return pa.record_batch([pa.array([rows[0][0]] * len(used), pa.int64()), pa.array(used, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["chunk", "bucket", "keys", "counts", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _chunks(batches, size):
+            yield counts_of(rows)
+
+    return run
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """For each chunk that sent to this bucket, the counts over all chunks of the contexts it has."""
+    keys, counts = spread(*added(joined(asked["keys"]), joined(asked["counts"])))
+    chunks, blobs = [], []
+    for chunk, own, more in zip(asked["chunk"].to_pylist(), asked["keys"], asked["more"], strict=True):
+        wanted = np.union1d(unpacked(own.as_py()) >> 8, unpacked(more.as_py()))
+        _, index = between(keys, np.union1d(wanted, middle(wanted)))
+        if len(index):
+            chunks.append(chunk)
+            blobs.append((packed(keys[index]), packed(counts[index])))
+    return pa.table([pa.array(chunks, pa.int64()), pa.array([k for k, _ in blobs], pa.binary()), pa.array([c for _, c in blobs], pa.binary())], ["chunk", "keys", "counts"])
+
+
+def between(keys: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the contexts, which of the sorted keys) for every key of one of the contexts."""
+    lo, hi = np.searchsorted(keys, contexts << 8), np.searchsorted(keys, (contexts + 1) << 8)
+    n = hi - lo
+    return np.repeat(np.arange(len(contexts)), n), np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+
+
+def table_of(k: int, ctx: np.ndarray, code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the context at each place, table of odds by number and node) for the k-th order."""
+    distinct, number = np.unique(ctx, return_inverse=True)
+    table = np.zeros(1 << max(BITS, (256 * len(distinct) - 1).bit_length()), np.int16)
+    owner, index = between(keys, tagged(k, distinct))
+    if len(index):
+        which, entry = code.decisions((keys[index] & 255).astype(np.uint8))
+        place, bit, n = owner[which] << 8 | code.node[entry], code.bit[entry], counts[index][which]
+        order = np.argsort(place)
+        place, ones, n = place[order], (n * bit)[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        one = np.add.reduceat(ones, first)
+        table[place[first]] = odds(np.stack([np.add.reduceat(n, first) - one, one], 1).ravel())
+    return number.astype(np.int32), table
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
@@ -190,10 +300,20 @@ def odds(counts: np.ndarray) -> np.ndarray:
     return (np.clip(np.rint(value * 512), -8190, 8190).astype(np.int16) << 2) | seen.astype(np.int16)
 
 
-def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each text; what is read of a text depends on that text alone."""
+def modelled(texts: list[bytes], code: Code, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Natural log probability of each text by sorted keys and counts, which have all that is known of its contexts."""
+    numbers, tables = zip(*(table_of(k, c, code, keys, counts) for k, c in enumerate(laid_out(texts)[2])), strict=True)
+    return log_probabilities(texts, code, list(tables), list(numbers))
+
+
+def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray], numbers: list[np.ndarray] | None = None) -> np.ndarray:
+    """Natural log probability of each text; what is read of a text depends on that text alone.
+
+    `numbers` says which context of the tables stands at each place; without it a context is its own number.
+    """
     total = np.zeros(len(texts))
     data, owner, ctx = laid_out(texts)
+    ctx = numbers or ctx
     if not len(data):
         return total
     first = np.zeros(len(texts), np.int64)
@@ -207,7 +327,7 @@ def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray])
         which, entry = code.decisions(data[lo:hi])
         node = code.node[entry]
         sign = (2 * code.bit[entry] - 1).astype(np.float32)
-        found = [t[slots(c[lo:hi][which], node)] for t, c in zip(tables, ctx, strict=True)]
+        found = [t[slots(c[lo:hi][which], node, len(t))] for t, c in zip(tables, ctx, strict=True)]
         gate = ((found[-1] & 3) << 2 | (found[-2] & 3)).astype(np.int32)
         mine = owner[lo:hi][which]
         chosen = mine * GATES + gate
@@ -227,43 +347,43 @@ def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray])
 
 
 def _score(shipped):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tables, frequent = shipped.value
-        for batch in batches:
-            texts = [lowered(t.as_py()) for t in batch.column(3)]
-            scores = np.concatenate([log_probabilities(g, code, tables) for g in _groups(iter(texts))] or [np.empty(0)]) / np.log(10)
-            n_tokens, known, base, rare = [], [], [], []
-            for data in texts:
-                counts = Counter(data.split())
-                counts[b""] = 1
-                k, total, others = 0, 0.0, []
-                for word, n in counts.items():
-                    c = frequent.get(word)
-                    if c is None:
-                        others.append({"word": word, "n": n})
-                    else:
-                        k += n
-                        total += n * c
-                n_tokens.append(sum(counts.values()))
-                known.append(k)
-                base.append(total)
-                rare.append(others)
-            yield pa.record_batch(
-                [*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(scores, pa.float64()), pa.array([len(t) for t in texts], pa.int64())],
-                ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "rare", "score", "n_bytes"],
-            )
+    def run(answers: pa.Table, rows: pa.Table) -> pa.Table:
+        code, frequent = shipped.value
+        keys, sums = added(joined(answers["keys"]), joined(answers["counts"]))
+        texts = [lowered(t.as_py()) for t in rows["text"]]
+        scores = np.concatenate([modelled(g, code, keys, sums) for g in _groups(iter(texts))] or [np.empty(0)]) / np.log(10)
+        n_tokens, known, base, rare = [], [], [], []
+        for data in texts:
+            counts = Counter(data.split())
+            counts[b""] = 1
+            k, total, others = 0, 0.0, []
+            for word, n in counts.items():
+                c = frequent.get(word)
+                if c is None:
+                    others.append({"word": word, "n": n})
+                else:
+                    k += n
+                    total += n * c
+            n_tokens.append(sum(counts.values()))
+            known.append(k)
+            base.append(total)
+            rare.append(others)
+        return pa.table(
+            [rows["rid"], rows["doc_id"], rows["held_out"], pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(scores, pa.float64()), pa.array([len(t) for t in texts], pa.int64())],
+            ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "rare", "score", "n_bytes"],
+        )
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of `docs`.
 
     Trained on the rows whose crc32(id) mod 7 is not 2.  Null texts count as
     empty: their score is 0 and their bits per byte null.  Null ids train and are
     scored; repeated rows count each; without training rows the tables are
     empty and every decision costs a bit; an empty table gives no rows; other
-    columns are ignored.
+    columns are ignored.  `docs` must read the same twice.
     """
     spark = docs.sparkSession
     modulus, out = HELD_OUT
@@ -280,15 +400,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     frequent = dict(zip(top["word"].to_pylist(), np.log10(top["c"].to_numpy() + 1.0).tolist(), strict=True))
 
     code = Code(histogram)
-    parts = training.mapInArrow(_count_bits(code), "slice int, counts binary")
-    summed = parts.repartition("slice").mapInArrow(_sum_slices, "slice int, odds binary").toArrow()
-    tables = [np.zeros(1 << BITS, np.int16) for _ in ORDERS]
-    each = (1 << BITS) // SLICES
-    for s, blob in zip(summed["slice"].to_pylist(), summed["odds"].to_pylist(), strict=True):
-        tables[s // SLICES][s % SLICES * each : (s % SLICES + 1) * each] = np.frombuffer(zlib.decompress(blob), np.int16)
-
-    shipped = spark.sparkContext.broadcast((code, tables, frequent))
-    scored = rows.mapInArrow(_score(shipped), "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, rare array<struct<word:binary,n:long>>, score double, n_bytes long")
+    buckets = sum(histogram) // (chunk * CHUNKS_A_BUCKET) + 1
+    asked = rows.mapInArrow(_gather(buckets, chunk), "chunk long, bucket int, keys binary, counts binary, more binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, keys binary, counts binary")
+    texts = rows.mapInArrow(_deal(chunk), "chunk long, rid long, doc_id long, held_out boolean, text string")
+    shipped = spark.sparkContext.broadcast((code, frequent))
+    scored = answers.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_score(shipped), "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, rare array<struct<word:binary,n:long>>, score double, n_bytes long")
     scored = written(scored, "scored")
     rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(words, "word")
     sums = rare.groupBy("rid").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("l"))

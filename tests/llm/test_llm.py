@@ -200,6 +200,40 @@ def test_scores_are_probabilities():
     assert abs(np.exp(ends - base).sum() - 1) < 1e-3
 
 
+def test_other_text_does_not_overwrite_contexts(spark):
+    """What was learnt of a text stays, however many other contexts there are; chunks and buckets change nothing."""
+    rng = np.random.default_rng(5)
+    prose = "the quick brown fox jumps over the lazy dog while seven wizards brew a potion of jade and onyx. "
+    rows = [(i, prose) for i in range(40)] + [(100 + i, "".join(rng.choice(list("0123456789#@!?:;<>"), 20_000))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole, cut = ({r.doc_id: r.score for r in lm_score.score(docs, chunk=c).collect()} for c in (lm_score.CHUNK, 400_000))
+    assert whole.keys() == cut.keys() and all(math.isclose(whole[i], cut[i], rel_tol=1e-6) for i in whole)
+    assert -whole[0] * math.log2(10) / len(prose) < 0.5
+
+
+def test_context_tables_hold_exact_counts():
+    texts = [b"abracadabra abracadabra", b"bracken and cadaver", b"abrasive"]
+    code = lm_score.Code([1] * 256)
+    keys, counts, more = lm_score.gathered(texts[:2], texts[2:])
+    keys, counts = lm_score.spread(keys, counts)
+    more = np.setdiff1d(np.union1d(more, lm_score.middle(more)), keys >> 8)
+    for k, order in enumerate(lm_score.ORDERS):
+        seen = collections.Counter((p[i : i + order], p[i + order]) for t in texts[:2] for p in [bytes(order) + t] for i in range(len(t)))
+        mine = (keys >> 56) == k
+        assert {(((int(x) >> 8) & ((1 << 8 * order) - 1)).to_bytes(order, "big"), int(x) & 255): int(n) for x, n in zip(keys[mine], counts[mine], strict=True)} == seen
+        asked = {p[i : i + order] for p in [bytes(order) + texts[2]] for i in range(len(texts[2]))} - {c for c, _ in seen}
+        assert {(int(x) & ((1 << 8 * order) - 1)).to_bytes(order, "big") for x in more[(more >> 48) == k]} == asked
+        ctx = lm_score.laid_out([texts[0]])[2][k]
+        number, table = lm_score.table_of(k, ctx, code, keys, counts)
+        for at in range(len(ctx)):
+            which, entry = code.decisions(np.arange(256, dtype=np.uint8))
+            context = int(ctx[at]).to_bytes(order, "big")
+            for node in np.unique(code.node[entry[which == texts[0][at]]]):
+                on = code.node[entry] == node
+                pair = [sum(seen[context, int(b)] for b in which[on & (code.bit[entry] == bit)]) for bit in (0, 1)]
+                assert table[lm_score.slots(number[at : at + 1], node, len(table))[0]] == lm_score.odds(np.array(pair))[0]
+
+
 def test_machine_learns_a_pair():
     rng = np.random.default_rng(0)
     rows = [np.array(sorted({int(a), int(b), 5 + int(c)})) for a, b, c in zip(rng.choice([1, 2], 3000), rng.choice([3, 4], 3000), rng.integers(0, 40, 3000), strict=True)]
