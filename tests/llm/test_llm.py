@@ -177,6 +177,21 @@ def test_wrapper_drops_what_is_constant(spark):
     assert out[3].text == "Story 3 is about xxx." and out[9].text == "" and out[10].n_chars == 0
 
 
+def test_slots_decide_inside_and_outside_articles(spark):
+    story = lambda i: "".join(f"<p>Part {k} of story {i} in its own words.</p>" for k in range(1 + i % 4))
+    inside = lambda i: f"<html><body><article><p>By the desk of our paper</p>{story(i)}<p>Write to us for more</p></article></body></html>"
+    teaser = lambda i: f"<html><body><div>{story(i)}</div><article><p>Teaser {i}</p></article></body></html>"
+    empty = lambda i: f"<html><body><article></article>{story(i)}</body></html>"
+    alone = "<html><body><div>Site slogan</div><article><p>All of the one story here</p></article></body></html>"
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page(i)) for k, page in enumerate((inside, teaser, empty)) for i in range(8)] + [(900, "http://one.example/", alone)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        parts = [f"Part {k} of story {i} in its own words." for k in range(1 + i % 4)]
+        assert out[i] == "\n\n".join(parts) == out[200 + i]
+        assert out[100 + i] == "\n\n".join([*parts, f"Teaser {i}"])
+    assert out[900] == "All of the one story here"
+
+
 def test_base_score_matches_brute_force(documents, texts):
     counts = collections.Counter()
     for i, t in texts.items():
