@@ -43,6 +43,11 @@ def openable(url: Column, suffix: str) -> Column:
 ANY = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
+def once(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once a row: a lambda variable holds it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def part(url: Column, n: int) -> Column:
     """Scheme (1), host and port (2), path (3), query (4); empty where there is none."""
     return F.regexp_extract(F.trim(url), ANY, n)
@@ -83,15 +88,21 @@ def site_path(url: Column) -> Column:
 
 def canonicalised(url: Column, base: Column | None = None, keep_paths: tuple = config.KEEP_QUERY_PATHS, keep_keys: tuple = config.KEEP_QUERY_KEYS) -> Column:
     """https unless said, lower-case host, a closing slash unless the last segment has a dot, no fragment; of the query chosen keys on chosen paths."""
-    u = F.trim(resolved(F.trim(url), base) if base is not None else url)
-    where = F.regexp_replace(F.when(part(u, 3) == "", "/").otherwise(part(u, 3)), r";[^/]*$", "")
-    last = F.regexp_extract(F.regexp_replace(where, "/+$", ""), r"([^/]*)$", 1)
-    bare = F.regexp_replace(where, "/+$", "")
-    shown = F.when(last.contains(".") & ~last.startswith("."), F.when(bare == "", "/").otherwise(bare)).when(where.endswith("/"), where).otherwise(F.concat(where, F.lit("/")))
-    key = F.when(bare == "", "/").otherwise(bare)
-    pairs = F.filter(F.split(part(u, 4), "&"), lambda p: F.lower(F.substring_index(p, "=", 1)).isin(*keep_keys) & (F.length(p) > F.length(F.substring_index(p, "=", 1)) + 1))
-    query = F.when(key.isin(*keep_paths) & (F.size(pairs) > 0), F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
-    return F.concat(F.when(part(u, 1) == "", "https").otherwise(F.lower(part(u, 1))), F.lit("://"), F.lower(part(u, 2)), shown, query)
+
+    def made(u: Column) -> Column:
+        where = F.regexp_replace(F.when(part(u, 3) == "", "/").otherwise(part(u, 3)), r";[^/]*$", "")
+        return once(where, lambda w: F.concat(F.when(part(u, 1) == "", "https").otherwise(F.lower(part(u, 1))), F.lit("://"), F.lower(part(u, 2)), shown(w), query(u, w)))
+
+    def shown(where: Column) -> Column:
+        bare = F.regexp_replace(where, "/+$", "")
+        last = F.regexp_extract(bare, r"([^/]*)$", 1)
+        return F.when(last.contains(".") & ~last.startswith("."), F.when(bare == "", "/").otherwise(bare)).when(where.endswith("/"), where).otherwise(F.concat(where, F.lit("/")))
+
+    def query(u: Column, where: Column) -> Column:
+        pairs = F.filter(F.split(part(u, 4), "&"), lambda p: F.lower(F.substring_index(p, "=", 1)).isin(*keep_keys) & (F.length(p) > F.length(F.substring_index(p, "=", 1)) + 1))
+        return F.when(F.regexp_replace(where, "/+$", "").isin(*keep_paths) & (F.size(pairs) > 0), F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
+
+    return once(F.trim(resolved(F.trim(url), base) if base is not None else url), made)
 
 
 def listing_base(url: Column) -> Column:

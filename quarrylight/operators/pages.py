@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,27 +123,42 @@ def rich_text(node: pd.Series) -> pd.Series:
 def pair_blocks(blocks: DataFrame, most: int, headers: frozenset[str] = frozenset()) -> DataFrame:
     """page, left_text, right_text: each left block, from the top, takes the nearest right one still free, within `most`.
 
-    `blocks` has page, side (left or right), top, bottom, text.  Order decides, so
-    a page is one group; a page's blocks are few.  Headings and bare numbers on
+    `blocks` has page, side (left or right), top, bottom, text.  Order decides, so a
+    page's rows come together, sorted, and stream through a task; a page's blocks are few.  Headings and bare numbers on
     the left are left out, headings on the right never taken; ties go to the upper.
     """
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "bottom", "text"])
-        low = page["text"].str.lower().str.strip()
-        heading = low.isin(headers)
-        right = page[(page["side"] == "right") & ~heading & (low != "frequency")]
-        skipped = heading | low.str.replace(".", "").isin(headers) | (low.str.contains("particular") & (low.str.len() < 20)) | low.str.isdigit()
-        tops, bottoms, texts = right["top"].to_numpy(), right["bottom"].to_numpy(), right["text"].tolist()
-        free, out = np.ones(len(texts), bool), []
-        for x in page[(page["side"] == "left") & ~skipped].itertuples():
-            away = np.where(free, np.maximum(0, np.maximum(tops - x.bottom, x.top - bottoms)), np.iinfo(np.int64).max)
-            best = int(away.argmin()) if free.any() else -1
-            taken = best >= 0 and away[best] <= most
-            if taken:
-                free[best] = False
-            out.append((x.page, x.text, texts[best] if taken else ""))
-        return pd.DataFrame(out, columns=["page", "left_text", "right_text"])
-
-    kept = blocks.select("page", "side", F.col("top").cast("long"), F.col("bottom").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return kept.groupBy("page").applyInPandas(run, "page long, left_text string, right_text string")
+    def paired(page, rows: list[tuple]) -> list[tuple]:
+        left, right = [], []
+        for side, top, bottom, text in rows:
+            low = text.lower().strip()
+            if low in headers:
+                continue
+            if side == "right":
+                if low != "frequency":
+                    right.append((top, bottom, text))
+            elif side == "left" and not (low.replace(".", "") in headers or low.isdigit() or ("particular" in low and len(low) < 20)):
+                left.append((top, bottom, text))
+        free, out = list(range(len(right))), []
+        for top, bottom, text in left:
+            best = min(free, key=lambda i: max(0, right[i][0] - bottom, top - right[i][1]), default=None)
+            if best is not None and max(0, right[best][0] - bottom, top - right[best][1]) <= most:
+                free.remove(best)
+                out.append((page, text, right[best][2]))
+            else:
+                out.append((page, text, ""))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+        for page, group in itertools.groupby(rows, key=lambda r: r[0]):
+            out += paired(page, [r[1:] for r in group])
+            if len(out) >= 20_000:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out = []
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, kinds, strict=True)], names)
+
+    names, kinds = ["page", "left_text", "right_text"], [pa.int64(), pa.string(), pa.string()]
+    kept = blocks.select(F.col("page").cast("long"), "side", F.col("top").cast("long"), F.col("bottom").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return kept.repartition("page").sortWithinPartitions("page", "top", "bottom", "text").mapInArrow(run, "page long, left_text string, right_text string")

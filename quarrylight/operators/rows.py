@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Sides of up to so many rows are broadcast; larger ones are joined as Spark sees fit.
-BROADCAST_ROWS = 20_000
+#: Sides of at most so many rows and bytes are broadcast; larger ones are joined as Spark sees fit.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint where it has at most `rows` rows and their texts and lists `size` bytes; the look stops one row later."""
+    some = df.limit(rows + 1)
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    n, held = some.agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(16 * len(df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint where it has at most `rows` rows; the count stops there."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once and its lineage cut, by a checkpoint in the folder of spark.checkpoint.dir; without one in local mode a temporary folder does."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="quarrylight-"))
+    return df.checkpoint()
 
 
 def numbered(df: DataFrame, name: str, keys: list[str], *order: str | Column) -> DataFrame:

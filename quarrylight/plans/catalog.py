@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from quarrylight.functions import text
 from quarrylight.operators import rows
+from quarrylight.operators.retrieval import contained
 from quarrylight.plans import Slate, read
 
 slate = Slate()
@@ -136,9 +137,10 @@ HITS = "SELECT item_id, doc_id, lang FROM documents, (SELECT item_id, lower(text
 
 
 def _hits(spark, sf_dir):
-    needles = read(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.lower("text").alias("low"))
-    return docs.join(rows.broadcast_if_small(needles), F.contains("low", "needle")).select("item_id", "doc_id", "lang")
+    needles = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("title"), F.lower("text").alias("t"))
+    docs = read(spark, sf_dir, "documents")
+    found = contained(docs.select(F.col("doc_id").alias("doc"), F.lower("text").alias("low")), needles)
+    return found.select(F.col("title").alias("item_id"), F.col("doc").alias("doc_id")).join(docs.select("doc_id", "lang"), "doc_id")
 
 
 @slate(f"WITH h AS ({HITS}) SELECT item_id, count(doc_id) AS docs, CASE WHEN count(doc_id) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM benchmark LEFT JOIN h USING (item_id) GROUP BY item_id")

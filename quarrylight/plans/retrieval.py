@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text
 from quarrylight.operators import rows
+from quarrylight.operators.retrieval import contained
+from quarrylight.operators.vectors import top_k
 from quarrylight.plans import Slate, read
-from quarrylight.plans.vectors import chunks_and_questions, top_k
+from quarrylight.plans.vectors import chunks_and_questions
 
 slate = Slate()
 SCORED = """
@@ -37,9 +39,9 @@ def vector_topk(spark, sf_dir):
         FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0 AND (c.label IN (1, 3) OR (c.label = 5 AND q.label = 5)))
     SELECT query_id, vec_id, label, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored QUALIFY rank <= 10""")
 def vector_topk_filtered(spark, sf_dir):
-    """Top 10 under a metadata filter with OR and AND; the filter is part of the join condition."""
+    """Top 10 under a metadata filter with OR and AND; the filter is part of the search."""
     chunks, questions = chunks_and_questions(spark, sf_dir)
-    return top_k(chunks, questions, 10, F.expr("label IN (1, 3) OR (label = 5 AND query_label = 5)"))
+    return top_k(chunks, questions, 10, lambda label, wanted, _: ((label == 1) | (label == 3))[:, None] | ((label == 5)[:, None] & (wanted == 5)))
 
 
 @slate("""
@@ -51,7 +53,7 @@ def vector_topk_filtered(spark, sf_dir):
 def vector_filter_fallback(spark, sf_dir):
     """Top 5 under a filter; questions that it leaves without a row are answered unfiltered."""
     chunks, questions = chunks_and_questions(spark, sf_dir)
-    kept = top_k(chunks, questions, 5, F.expr("label = (query_id div 100) % 12"))
+    kept = top_k(chunks, questions, 5, lambda label, _, query_id: label[:, None] == query_id // 100 % 12)
     rest = top_k(chunks, questions, 5).join(kept.select("query_id").distinct(), "query_id", "left_anti")
     return kept.unionByName(rest).select("query_id", "vec_id", "score", "rank")
 
@@ -109,17 +111,17 @@ TITLES = "SELECT item_id, lower(text) AS title FROM benchmark WHERE length(text)
     SELECT doc_id, item_id, (row_number() OVER (PARTITION BY doc_id ORDER BY length(title) DESC, item_id))::INT AS position FROM documents, b WHERE contains(lower(text), title)""")
 def title_contains_join(spark, sf_dir):
     """Titles of 20 and more characters that a text contains, longest first."""
-    titles = read(spark, sf_dir, "benchmark").filter(F.length("text") >= 20).select("item_id", F.lower("text").alias("title"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    hits = docs.join(rows.broadcast_if_small(titles), F.contains("low", "title")).select("doc_id", "item_id", F.length("title").alias("n"))
+    titles = read(spark, sf_dir, "benchmark").filter(F.length("text") >= 20).select(F.col("item_id").alias("title"), F.lower("text").alias("t"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lower("text").alias("low"))
+    hits = contained(docs, titles).join(rows.broadcast_if_small(titles), "title").select(F.col("doc").alias("doc_id"), F.col("title").alias("item_id"), F.length("t").alias("n"))
     return rows.numbered(hits, "position", ["doc_id"], F.desc("n"), "item_id").select("doc_id", "item_id", "position")
 
 
 def bm25_scores(docs: DataFrame, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(item_id, doc_id, score): BM25 of every document that has a term of the question; postings only of asked terms."""
+    """(item_id, doc_id, score): BM25 of every document that has a term of the question; postings only of asked terms, all terms of every question."""
     tokens = docs.select("doc_id", text.terms(F.col("text")).alias("terms"))
     sizes = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
-    query = asked.select("item_id", F.explode(F.array_distinct(F.slice(text.terms(F.col("text")), 1, 12))).alias("term"))
+    query = asked.select("item_id", F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
     postings = tokens.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(rows.broadcast_if_small(query.select("term").distinct()), "term", "left_semi")
     tf = postings.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -131,7 +133,7 @@ def bm25_scores(docs: DataFrame, asked: DataFrame, k1: float = 1.5, b: float = 0
 BM25_SQL = """
     WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS terms FROM documents),
     s AS (SELECT count(*) AS docs, avg(len(terms)) AS mean FROM t),
-    q AS (SELECT item_id, unnest(list_distinct(list_slice(regexp_extract_all(lower(text), '[a-z]{3,}'), 1, 12))) AS term FROM benchmark),
+    q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS term FROM benchmark),
     p AS (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM t),
     tf AS (SELECT term, doc_id, len, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -156,8 +158,8 @@ def hybrid_rrf(spark, sf_dir):
     """Reciprocal rank fusion of BM25 and exact containment."""
     docs, asked = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     lexical = rows.numbered(bm25_scores(docs, asked), "ra", ["item_id"], F.desc("score"), "doc_id").filter("ra <= 20").select("item_id", "doc_id", "ra")
-    titles = rows.broadcast_if_small(asked.select("item_id", F.lower("text").alias("title")))
-    exact = docs.select("doc_id", F.lower("text").alias("low"), F.length("text").alias("n")).join(titles, F.contains("low", "title"))
+    hits = contained(docs.select(F.col("doc_id").alias("doc"), F.lower("text").alias("low")), asked.select(F.col("item_id").alias("title"), F.lower("text").alias("t")))
+    exact = hits.select(F.col("doc").alias("doc_id"), F.col("title").alias("item_id")).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
     exact = rows.numbered(exact, "re", ["item_id"], "n", "doc_id").filter("re <= 20").select("item_id", "doc_id", "re")
     fused = lexical.join(exact, ["item_id", "doc_id"], "full_outer").withColumn("score", F.round(F.expr("coalesce(0.4D / (60 + ra), 0) + coalesce(0.6D / (60 + re), 0)"), 9))
     return rows.numbered(fused, "rank", ["item_id"], F.desc("score"), "doc_id").filter("rank <= 10").select("item_id", "doc_id", "score", "rank")

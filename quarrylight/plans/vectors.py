@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarrylight.operators.vectors import top_k
+
 #: Rows with these remainders stand in for questions.
 QUESTIONS = 100
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays of numbers, in double."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def top_k(chunks: DataFrame, questions: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
-    """(query_id, vec_id, label, score, rank): the k best chunks of every question; ties go to the smaller id.
-
-    The questions are the small side of a stated query set: they are broadcast
-    after the caller has bounded them.  Each task keeps k rows a question
-    before anything is shuffled.
-    """
-    scored = chunks.join(F.broadcast(questions), allowed if allowed is not None else F.lit(True)).select(
-        "query_id", "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score")
-    )
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def chunks_and_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     questions = chunks.filter(F.col("vec_id") % QUESTIONS == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))

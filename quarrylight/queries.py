@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarrylight.plans import catalog, documents, focus, relational, retrieval, structure, vectors
+from quarrylight.plans import catalog, documents, evaluate, focus, pages, records, relational, retrieval, structure, vectors
 
 FLAGSHIP = "retrieve_minimal"
 QUERIES, ORACLES = {}, {}
-for _module in (vectors, relational, retrieval, documents, catalog, structure, focus):
+for _module in (vectors, relational, retrieval, documents, catalog, structure, focus, pages, evaluate, records):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

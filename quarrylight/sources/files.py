@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylight.functions import predicates
+from quarrylight.operators import rows
+
 CASE_FIELDS = ("id", "query", "ground_truth", "tags")
 
 
-def cases(spark: SparkSession, path: str, tags: list[str] | None = None, schema: str = "id string, query string, ground_truth string, tags array<string>") -> DataFrame:
-    """Objects of a JSONL file; blank lines and lines that begin with # are skipped, lines that lack a field raise an error."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' AND NOT startswith(line, '#')")
+def cases(spark: SparkSession, path: str, tags: list[str] | None = None, most: int = 0, schema: str = "id string, query string, ground_truth string, tags array<string>") -> DataFrame:
+    """Objects of a JSONL file; blank lines and lines that begin with # are skipped, lines that lack a field raise an error; the first `most` cases where it is above 0."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("no")).filter("line <> '' AND NOT startswith(line, '#')")
     keys = F.json_object_keys("line")
     lacking = F.array_except(F.array(*map(F.lit, CASE_FIELDS)), F.coalesce(keys, F.array().cast("array<string>")))
     checked = F.when(F.size(lacking) == 0, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("missing "), F.array_join(lacking, ", "), F.lit(" in "), "line")))
-    found = lines.select(F.from_json(checked, schema).alias("x")).select("x.*")
-    return found.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags)))) if tags else found
+    found = lines.select("no", F.from_json(checked, schema).alias("x")).select("no", "x.*")
+    if tags:
+        found = found.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    return (found.orderBy("no").limit(most) if most > 0 else found).drop("no")
 
 
 def entities(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -39,20 +48,44 @@ def joined_cells(line: Column) -> Column:
     return F.array_join(F.filter(clean, lambda c: c != ""), " | ")
 
 
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text: lines, but line ends within quotes are part of their cell."""
+    parts = F.regexp_extract_all(text, F.lit(r'((?:[^"\r\n]|"(?:[^"]|"")*+")++)'), F.lit(1))
+    return F.filter(parts, lambda x: F.trim(x) != "")
+
+
 def csv_text(spark: SparkSession, path: str) -> DataFrame:
     """path and flat text of CSV files in any of the three encodings."""
-    lines = F.split(decoded(F.col("content")), r"\r\n|\r|\n")
-    text = F.array_join(F.filter(F.transform(lines, joined_cells), lambda x: x != ""), "\n")
+    lines = F.transform(csv_records(decoded(F.col("content"))), joined_cells)
+    text = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     return spark.read.format("binaryFile").load(path).select("path", text.alias("text"))
 
 
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """path, sheet, row, cells of CSV files, as xlsx_rows gives them: what reports.header_rows makes lines under headers of."""
+    raw = lambda line: F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    clean = lambda c: F.trim(F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    found = spark.read.format("binaryFile").load(path).select("path", F.posexplode(csv_records(decoded(F.col("content")))).alias("row", "line"))
+    return found.select("path", F.lit("").alias("sheet"), F.col("row").cast("long").alias("row"), F.transform(raw(F.col("line")), clean).alias("cells"))
+
+
+def pdf_texts(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
+    """path, text and pages of PDF files by an extractor that gives a file's page texts; page texts are joined by a blank line, files it cannot read have no text."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    texts = [t.strip() for t in pages_of(bytes(content))]
+                except Exception:  # an extractor's own errors are of any kind: the file is reported without text
+                    texts = []
+                yield pd.DataFrame([(name, "\n\n".join(t for t in texts if t), len(texts))], columns=["path", "text", "pages"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, text string, pages long")
+
+
 def xlsx_cells(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
     """Sheet, row number and cells of a workbook; whole numbers lose their fraction."""
-    import io
-    import re
-    import zipfile
-    from xml.etree import ElementTree
-
     local = lambda node: node.tag.rpartition("}")[2]
     said = lambda node: "".join(x.text or "" for x in node.iter() if local(x) == "t")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -85,7 +118,11 @@ def xlsx_rows(spark: SparkSession, path: str) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                yield pd.DataFrame([(name, *x) for x in xlsx_cells(bytes(content))], columns=["path", "sheet", "row", "cells"])
+                try:
+                    rows_ = list(xlsx_cells(bytes(content)))
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, StopIteration):
+                    rows_ = [(None, -1, [])]  # a file that is no workbook
+                yield pd.DataFrame([(name, *x) for x in rows_], columns=["path", "sheet", "row", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, sheet string, row long, cells array<string>")
 
@@ -103,12 +140,22 @@ def sitemap_locs(xml: Column) -> Column:
 
 def folder_paths(nodes: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
     """id and path of every node below `roots` (id), by levels, of `nodes` (id, parent_id, name); an error says when `most` levels do not do."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("__nodes")
-    roots.createOrReplaceTempView("__roots")
-    return spark.sql(f"""WITH RECURSIVE tree (id, path) MAX RECURSION LEVEL {most} AS (
-        SELECT n.id, n.name FROM __nodes n LEFT SEMI JOIN __roots r ON n.id = r.id
-        UNION ALL SELECT n.id, concat(t.path, '/', n.name) FROM __nodes n JOIN tree t ON n.parent_id = t.id) SELECT * FROM tree""")
+    nodes = nodes.select("id", "parent_id", "name")
+    level = rows.settled(nodes.join(roots.select("id"), "id", "left_semi").select("id", F.col("name").alias("path")))
+    found = level
+    for _ in range(most):
+        below = nodes.join(level.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat("path", F.lit("/"), "name").alias("path"))
+        level = rows.settled(below)
+        if not level.head(1):
+            return found
+        found = found.unionByName(level)
+    raise ValueError(f"more than {most} levels, or a circle")
+
+
+def readable(files: DataFrame, wanted: str | None = None, left_out: list[str] | None = None) -> DataFrame:
+    """Files (id, name, mime, path) of a kind that can be read, whose path has `wanted` and whose id is not left out."""
+    kept = files.withColumn("kind", file_kind(F.col("name"), F.col("mime"))).filter(F.col("kind").isNotNull() & predicates.path_has(F.col("path"), wanted))
+    return kept.filter(~F.col("id").isin(*left_out)) if left_out else kept
 
 
 def failed_ids(log: Column) -> Column:
