@@ -18,7 +18,11 @@ from quarrylight.functions import text
 from quarrylight.operators import rows
 
 CHUNK = ("chunk_id", "source_url", "source_type", "page_kind", "doc_title", "heading_path", "chunk_text")
-QUERY = W.partitionBy("query_id")
+
+
+def query():
+    """A question's candidates."""
+    return W.partitionBy("query_id")
 
 
 def asked(questions: DataFrame) -> DataFrame:
@@ -47,12 +51,12 @@ def described(matches: DataFrame) -> DataFrame:
 
 def ordered(df: DataFrame, *order: Column) -> DataFrame:
     """`rank` anew by `order`, and by the old rank where that ties."""
-    return df.withColumn("rank", F.row_number().over(QUERY.orderBy(*order, "rank")))
+    return df.withColumn("rank", F.row_number().over(query().orderBy(*order, "rank")))
 
 
 def some(condition: Column) -> Column:
     """Whether any candidate of the question fulfils `condition`."""
-    return F.max(condition).over(QUERY)
+    return F.max(condition).over(query())
 
 
 def index_codes(chunks: DataFrame) -> DataFrame:
@@ -129,7 +133,7 @@ def clamped(score: Column, by: Column) -> Column:
 def package_focus(df: DataFrame) -> DataFrame:
     """Package questions: pricing rows that are no package pages go, unless all do; package pages rise, documents' sections more, their FAQ less."""
     df = df.withColumn("gone", F.col("package") & F.col("pricing") & ~F.col("detail"))
-    df = df.withColumn("all_gone", F.min("gone").over(QUERY)).filter("NOT gone OR all_gone")
+    df = df.withColumn("all_gone", F.min("gone").over(query())).filter("NOT gone OR all_gone")
     up = F.col("package") & F.col("detail") & ~F.col("gone")
     docs = up & F.col("documents")
     score = clamped(F.col("score"), F.when(up, 0.22).otherwise(0.0))
@@ -141,7 +145,7 @@ def package_focus(df: DataFrame) -> DataFrame:
 def fee_focus(df: DataFrame) -> DataFrame:
     """Fee questions: vendors' rows go, unless all are such; pricing rows first, then by score."""
     on = F.col("fee") & ~F.col("package")
-    df = df.withColumn("only", F.min("noise").over(QUERY)).filter(~on | ~F.col("noise") | F.col("only"))
+    df = df.withColumn("only", F.min("noise").over(query())).filter(~on | ~F.col("noise") | F.col("only"))
     return ordered(df, F.when(on & ~F.col("pricing"), 1).otherwise(0), F.when(on, -F.col("score")).otherwise(0.0)).drop("only")
 
 

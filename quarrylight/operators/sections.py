@@ -68,7 +68,8 @@ def token_windows(c: Column, most: int = 400, overlap: int = 80, tokens: Column
 
 def chunks(found: DataFrame, url: Column, title: Column, page_kind: Column, service: Column, model: str = "hashed-bag", most: int = 400, overlap: int = 80, cap: int = 0) -> DataFrame:
     """Chunks of sections with ids, texts to embed and metadata; `cap` above 0 is the most a page gives."""
-    df = found.select("*", url.alias("source_url"), title.alias("doc_title"), page_kind.alias("page_kind"), service.alias("service"), F.posexplode(token_windows(F.col("text"), most, overlap)).alias("chunk_index", "chunk_text"))
+    made = ("source_url", "doc_title", "page_kind", "service", "chunk_index", "chunk_text")
+    df = found.select(*(c for c in found.columns if c not in made), url.alias("source_url"), title.alias("doc_title"), page_kind.alias("page_kind"), service.alias("service"), F.posexplode(token_windows(F.col("text"), most, overlap)).alias("chunk_index", "chunk_text"))
     if cap > 0:
         df = rows.numbered(df, "in_page", ["source_url"], "ordinal", "chunk_index").filter(F.col("in_page") <= cap).drop("in_page")
     key = F.concat_ws("|", "source_url", "section_id", F.col("chunk_index").cast("string"), F.lit(model))

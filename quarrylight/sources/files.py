@@ -169,3 +169,8 @@ def ocr_words(data: DataFrame, keys: list[str]) -> DataFrame:
     word = F.explode(F.arrays_zip("text", "conf", "left", "top", "width", "height")).alias("w")
     words = data.select(*keys, word).select(*keys, F.trim("w.text").alias("text"), F.expr("int(try_cast(w.conf AS double))").alias("conf"), "w.left", "w.top", "w.width", "w.height")
     return words.filter("text <> '' AND conf >= 0")
+
+
+def any_file(spark: SparkSession, pattern: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where))
