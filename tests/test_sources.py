@@ -110,3 +110,104 @@ def test_ingest(spark, stream, tmp_path):
     assert got.select("user_id").distinct().count() == events.select("user_id").distinct().count()
     jobs.ingest(stream, spark, target, str(tmp_path / "c"), "user_id", "event_type").awaitTermination(150)
     assert spark.read.parquet(target).count() == got.count()
+
+
+def test_daily_usage_stream(spark, stream, tmp_path):
+    out = str(tmp_path / "days")
+    found = jobs.daily_usage(stream, "ts", "event_type", "value")
+    found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cd")).trigger(availableNow=True).start(out).awaitTermination(150)
+    mine = {(r.day.date(), r.event_type): (r.n, round(r.total, 4)) for r in spark.read.parquet(out).collect()}
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    whole = {(r.day, r.event_type): (r.n, round(r.total, 4)) for r in events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()}
+    last = max(day for day, _ in whole)
+    assert mine and all(whole[k] == v for k, v in mine.items()) and {k for k in whole if (last - k[0]).days > 1} <= set(mine)
+
+
+def test_late_rows(spark, tmp_path):
+    import datetime
+
+    (tmp_path / "in").mkdir()
+    day = datetime.datetime(2024, 1, 1)
+    for i, hours in enumerate(([0, 5], [6, 1], [7, 5])):
+        spark.createDataFrame([(f"{i}-{h}", day + datetime.timedelta(hours=h)) for h in hours], "id string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"m{i}"))
+        for f in (tmp_path / f"m{i}").glob("*.parquet"):
+            shutil.move(f, tmp_path / "in" / f"{i}.parquet")
+            import os
+
+            os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = []
+    jobs.late_rows(stream, spark, "ts", 2 * 3600, str(tmp_path / "late"), str(tmp_path / "c"), lambda batch, _: kept.extend(r.id for r in batch.collect())).awaitTermination(150)
+    assert {r.id for r in spark.read.parquet(str(tmp_path / "late")).collect()} == {"1-1"} and sorted(kept) == ["0-0", "0-5", "1-6", "2-5", "2-7"]
+
+
+def test_values_run_out(spark, stream, tmp_path):
+    out = str(tmp_path / "cache")
+    found = jobs.newest_with_expiry(stream, "user_id", "ts", "event_type", "1 hour", "10 minutes")
+    found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cc")).trigger(availableNow=True).start(out).awaitTermination(150)
+    rows = spark.read.parquet(out).collect()
+    newest = {str(r.user_id): r.t for r in spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t")).collect()}
+    assert {r.key for r in rows if r.live} == set(newest) and all(r.at <= newest[r.key] for r in rows) and any(not r.live for r in rows)
+
+
+def test_odd_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'\xef\xbb\xbfName,Note\r\n"Ann ""A""","two\nlines"\n,\n')
+    (tmp_path / "b.csv").write_bytes("Caf\xe9,1".encode("latin-1"))
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in files.csv_text(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {"a.csv": 'Name | Note\nAnn "A" | two\nlines', "b.csv": "Caf\xe9 | 1"}
+    cells = [r.cells for r in files.csv_rows(spark, str(tmp_path / "a.csv")).orderBy("row").collect()]
+    assert cells == [["Name", "Note"], ['Ann "A"', "two\nlines"], ["", ""]]
+    (tmp_path / "x.xlsx").write_bytes(b"no workbook")
+    assert [(r.sheet, r.row) for r in files.xlsx_rows(spark, str(tmp_path / "x.xlsx")).collect()] == [(None, -1)]
+    (tmp_path / "p.pdf").write_bytes(b"one|two")
+    (tmp_path / "q.pdf").write_bytes(b"x")
+
+    def pages_of(content):
+        if content == b"x":
+            raise OSError("no pages")
+        return content.decode().split("|")
+
+    assert sorted((r.text, r.pages) for r in files.pdf_texts(spark, str(tmp_path / "*.pdf"), pages_of).collect()) == [("", 0), ("one\n\ntwo", 2)]
+    names = spark.createDataFrame([("1", "a.pdf", None, "Root/Fees/a.pdf"), ("2", "b.txt", None, "Root/b.txt"), ("3", "c", "text/csv", "Root/fees/c")], "id string, name string, mime string, path string")
+    assert [r.id for r in files.readable(names, "fees", ["1"]).collect()] == ["3"]
+
+
+def test_tables_by_part(spark, tmp_path):
+    table = sinks.Snapshots(spark, str(tmp_path / "t"), "id string, kind string, v int", part="kind")
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, kind string, v int")
+    table.upsert(rows(("a", "x", 1), ("b", "x", 2), ("c", "y", 3)))
+    folders = table._manifest()[1]
+    table.upsert(rows(("a", "x", 9)))
+    assert table._manifest()[1]["y"] == folders["y"] and sorted(map(tuple, table.read().collect())) == [("a", "x", 9), ("b", "x", 2), ("c", "y", 3)]
+    table.upsert(rows(("a", "y", 7)))
+    assert sorted(map(tuple, table.read(["y"]).collect())) == [("a", "y", 7), ("c", "y", 3)] and table.read(["x"]).count() == 1
+    with pytest.raises(ValueError):
+        table.upsert(rows(("z", "x", 1), ("z", "x", 2)))
+    other = sinks.Snapshots(spark, str(tmp_path / "t"), "id string, kind string, v int", part="kind")
+    other._manifest = lambda: (0, folders)
+    with pytest.raises(FileExistsError):
+        other.upsert(rows(("q", "x", 1)))
+    table.delete_ids(spark.createDataFrame([("a",)], "id string"))
+    table.purge("x")
+    assert [tuple(r) for r in table.read().collect()] == [("c", "y", 3)]
+
+
+def test_exports(spark, tmp_path):
+    scored = spark.createDataFrame([("a", 1.0), ("b", None)], "case_id string, hit double")
+    sinks.report(scored, str(tmp_path / "r"), ["hit"])
+    sinks.freeze(spark, str(tmp_path / "r"), str(tmp_path / "base"))
+    assert [(r.metric, r.value) for r in spark.read.json(str(tmp_path / "base")).collect()] == [("hit", 1.0)]
+    index = spark.createDataFrame([("PM100", "1", "Title: A service of ours\nPM100"), ("PM101", "1", "Title: A service of ours"), ("PM101", "2", "none")], "code string, chunk_id string, chunk_text string")
+    assert sinks.lexical_index(index, str(tmp_path / "i")) == {"codes": 2, "rows": 2, "titled": 1}
+    assert sinks.index_or_extracts(spark, str(tmp_path / "no"), str(tmp_path / "i"), "code string, chunk_id string, chunk_text string").count() == 3
+    assert sinks.index_or_extracts(spark, None, None, "code string").count() == 0
+    listing = spark.createDataFrame([("s", 2, "b"), ("s", 1, "a")], "service string, pos int, name string")
+    sinks.catalog(listing, str(tmp_path / "cat"), "service", "pos", ["name"])
+    row = spark.read.json(str(tmp_path / "cat")).first()
+    assert row["count"] == 2 and [x.name for x in row["items"]] == ["a", "b"]
+    sinks.table_report(listing, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    assert sinks.markdown(listing.orderBy("pos"), "Listing").split("\n")[-1] == "| s | 2 | b |"
+    sinks.usage(spark.read.parquet(f"{SF}/events.parquet").limit(5), str(tmp_path / "u"))
+    sinks.artifacts(spark.createDataFrame([("https://x.org/a", "<p>", "{}")], "url string, html string, extracted string"), str(tmp_path / "art"))
+    assert spark.read.parquet(str(tmp_path / "u")).count() == 5 and spark.read.parquet(str(tmp_path / "art" / "raw_pages")).first().name == "x_org_a"
