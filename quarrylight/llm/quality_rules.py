@@ -11,18 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import WHITE, let, text_of
+from quarrylight.llm.common import WHITE, fresh, let, text_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 #: Phrases that mark a line of at most BOILERPLATE_WORDS words as boilerplate.
 BOILERPLATE = r"(?i)\b(all rights reserved|cookies? (policy|settings|preferences)|accept (all )?cookies|we use cookies|privacy policy|terms (of|and) (use|service|conditions)|subscribe to our|sign (up|in) (for|to|now)|log ?in|click here|read more|share (this|on)|follow us|skip to (main )?content|powered by|enable javascript|lorem ipsum|add to cart|back to top)\b"
 BOILERPLATE_WORDS = 25
-#: A line with this many separators, or with one to so many words, is navigation.
-NAVIGATION = r"([|»›•·].*){3}|^\s*(([|»›•·/>]|\w+\s*[|»›•·])\s*)+\w*\s*[|»›•·]?\s*$"
+#: A line with this many separators, or with one to so many words, is navigation. The possessive ++ gives the same
+#: matches as + (what may follow a separator takes no other) and keeps Java from recursing over long lines.
+NAVIGATION = r"([|»›•·].*){3}|^\s*(([|»›•·/>]|\w+\s*[|»›•·])\s*)++\w*\s*[|»›•·]?\s*$"
 #: A letter or digit repeated far beyond words, or no letter at all, is no sentence.
 NO_SENTENCE = r"^[^\p{L}]*$|(.)\1{19}"
 MAX_SYMBOL_SHARE = 0.1
+#: Punctuation marks; a line in which they are more than this share of the characters is a list of marks, leaders or an address bar.
+MARKS = ".,;:!?()[]{}_=~^/-+@"
+MAX_MARK_SHARE = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_SHARE = 50, 50, 0.5
 
 
@@ -30,7 +34,8 @@ def line_fails(line: Column) -> Column:
     """Whether a line that has a word is to be removed."""
     words = F.size(F.split(F.trim(line), WHITE))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    return line.rlike(NO_SENTENCE) | (symbols > MAX_SYMBOL_SHARE * F.length(line)) | line.rlike(NAVIGATION) | ((words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+    marks = F.length(line) - F.length(F.translate(line, MARKS, ""))
+    return line.rlike(NO_SENTENCE) | (symbols > MAX_SYMBOL_SHARE * F.length(line)) | (marks > MAX_MARK_SHARE * F.length(line)) | line.rlike(NAVIGATION) | ((words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
 
 
 def repeated_words(words: Column) -> Column:
@@ -54,7 +59,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null counts as no text; a text without words fails the base rules.  Lines
     without a word are neither removed nor counted.  Columns of these names in
     `docs` are replaced; other columns, repeated rows and null ids pass
-    through; an empty table gives an empty result.
+    through, whatever their names; an empty table gives an empty result.  A
+    text of any length is read whole, in time that grows with its length.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share", "cleaned", "kept"]
     text = text_of(docs, text_col)
@@ -70,12 +76,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     kept_cols = [docs[c] for c in docs.columns if c not in names]
     # one evaluation of the facts for all columns: explode stops them from being inlined once for each use
-    rows = docs.select(*kept_cols, F.explode(F.array(facts)).alias("__facts"))
-    f = F.col("__facts")
+    (held,) = fresh(docs, "facts")
+    rows = docs.select(*kept_cols, F.explode(F.array(facts)).alias(held))
+    f = F.col(held)
     base_failed = (f["words"]["n"] < MIN_WORDS) | (100 * f["words"]["repeat"] > MAX_REPEAT_PERCENT * f["words"]["n"])
     lost = F.when(f["lines"]["chars"] > 0, 1 - chars(f["lines"]["good"]) / f["lines"]["chars"]).otherwise(F.lit(1.0))
     return rows.select(
-        *[c for c in rows.columns if c != "__facts"],
+        *[c for c in rows.columns if c != held],
         f["words"]["n"].alias("n_words"),
         f["word_chars"].alias("word_chars"),
         f["n_symbols"].alias("n_symbols"),

@@ -119,7 +119,8 @@ def _quality_sql() -> str:
                     regexp_matches(x, '^[^\p{{L}}]*$')
                     OR len(list_filter(range(1, length(x) - 18), lambda k: x[k:k + 19] = repeat(x[k], 20))) > 0
                     OR length(x) - length(translate(x, '{sym}', '')) > {quality_rules.MAX_SYMBOL_SHARE} * length(x)
-                    OR regexp_matches(x, '{quality_rules.NAVIGATION}')
+                    OR length(x) - length(translate(x, '{quality_rules.MARKS}', '')) > {quality_rules.MAX_MARK_SHARE} * length(x)
+                    OR regexp_matches(x, '{quality_rules.NAVIGATION.replace('++', '+')}')
                     OR (len(regexp_split_to_array(trim(x), '[\x20\x09-\x0D]+')) <= {quality_rules.BOILERPLATE_WORDS}
                         AND regexp_matches(x, '{quality_rules.BOILERPLATE}')))), lambda x: length(x))), 0) AS good
             FROM facts)
