@@ -2,11 +2,17 @@
 
 Patterns find what identifies people outright: addresses, numbers, cards and
 phones.  Such a value is a protected entity.  Other words may give it away:
-over all distinct texts, a word w that occurs in n(w) of them, n(w, e) of these
-with the entity e, discloses it by the share n(w, e) / n(w) of its texts and by
-the pointwise mutual information log2(share / p(e)) as a part of what there is
-to know, log2(1 / p(e)).  Words above both thresholds are generalised in the
-texts that have the entity, words that occur nowhere without it are removed.
+over all distinct texts, a word w that occurs in n(w) of them, and in n(w, e) of
+these within CONTEXT characters of the entity e, discloses it by the share
+n(w, e) / n(w) of its texts and by the pointwise mutual information
+log2(share / p(e)) as a part of what there is to know, log2(1 / p(e)).  Words
+above both thresholds are removed from the texts that have the entity if they
+occur nowhere without it, and generalised by their shape otherwise.
+
+An entity seen in a few texts only (most are: an address stands in its owner's
+text) gives too little evidence for common words; there a word counts if it
+is written like a name or a number and stands in no text without the entity, and
+it is generalised, not removed.
 """
 
 from __future__ import annotations
@@ -14,33 +20,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import WHITE, let, text_of, written
+from quarrylight.llm.common import WHITE, drop, fresh, let, text_of, written
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    # a run of the first class is entered at its start only (or where the last match ended): long runs stay linear
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    # the contract's patterns, with what keeps them linear: a run is entered at its start only (or where the last match
+    # ended), and the last group is possessive, as nothing follows it: Java would recurse once for each of its turns
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)++",
+    "ip": r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)",
+    "card": r"[0-9]([\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without a match of this needs no search for the kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"([0-9][\x20-]?){16}", "phone": r"\+[0-9]"}
-#: An entity in fewer distinct texts says nothing about what goes with it; neither does a word.
+#: An entity or word in so many distinct texts has evidence of its own; below that a word must look like a name or number.
 MIN_TEXTS = 3
 MIN_SHARE = 0.8
 MIN_DISCLOSURE = 0.9
-GENERAL = {"email": "<email>", "ip": "<ip>", "card": "<card>", "phone": "<phone>", "term": "<term>"}
+#: Characters before and after an entity whose words go with it.
+CONTEXT = 100
+#: Words of rare entities that count: with a capital letter first or a digit in it.
+NAMELIKE = r"^[^\p{L}\p{N}]*(\p{Lu}|[^\s]*[0-9])"
+GENERAL = {"email": "<email>", "ip": "<ip>", "card": "<card>", "phone": "<phone>"}
+#: A word with one of these inside is an entity itself, or part of one.
+ENTITY = r"@[A-Za-z0-9-]+\.|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]|[0-9]{4}"
+#: Matches that are added up at a time, see found.
+BLOCK = 256
 
 
 def found(text: Column, pattern: Column) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points.
 
     What lies between the matches has the lengths from which places follow.
+    They are added up in blocks: appending to one long array would copy it each time.
     """
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     pieces = lambda t: F.arrays_zip(F.transform(F.split(t, pattern, -1), lambda g: F.length(g)).alias("gap"), F.regexp_extract_all(t, pattern, 0).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         lo = acc["at"] + x["gap"]
@@ -48,7 +64,33 @@ def found(text: Column, pattern: Column) -> Column:
         span = F.struct(lo.alias("start"), hi.alias("end"), x["value"].alias("value"))
         return F.struct(hi.alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
 
-    return F.aggregate(pieces(text), start, step, lambda acc: acc["out"])
+    def block(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["blocks"], d["out"]).alias("blocks")))
+
+    def blocks(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(all_) - 1, F.lit(BLOCK)), lambda i: F.slice(all_, i + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("blocks"))
+        return F.aggregate(cut, start, block, lambda acc: F.flatten(acc["blocks"]))
+
+    return let(pieces(text), blocks)
+
+
+def mentions(text: Column) -> Column:
+    """array<struct<entity, words>> of the values that identify someone, with the words around each."""
+
+    def near(gaps: Column, values: Column) -> Column:
+        before = lambda g: F.when(F.length(g) > CONTEXT, F.regexp_replace(F.right(g, F.lit(CONTEXT)), r"^[^\x20\x09-\x0D]+", "")).otherwise(g)
+        after = lambda g: F.when(F.length(g) > CONTEXT, F.regexp_replace(F.left(g, F.lit(CONTEXT)), r"[^\x20\x09-\x0D]+$", "")).otherwise(g)
+        return F.transform(values, lambda v, i: F.struct(v.alias("entity"), F.array_distinct(F.split(F.concat(before(F.get(gaps, i)), F.lit(" "), after(F.get(gaps, i + 1))), WHITE)).alias("words")))
+
+    def of(kind: str) -> Column:
+        pattern = F.lit(PATTERNS[kind])
+        both = let(F.split(text, pattern, -1), lambda gaps: near(gaps, F.regexp_extract_all(text, pattern, 0)))
+        hits = F.filter(both, lambda m: passes(kind, m["entity"]))
+        return F.when(text.rlike(HINTS[kind]), hits).otherwise(F.array().cast("array<struct<entity:string,words:array<string>>>"))
+
+    return F.concat(*map(of, KINDS))
 
 
 def luhn(digits: Column) -> Column:
@@ -88,26 +130,27 @@ def spans_text(spans: Column) -> Column:
 
 
 def disclosing_terms(texts: DataFrame) -> DataFrame:
-    """(entity, term, removed): words that disclose an entity, from `texts` (tid, text, entities), one row per distinct text.
+    """(entity, term, removed): words that disclose an entity, from `texts` (tid, text, mentions), one row per distinct text.
 
     Counts run over all texts with map-side aggregation; only words that go
-    with a recurrent entity are counted on.
+    with an entity are counted on, and a mention gives a bounded number of them.
     """
     n = texts.count()
-    mentions = texts.select("tid", F.explode(F.array_distinct(F.transform("entities", lambda s: s["value"]))).alias("entity"))
-    recurrent = written(mentions.groupBy("entity").agg(F.count("*").alias("ne")).filter(F.col("ne") >= MIN_TEXTS), "entities")
-    words = lambda rows: F.explode(F.array_distinct(F.split(rows["text"], WHITE)))
-    with_entity = texts.filter(F.size("entities") > 0).select("text", F.explode(F.array_distinct(F.transform("entities", lambda s: s["value"]))).alias("entity"))
-    beside = with_entity.join(recurrent, "entity").select("entity", "ne", "text")
-    pairs = beside.select("entity", "ne", words(beside).alias("term")).groupBy("entity", "ne", "term").agg(F.count("*").alias("nte")).filter(F.col("nte") >= MIN_TEXTS)
-    pairs = written(pairs.filter((F.col("term") != "") & ~F.contains("term", F.col("entity")) & ~F.contains("entity", F.col("term"))), "pairs")
+    beside = texts.select("tid", F.explode("mentions").alias("m")).select("tid", "m.entity", "m.words")
+    held = beside.groupBy("entity").agg(F.count_distinct("tid").alias("ne"))
+    words = beside.select("tid", "entity", F.explode("words").alias("term")).filter((F.col("term") != "") & ~F.contains("term", F.col("entity")) & ~F.contains("entity", F.col("term")) & ~F.col("term").rlike(ENTITY))
+    pairs = words.distinct().groupBy("entity", "term").agg(F.count("*").alias("nte")).join(held, "entity")
+    rare = (F.col("ne") < MIN_TEXTS) & (F.col("nte") == F.col("ne")) & F.col("term").rlike(NAMELIKE)
+    pairs = written(pairs.filter((F.col("nte") >= MIN_TEXTS) | rare), "pairs")
     candidates = pairs.select("term").distinct()
-    counts = texts.select(words(texts).alias("term")).groupBy("term").agg(F.count("*").alias("nt")).filter(F.col("nt") >= MIN_TEXTS).join(candidates, "term")
+    counts = texts.select(F.explode(F.array_distinct(F.split("text", WHITE))).alias("term")).groupBy("term").agg(F.count("*").alias("nt")).join(candidates, "term")
     share = F.col("nte") / F.col("nt")
     known = F.log2(F.lit(float(max(n, 1))) / F.col("ne"))
     disclosed = F.when(known > 0, (known + F.log2(share)) / known).otherwise(0.0)
-    kept = pairs.join(counts, "term").filter((share >= MIN_SHARE) & (disclosed >= MIN_DISCLOSURE))
-    return kept.select("entity", "term", (share == 1).alias("removed"))
+    enough = F.when(F.col("nte") >= MIN_TEXTS, share >= MIN_SHARE).otherwise(share == 1)
+    kept = written(pairs.join(counts, "term").filter(enough & (disclosed >= MIN_DISCLOSURE)).select("entity", "term", ((share == 1) & (F.col("nte") >= MIN_TEXTS)).alias("removed")), "terms")
+    drop(pairs)
+    return kept
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,31 +160,32 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     overlap one of another: all are listed, and the sanitised text replaces
     their union once, by the kind that begins first.  Copies of a text are one piece of
     evidence.  Columns of these names in `docs` are replaced; other columns,
-    repeated rows and null ids pass through; an empty table gives an empty
-    result.  `docs` must read the same twice.
+    repeated rows and null ids pass through, whatever their names; an empty table
+    gives an empty result.  A text of any length is read whole.  `docs` must read
+    the same twice.
     """
-    names = ["base_spans", "spans", "sanitised"]
-    rest = [c for c in docs.columns if c not in names]
+    rest = [c for c in docs.columns if c not in ("base_spans", "spans", "sanitised")]
+    text_, tid_, spans_, terms_, gone_, all_ = fresh(docs, "text_", "tid_", "spans_", "terms_", "gone_", "all_")
     text = text_of(docs, text_col)
-    keyed = docs.select(*[docs[c] for c in rest], text.alias("__text"), F.xxhash64(text, F.lit(7)).alias("__tid"))
-    marked = keyed.withColumn("__spans", F.explode(F.array(base_spans(F.col("__text")))))
-    slim = keyed.select(F.col("__tid").alias("tid"), F.col("__text").alias("text"))
-    distinct = written(slim.groupBy("tid").agg(F.first("text").alias("text")).withColumn("entities", F.when(F.col("text").rlike("[@0-9]"), base_spans(F.col("text"))).otherwise(F.array().cast(SPANS))), "texts")
-    terms = written(disclosing_terms(distinct), "terms")
-    hit = distinct.filter(F.size("entities") > 0).select("tid", F.explode(F.array_distinct(F.transform("entities", lambda s: s["value"]))).alias("entity"))
+    keyed = docs.select(*[docs[c] for c in rest], text.alias(text_), F.unhex(F.sha2(text, 256)).alias(tid_))
+    marked = keyed.withColumn(spans_, F.explode(F.array(base_spans(F.col(text_)))))
+    slim = keyed.select(F.col(tid_).alias("tid"), F.col(text_).alias("text"))
+    some = F.when(F.col("text").rlike("[@0-9]"), mentions(F.col("text"))).otherwise(F.array().cast("array<struct<entity:string,words:array<string>>>"))
+    distinct = written(slim.groupBy("tid").agg(F.first("text").alias("text")).withColumn("mentions", some), "texts")
+    terms = disclosing_terms(distinct)
+    hit = distinct.select("tid", F.explode(F.transform("mentions", lambda m: m["entity"])).alias("entity")).distinct()
     per_text = written(hit.join(terms, "entity").groupBy("tid").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")), "disclosing")
+    drop(terms)
+    drop(distinct)
 
-    quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(F.array_sort(quoted, lambda a, b: F.length(b) - F.length(a)), "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
-    patterns = per_text.select(F.col("tid").alias("__tid"), pattern.alias("__pattern"), F.col("gone").alias("__gone"))
-    both = marked.join(patterns, "__tid", "left")
-    extra = F.filter(
-        found(F.col("__text"), F.col("__pattern")), lambda m: ~F.exists("__spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    )
+    found_ = per_text.select(F.col("tid").alias(tid_), F.col("terms").alias(terms_), F.col("gone").alias(gone_))
+    both = marked.join(found_, tid_, "left")
+    words = F.filter(found(F.col(text_), F.lit(r"[^\x20\x09-\x0D]+")), lambda w: F.array_contains(F.col(terms_), w["value"]))
+    extra = F.filter(words, lambda m: ~F.exists(F.col(spans_), lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     extra = F.transform(extra, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    all_spans = F.when(F.col("__pattern").isNull(), F.col("__spans")).otherwise(F.concat("__spans", extra))
-    spanned = both.withColumn("__all", F.explode(F.array(all_spans)))
-    return spanned.select(*rest, F.col("__spans").alias("base_spans"), F.col("__all").alias("spans"), redacted(F.col("__text"), F.col("__all"), F.col("__gone")).alias("sanitised"))
+    all_spans = F.when(F.col(terms_).isNull(), F.col(spans_)).otherwise(F.concat(F.col(spans_), extra))
+    spanned = both.withColumn(all_, F.explode(F.array(all_spans)))
+    return spanned.select(*[F.col(f"`{c}`") for c in rest], F.col(spans_).alias("base_spans"), F.col(all_).alias("spans"), redacted(F.col(text_), F.col(all_), F.col(gone_)).alias("sanitised"))
 
 
 def redacted(text: Column, spans: Column, gone: Column) -> Column:
@@ -152,7 +196,9 @@ def redacted(text: Column, spans: Column, gone: Column) -> Column:
     def step(acc: Column, s: Column) -> Column:
         inside = -s["neg"] <= acc["at"]
         joined = s["start"] < acc["at"]
-        label = F.when((s["kind"] == "term") & F.coalesce(F.array_contains(gone, s["value"]), F.lit(False)), F.lit("")).otherwise(F.element_at(kinds, s["kind"]))
+        shape = F.when(s["value"].rlike("[0-9]"), F.lit("<number>")).when(s["value"].rlike(NAMELIKE), F.lit("<name>")).otherwise(F.lit("<term>"))
+        term = F.when(F.coalesce(F.array_contains(gone, s["value"]), F.lit(False)), F.lit("")).otherwise(shape)
+        label = F.when(s["kind"] == "term", term).otherwise(F.element_at(kinds, s["kind"]))
         before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         grown = F.when(joined, acc["out"]).otherwise(F.concat(acc["out"], F.array(before, label)))
         return F.struct(F.when(inside, acc["at"]).otherwise(-s["neg"]).alias("at"), F.when(inside, acc["out"]).otherwise(grown).alias("out"))
