@@ -7,11 +7,13 @@ the turn's span; inside it the turn's own text is found by rendering the turn
 with its text changed.  If an earlier output is not a prefix of the next, the
 template rewrites history, which is reported.
 
-A long conversation is rendered in segments of `segment` turns, each opened
-by the turn before it, so that the work grows with its length and not with the
-square; the repeated turn's span must come out as before, else the template
-isn't local and the conversation is flagged.  Segments stream through a task in
-turn order: its memory holds one segment.
+Of a template nothing else is known, so it sees true prefixes: a conversation
+of n turns is rendered from its start n times.  A template that declares
+itself local (the attribute `local`: a turn's rendering depends on this turn
+alone) is rendered in segments of `SEGMENT` turns, each opened by the turn before it,
+so that the work grows with the length and not with the square, and a task holds one
+segment; the repeated turn must come out as it stood in the segment before,
+else the declaration is false and the conversation is flagged.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(one_line(role))}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+marked_turns.local = True
+
+
 def one_line(role: str) -> str:
     return role.replace("\\", "\\\\").replace("\n", "\\n")
 
@@ -110,19 +115,28 @@ def spans(template: Template, turns: list[Turn], given: int = 0) -> tuple[str, l
     return before, found, rewritten
 
 
-def rendered(turns: Iterable[Turn], template: Template = marked_turns, segment: int = SEGMENT) -> Iterator[tuple[str, list[tuple[Turn, Span]], bool]]:
-    """Pieces of the conversation's output, in order: (piece, turns with spans in the piece, rewritten)."""
+def rendered(turns: Iterable[Turn], template: Template = marked_turns) -> Iterator[tuple[str, list[tuple[Turn, Span]], bool]]:
+    """Pieces of the conversation's output, in order: (piece, turns with spans in the piece, rewritten).
+
+    One piece for a template that is not declared local.
+    """
     turns = iter(turns)
+    if not getattr(template, "local", False):
+        every = list(turns)
+        if every:
+            text, found, rewritten = spans(template, every)
+            yield text, list(zip(every, found, strict=True)), rewritten
+        return
     last: list[Turn] = []
-    shown = None
-    while part := list(itertools.islice(turns, segment)):
-        lead = len(template(last)) if last else 0
+    shown = ""
+    while part := list(itertools.islice(turns, SEGMENT)):
         text, found, rewritten = spans(template, [*last, *part], len(last))
-        if last and shown is not None and not text.startswith(shown):
-            rewritten = True
+        # the turn that opens the segment must look as it did at the end of the one before
+        rewritten |= bool(last) and not text.startswith(shown)
+        lead = len(template(last)) if last else 0
         yield text[lead:], [(t, Span(x - lead for x in s)) for t, s in zip(part, found, strict=True)], rewritten
         last = part[-1:]
-        shown = template(last)
+        shown = text[found[-1][0] :]
 
 
 class Digest:
@@ -154,7 +168,7 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Turn
         yield from ((c, (r, t)) for c, r, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in DIGEST.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
@@ -164,7 +178,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for conv_id, group in itertools.groupby(_turns(batches), key=lambda x: x[0]):
         digest = Digest()
-        for piece in rendered(t for _, t in group):
+        for piece in rendered((t for _, t in group), template):
             digest.add(*piece)
         rows.append((conv_id, *digest.row()))
         if len(rows) >= 5000:
@@ -173,9 +187,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield table(rows)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
     for conv_id, group in itertools.groupby(_turns(batches), key=lambda x: x[0]):
-        for i, (piece, found, rewritten) in enumerate(rendered(t for _, t in group)):
+        for i, (piece, found, rewritten) in enumerate(rendered((t for _, t in group), template)):
             loss = [{"start": lo, "end": hi} for (role, _), (_, _, lo, hi) in found if role == "assistant"]
             yield pa.record_batch(
                 [pa.array([conv_id], pa.int64()), pa.array([i], pa.int64()), pa.array([piece], pa.string()), pa.array([loss], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([rewritten], pa.bool_())],
@@ -190,16 +204,18 @@ def in_order(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "role", "text")
 
 
-def format_digests(conversations: DataFrame) -> DataFrame:
+def format_digests(conversations: DataFrame, template: Template = marked_turns) -> DataFrame:
     """One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites_history.
 
     Null texts and roles count as empty, null turns come first and equal turns by role and text; rows without a
     conv_id form one conversation without one.  Repeated rows are turns like
-    others; an empty table gives no rows; other columns are ignored.
+    others; an empty table gives no rows; other columns are ignored.  Texts of any length are rendered
+    whole.  n_turns and turns_sha256 are read back from outputs in the form of marked_turns; for other
+    templates they are those of the turns that can be read so.
     """
-    return in_order(conversations).mapInArrow(_digests, DIGEST)
+    return in_order(conversations).mapInArrow(lambda batches: _digests(batches, template), DIGEST)
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Template = marked_turns) -> DataFrame:
     """The outputs: conv_id, piece_no, formatted, loss (spans of assistant texts in the piece), rewrites_history; cases as in format_digests."""
-    return in_order(conversations).mapInArrow(_pieces, "conv_id long, piece_no long, formatted string, loss array<struct<start:long,end:long>>, rewrites_history boolean")
+    return in_order(conversations).mapInArrow(lambda batches: _pieces(batches, template), "conv_id long, piece_no long, formatted string, loss array<struct<start:long,end:long>>, rewrites_history boolean")
