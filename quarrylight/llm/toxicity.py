@@ -24,8 +24,10 @@ FACTORS = 8
 SAMPLE_ROWS = 8_000
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.1, 2e-5
 MIN_TEXTS = 3
-#: Terms that the machine weighs: those whose presence tells most about the label, by the log-likelihood ratio.
-KEPT_TERMS = 1024
+#: Terms that are weighed, see informative: log-likelihood ratios alone and beside another, and the least number of terms.
+TELLING, TELLING_PAIR, LEAST_TERMS = 15.0, 25.0, 256
+#: Words longer than this are not kept in the tables of known words.
+WORD_BYTES = 64
 #: Beginnings of words count as terms too: stems of words that were never seen whole.
 PREFIXES = (4, 6)
 
@@ -37,9 +39,11 @@ class Terms(dict):
         self.mark, self.cached = mark, cached
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.cached:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=4, key=self.mark).digest(), "little") & ((1 << BITS) - 1)
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=4, key=self.mark).digest(), "little") & ((1 << BITS) - 1)
+        if len(word) <= WORD_BYTES:
+            if len(self) > self.cached:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -78,23 +82,50 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Which terms are kept: at most KEPT_TERMS, in MIN_TEXTS texts or more, by how much their presence tells of the label."""
-    size = 1 << BITS
-    count = lambda chosen: np.bincount(np.concatenate(chosen), minlength=size).astype(float) if chosen else np.zeros(size)
-    ones, zeros = count([r for r, y in zip(rows, labels, strict=True) if y]), count([r for r, y in zip(rows, labels, strict=True) if not y])
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    if not n1 or not n0:
-        return np.zeros(size, bool)
-    ratio = np.zeros(size)
+def ratios(ones: np.ndarray, zeros: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio by which presence tells of the label: seen in `ones` of n1 and in `zeros` of n0 texts."""
+    total = np.zeros(len(ones))
     for seen, inside in ((ones, n1), (zeros, n0)):
         for part, whole in ((seen, ones + zeros), (inside - seen, n1 + n0 - ones - zeros)):
-            expected = whole * inside / (n1 + n0)
-            ratio += part * np.log(np.where(part > 0, part, 1) / np.where(expected > 0, expected, 1)) * (part > 0)
-    ratio[ones + zeros < MIN_TEXTS] = 0
+            expected = whole * inside / np.maximum(n1 + n0, 1)
+            total += np.where(part > 0, part * np.log(np.where(part > 0, part, 1) / np.where(expected > 0, expected, 1)), 0)
+    return total
+
+
+def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Which terms are weighed.
+
+    Every term whose presence tells of the label by TELLING or more, every one that
+    tells by TELLING_PAIR or more beside such a term, among the texts that have it (a
+    group's name may say nothing by itself), and in any case the
+    LEAST_TERMS that tell most.  Others are in fewer than MIN_TEXTS texts or would be fitted to chance.
+    """
+    size = 1 << BITS
     kept = np.zeros(size, bool)
-    best = np.argsort(-ratio, kind="stable")[:KEPT_TERMS]
-    kept[best[ratio[best] > 0]] = True
+    n1, n0 = float(labels.sum()), float(len(labels) - labels.sum())
+    if not n1 or not n0:
+        return kept
+    at, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    ones = np.bincount(at, labels[owner], size)
+    zeros = np.bincount(at, 1 - labels[owner], size)
+    single = ratios(ones, zeros, np.full(size, n1), np.full(size, n0))
+    enough = ones + zeros >= MIN_TEXTS
+    single[~enough] = 0
+    best = np.argsort(-single, kind="stable")[:LEAST_TERMS]
+    kept[best[single[best] > 0]] = True
+    telling = np.flatnonzero(single >= TELLING)
+    kept[telling] = True
+    has = np.zeros((len(telling), len(rows)), bool)
+    place = np.full(size, -1)
+    place[telling] = np.arange(len(telling))
+    mine = place[at] >= 0
+    has[place[at][mine], owner[mine]] = True
+    for k in range(len(telling)):
+        beside = has[k][owner]
+        inside, y = at[beside], labels[owner[beside]]
+        first, second = np.bincount(inside, y, size), np.bincount(inside, 1 - y, size)
+        m1, m0 = labels[has[k]].sum(), has[k].sum() - labels[has[k]].sum()
+        kept |= (ratios(first, second, np.full(size, m1), np.full(size, m0)) >= TELLING_PAIR) & (first + second >= MIN_TEXTS)
     return kept
 
 
@@ -141,11 +172,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS) -> Machine:
-    """The machine fitted on the labelled rows whose crc32(id) mod 5 is not 0, on `sample` of them at most."""
+    """The machine fitted on the labelled rows whose crc32(id) mod 5 is not 0, on `sample` of them at most.
+
+    Null labels are no labels and null texts are empty; a null id joins no text; an id with
+    several rows in either table gives every pair of them, within the sample; empty
+    tables give the machine without evidence; other columns are ignored.
+    """
     marked = labels.filter((bucket_of(labels[id_col], 5) != 0) & labels[label_col].isNotNull()).select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("label"))
     chosen = marked.select("__id", "label", F.xxhash64("__id").alias("h")).orderBy("h", "label").limit(sample)
     rows = docs.select(docs[id_col].alias("__id"), text_of(docs, text_col).alias("text")).join(F.broadcast(chosen), "__id").select("h", "label", "text")
-    got = rows.mapInArrow(_features, "h long, label int, terms array<int>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    # an id may stand in many rows of docs: the driver gets `sample` rows at most all the same
+    got = rows.mapInArrow(_features, "h long, label int, terms array<int>").orderBy("h", "label", F.xxhash64("terms")).limit(sample).toArrow()
     found = got["terms"].combine_chunks()
     values, bounds = found.values.to_numpy(), found.offsets.to_numpy()
     return train([values[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)], got["label"].to_numpy().astype(float))
