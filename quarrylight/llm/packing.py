@@ -1,11 +1,12 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Documents become token ids; whole windows are cut off each document and what
-remains (in parts of at most `part` ids) is packed, some hundred parts at a
-time, by the largest differencing method over k windows: partial partitions
-are merged, the largest window of one with the smallest of the other, until
-one is left.  k starts at the least possible number and rises while a window
-exceeds the capacity.  Everything happens where the documents are read, so no
+remains is packed uncut, some hundred remainders at a time, by the largest
+differencing method over k windows: partial partitions are merged, the largest
+window of one with the smallest of the other, until one is left.  k starts at
+the least possible number and rises when a window exceeds the capacity; what
+still exceeds it after that, which differencing cannot place, is cut off and goes
+to windows with room.  Everything happens where the documents are read, so no
 key can be hot and nothing is shuffled.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import text_of
 
+#: The share by which the number of windows rises when one exceeds the capacity.
+RISE = 0.005
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, piece_no long"
 
 
@@ -129,20 +132,39 @@ def flat(held) -> list[int]:
     return out
 
 
-def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """As few windows as differencing fills without exceeding `capacity`."""
+def windows(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of (index, from, to) by differencing; the count rises by RISE once if capacity is exceeded, then overhangs are cut off."""
     if not sizes:
         return []
     k = -(-sum(sizes) // capacity)
-    while True:
-        found = differencing(sizes, k)
-        over = max(sum(sizes[i] for i in w) for w in found) - capacity
-        if over <= 0:
-            return [w for w in found if w]
-        k += max(1, k * over // (4 * capacity))
-
-
-def _pack(encoder_of, capacity: int, part: int, group: int, end_id: int):
+    load = lambda w: sum(sizes[i] for i in w)
+    found = differencing(sizes, k)
+    if max(map(load, found)) > capacity:
+        found = differencing(sizes, k + max(1, int(k * RISE)))
+    filled = [[(i, 0, sizes[i]) for i in w] for w in found]
+    room = [capacity - load(w) for w in found]
+    over: list[tuple[int, int, int]] = []
+    for n, w in enumerate(filled):
+        while room[n] < 0:
+            i, lo, hi = w.pop()
+            cut = max(lo, hi + room[n])
+            room[n] += hi - cut
+            over.append((i, cut, hi))
+            if cut > lo:
+                w.append((i, lo, cut))
+    # the largest rooms take the overhangs: few cuts more
+    for n in sorted(range(len(filled)), key=lambda n: -room[n]):
+        while over and room[n]:
+            i, lo, hi = over.pop()
+            cut = min(hi, lo + room[n])
+            filled[n].append((i, lo, cut))
+            room[n] -= cut - lo
+            if cut < hi:
+                over.append((i, cut, hi))
+    return [w for w in filled if w]
+
+
+def _pack(encoder_of, capacity: int, group: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +175,12 @@ def _pack(encoder_of, capacity: int, part: int, group: int, end_id: int):
 
         def settle(rows: list[tuple]) -> list[tuple]:
             out = []
-            for w in windows([r[2] for r in rows], capacity):
+            for w in windows([len(r[2]) // 4 for r in rows], capacity):
                 name, at = next(ids), 0
-                for i in w:
-                    out.append((*rows[i], name, at, next(numbers)))
-                    at += rows[i][2]
+                for i, lo, hi in w:
+                    doc_id, start, data, total = rows[i]
+                    out.append((doc_id, start + lo, hi - lo, zlib.crc32(data[4 * lo : 4 * hi]), total, name, at, next(numbers)))
+                    at += hi - lo
             return out
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,9 +194,8 @@ def _pack(encoder_of, capacity: int, part: int, group: int, end_id: int):
                 total, whole = len(data) // 4, len(data) // 4 // capacity * capacity
                 for lo in range(0, whole, capacity):
                     rows.append((doc_id, lo, capacity, zlib.crc32(data[4 * lo : 4 * (lo + capacity)]), total, next(ids), 0, next(numbers)))
-                parts = -(-(total - whole) // part)
-                cuts = [whole + (total - whole) * j // parts for j in range(parts + 1)] if parts else []
-                waiting += [(doc_id, lo, hi - lo, zlib.crc32(data[4 * lo : 4 * hi]), total) for lo, hi in itertools.pairwise(cuts)]
+                if whole < total:
+                    waiting.append((doc_id, whole, data[4 * whole :], total))
                 while len(waiting) >= group:
                     rows += settle(waiting[:group])
                     del waiting[:group]
@@ -188,16 +210,16 @@ def _pack(encoder_of, capacity: int, part: int, group: int, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, part: int = 256, group: int = 512, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, group: int = 512, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The vocabulary file (a few MB at most) is sent to the executors, which need
     no copy.  Null texts count as empty and give their end id alone; null or
     repeated ids are packed like others; an empty table gives no rows; other
-    columns are ignored.  A text of any length is cut into whole windows.
+    columns are ignored, whatever their names.  A text of any length is cut into whole windows.
     Sequence ids are unique, made of the task's number and a count.
     """
     with open(tokenizer_file, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return rows.mapInArrow(_pack(lambda: library_encoder(shipped.value), capacity, part, group, end_id), SCHEMA).drop("piece_no")
+    return rows.mapInArrow(_pack(lambda: library_encoder(shipped.value), capacity, group, end_id), SCHEMA).drop("piece_no")
