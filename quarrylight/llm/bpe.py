@@ -138,8 +138,8 @@ def read_ranks(file: bytes) -> dict[bytes, int]:
 #: Cutting before a single space between two other characters never splits a pre-token, whatever stands around it.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 ODD_SPACE = re.compile(r"\s | \s|^ | $")
-#: Entries of each table of pieces, some 200 bytes each.
-CACHED = 700_000
+#: Entries of each table of pieces, some 200 bytes each; pieces of more characters are encoded anew each time.
+CACHED, PIECE_CHARS = 700_000, 64
 
 
 class PieceEncoder:
@@ -191,8 +191,13 @@ class PieceEncoder:
             rest = [x[1:] for x in rest]
         else:
             first, *rest = text.split(" ")
-        self._learn(set(rest))
-        return b"".join([self.encode_many([first])[0], *map(self.spaced.__getitem__, rest)])
+        words = set(rest)
+        long = [w for w in words if len(w) > PIECE_CHARS]
+        self._learn(words.difference(long))
+        ids = self.spaced
+        if long:
+            ids = {w: ids[w] for w in words.difference(long)} | dict(zip(long, self.encode_many([" " + w for w in long]), strict=True))
+        return b"".join([self.encode_many([first])[0], *map(ids.__getitem__, rest)])
 
 
 _coders: dict[tuple[int, str], tuple[Bpe, PieceEncoder]] = {}
@@ -264,7 +269,11 @@ def _texts(shipped, pattern: str):
 
 
 def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """doc_id and text of a table made by `encode`; bytes that form no character become U+FFFD."""
+    """doc_id and text of a table made by `encode`; bytes that form no character become U+FFFD.
+
+    Null ids of tokens are an empty text; repeated rows and null doc_ids are kept; an empty table
+    gives no rows; other columns are ignored.
+    """
     with open(ranks_file, "rb") as f:
         shipped = encoded.sparkSession.sparkContext.broadcast(f.read())
     return encoded.select("doc_id", "ids").mapInArrow(_texts(shipped, pattern), "doc_id long, text string")
