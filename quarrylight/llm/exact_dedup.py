@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import WHITE, drop, text_of, written
+from quarrylight.llm.common import WHITE, drop, fresh, text_of, written
 
 COUNTERS = 256
 
@@ -84,6 +84,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    stay = exact_dedup(docs, **options).filter("kept").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(stay, "__rid", "left_semi").drop("__rid")
+    """The rows of `docs` that stay, with all their columns, whatever their names; cases as in exact_dedup."""
+    (rid,) = fresh(docs, "rid")
+    stay = exact_dedup(docs, **options).filter("kept").select(F.col("rid").alias(rid))
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(stay, rid, "left_semi").drop(rid)
