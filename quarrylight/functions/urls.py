@@ -249,6 +249,13 @@ def chat_url(invite: Column, id_: Column) -> Column:
     return F.coalesce(F.concat(F.lit("https://chat.whatsapp.com/"), code), F.concat(F.lit("https://wa.me/"), phone))
 
 
+def country_of(url: Column, slugs: dict[str, str]) -> Column:
+    """The country of a page by the first segment of its path, or the one after country-overview; null for others."""
+    s = _segments(url)
+    first = F.lower(F.when(F.get(s, F.lit(0)) == "country-overview", F.get(s, F.lit(1))).otherwise(F.get(s, F.lit(0))))
+    return F.create_map(*[F.lit(x) for pair in slugs.items() for x in pair])[first]
+
+
 def slug_of(url: Column) -> Column:
     """The last segment of the path, decoded."""
     return F.try_url_decode(F.coalesce(F.try_element_at(_segments(url), F.lit(-1)), F.lit("")))

@@ -142,6 +142,22 @@ def api_pages(spark: SparkSession, call: Callable[[int], list[dict]], schema: st
     return spark.range(1, most + 1, 1, most).mapInArrow(run, full)
 
 
+def details(ids: DataFrame, call: Callable[[str], dict | None], schema: str) -> DataFrame:
+    """Records of an API by id: `ids` (id), each asked once; what `call` gives null for is left out."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    full = StructType.fromDDL(f"id string, {schema}")
+    names, arrow = StructType.fromDDL(schema), to_arrow_schema(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(i, call(i)) for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pylist([{"id": i, **{f.name: r.get(f.name) for f in names}} for i, r in got if r is not None], arrow)
+
+    return ids.select(F.col("id").cast("string")).distinct().mapInArrow(run, full)
+
+
 def messages(spark: SparkSession, call: Callable[[str, int], list[dict]], chats: DataFrame, schema: str, size: int = 100, most: int = 100) -> DataFrame:
     """Messages of chats (chat_id) by offsets until a page is short, empty or brings nothing new; each message (id) once."""
 

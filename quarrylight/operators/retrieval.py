@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from quarrylight import config
 from quarrylight.functions import predicates as p
-from quarrylight.functions import text
+from quarrylight.functions import text, urls
 from quarrylight.operators import rows
 
 CHUNK = ("chunk_id", "source_url", "source_type", "page_kind", "doc_title", "heading_path", "chunk_text")
@@ -215,6 +215,19 @@ def retrieve(questions: DataFrame, matches: DataFrame, chunks: DataFrame, least:
     return capped(package_sections(gate(package_focus(df), least)))
 
 
+def with_defaults(df: DataFrame) -> DataFrame:
+    """Candidates whose missing texts are empty and whose missing score is 0."""
+    return df.select(*(F.coalesce(c, F.lit("")).alias(c) if c in CHUNK else F.coalesce(c, F.lit(0.0)).alias(c) if c == "score" else F.col(c) for c in df.columns))
+
+
+def cards(df: DataFrame) -> DataFrame:
+    """(query_id, position, title, heading, excerpt, source_type, open_url, can_open, note) of chosen rows, as answers show them."""
+    url = urls.open_url(F.col("source_url"))
+    kind = F.when(F.col("source_type") == "blog", "website").otherwise(F.col("source_type"))
+    note = F.when(url.isNotNull(), "").when(kind == "whatsapp", "Chats open from the application only.").otherwise("This source has no address that opens.")
+    return df.select("query_id", "position", F.col("doc_title").alias("title"), F.col("heading_path").alias("heading"), F.substring("chunk_text", 1, 400).alias("excerpt"), kind.alias("source_type"), url.alias("open_url"), url.isNotNull().alias("can_open"), note.alias("note"))
+
+
 # questions before retrieval
 
 

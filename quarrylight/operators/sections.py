@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quarrylight import config
@@ -176,8 +180,32 @@ def paragraphs(c: Column, size: int = 2) -> Column:
     return F.when(F.size(found) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(found, i + 1, F.lit(size)), "\n\n")))
 
 
+def objects_in(said: str) -> list[str]:
+    """The JSON objects of a text that are in no other one, as they stand there."""
+    reader, out, at = json.JSONDecoder(), [], said.find("{")
+    while at >= 0:
+        try:
+            found, end = reader.raw_decode(said, at)
+        except (ValueError, RecursionError):
+            end = at + 1
+        else:
+            out.append(json.dumps(found))
+        at = said.find("{", end)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _objects(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: objects_in((t or "").replace('\\"', '"')))
+
+
 def embedded_objects(c: Column, fields: tuple[str, ...] = ("slug", "type")) -> Column:
-    """Objects without inner objects that a page's script carries, escaped or not, and that have all `fields`."""
-    plain = F.replace(c, F.lit('\\"'), F.lit('"'))
-    found = F.regexp_extract_all(plain, F.lit(r'(\{(?:[^{}"]|"(?:[^"\\]|\\.)*+")*+\})'), F.lit(1))
-    return F.filter(found, lambda x: F.size(F.array_except(F.array(*map(F.lit, fields)), F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")))) == 0)
+    """Objects that a page's script carries, escaped or not, and that have all `fields`; braces within strings and inner objects are told apart, which no pattern can."""
+    return F.filter(_objects(c), lambda x: F.size(F.array_except(F.array(*map(F.lit, fields)), F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")))) == 0)
+
+
+def embedded_catalog(pages: DataFrame) -> DataFrame:
+    """(url, slug, type, title, price) of objects that pages (url, html) carry, each slug once a page and where it stands first."""
+    df = pages.select("url", F.posexplode(embedded_objects(F.col("html"))).alias("pos", "x"))
+    field = lambda k: F.get_json_object("x", f"$.{k}").alias(k)
+    return rows.keep_first(df.select("url", "pos", *map(field, ("slug", "type", "title", "price"))), ["url", "slug"], "pos").drop("pos")

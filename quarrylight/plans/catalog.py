@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quarrylight.functions import text
-from quarrylight.operators import rows
+from quarrylight.operators import rows, timelines
 from quarrylight.operators.retrieval import contained
 from quarrylight.plans import Slate, read
 
@@ -100,9 +99,7 @@ def gap_clusters(spark, sf_dir):
     """Intervals in order; a gap of over an hour to the lowest end so far opens a new cluster."""
     top = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts"))
     b = read(spark, sf_dir, "events").select("user_id", "event_id", top.alias("top"), (top + F.round(F.col("value") * 1_000_000).cast("long") * 60).alias("bottom"))
-    w = W.partitionBy("user_id").orderBy("top", "event_id")
-    m = b.withColumn("before", F.max("bottom").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    g = m.withColumn("cluster", F.sum(F.coalesce((F.col("top") - F.col("before") > 3_600_000_000).cast("long"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    g = timelines.gap_clusters(b, ["user_id"], "top", "bottom", "event_id", 3_600_000_000)
     return g.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), (F.max("bottom") - F.min("top")).alias("height"))
 
 
@@ -111,9 +108,7 @@ def gap_clusters(spark, sf_dir):
 def serial_fill(spark, sf_dir):
     """Stated serial numbers stay; others go on from the highest before them."""
     sr = F.when(F.col("event_type") == "purchase", F.floor(F.col("value") / 10))
-    e = rows.numbered(read(spark, sf_dir, "events"), "i", ["user_id"], "ts", "event_id").withColumn("sr", sr)
-    before = F.max(F.col("sr") - F.col("i")).over(W.partitionBy("user_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-    return e.withColumn("b", before).select("user_id", "event_id", F.coalesce("sr", F.col("i") + F.greatest(F.lit(0), F.coalesce("b", F.lit(0)))).cast("long").alias("serial"))
+    return timelines.serial_fill(read(spark, sf_dir, "events"), ["user_id"], sr, "ts", "event_id").select("user_id", "event_id", "serial")
 
 
 CUTOFF = "2024-01-15 00:00:00"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarrylight.functions import text, urls
-from quarrylight.operators import rows
+from quarrylight.operators import rows, timelines
 from quarrylight.plans import Slate, read
 
 slate = Slate()
@@ -60,7 +60,7 @@ def heading_sections(spark, sf_dir):
 @slate(LINES + " SELECT doc_id, pos // 2 AS part, sha1(string_agg(line, chr(10) ORDER BY pos)) AS sha FROM lines GROUP BY doc_id, pos // 2")
 def paragraph_groups(spark, sf_dir):
     """Paragraphs two by two."""
-    pairs = _lines(spark, sf_dir).groupBy("doc_id", F.expr("cast(pos div 2 as int)").alias("part"))
+    pairs = timelines.groups_of(_lines(spark, sf_dir), ["doc_id"], "pos", 2).groupBy("doc_id", F.col("part").cast("int").alias("part"))
     return pairs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("t")).select("doc_id", "part", F.sha1("t").alias("sha"))
 
 
@@ -240,9 +240,8 @@ def search_text(spark, sf_dir):
     SELECT conv_id, turn, text AS question, t2 AS answer FROM n WHERE role = 'user' AND r2 = 'assistant'""")
 def faq_pairs(spark, sf_dir):
     """Questions with the answer that follows."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    following = read(spark, sf_dir, "conversations").withColumn("r2", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w))
-    return following.filter("role = 'user' AND r2 = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+    found = timelines.followed(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role") == "user", F.col("role") == "assistant", "text")
+    return found.select("conv_id", "turn", F.col("text").alias("question"), F.col("next_value").alias("answer"))
 
 
 QUERIES, ORACLES = slate.queries, slate.oracles

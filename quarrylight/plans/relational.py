@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarrylight.operators import messages
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,11 +54,7 @@ GAP_MICROS, CAP, LEAST = 43_200_000_000, 40, 3
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by gap (strictly more than 12 hours opens a new one) and size (40 at most); under three messages they go."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(order), F.col("ts"))
-    rows = _read(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.coalesce((gap > GAP_MICROS).cast("int"), F.lit(0)).alias("fresh"))
-    rows = rows.withColumn("session", F.sum("fresh").over(order))
-    rows = rows.withColumn("part", F.expr(f"(row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) - 1) div {CAP}"))
+    rows = messages.sessions(_read(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", GAP_MICROS, CAP)
     found = rows.groupBy("user_id", "session", "part").agg(F.count("*").alias("messages"), F.min(F.struct("ts", "event_id")).alias("a"), F.max(F.struct("ts", "event_id")).alias("b")).filter(F.col("messages") >= LEAST)
     key = F.concat_ws("|", F.col("user_id").cast("string"), F.col("a.event_id").cast("string"), F.col("b.event_id").cast("string"))
     return found.select(F.sha1(key).alias("episode_id"), "user_id", "messages", F.col("a.ts").alias("started_at"), F.col("b.ts").alias("ended_at"))
