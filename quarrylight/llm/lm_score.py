@@ -1,26 +1,35 @@
 """Language-model scores by online logistic context mixing.
 
-A byte is coded as the binary decisions on its path through a Huffman tree of
-the training bytes.  For each decision, predictors keyed by the last 2, 4 and 6
-bytes and the tree's node give log odds from counts over the whole training
-corpus.  A mixer adds them with weights chosen by a gate (how much the two
-longer contexts have seen) and refines these weights online along each text: a
-block of bytes is predicted with what the blocks before it taught, so that
-every probability depends on earlier bytes alone.
-
-The counts are exact and grow with the corpus: rows are cut into chunks of
-text, each chunk sends the counts of the bytes after its contexts to buckets of
-contexts, where they are added up, and gets back those of the contexts it has.
-
-Beside it stands a unigram base over words, whose counts grow with the corpus:
-frequent words are looked up in a broadcast table of bounded size, all others
-through a shuffle.
+A byte, or the end of the text, is coded as the binary decisions on its path
+through a Huffman tree of what follows the byte before it in the training texts.  For each decision, predictors
+keyed by hashes of the last 3 and 5 bytes and the tree's node give log odds
+from counts over the whole training corpus.  A mixer adds them with weights
+chosen by a gate (how much the two contexts have seen), and a last stage
+corrects the sum by where it lies.  Weights and corrections are refined online
+along each text, in steps that grow from 32 to 4,096 bytes: a step is predicted
+with what the steps before it taught, so every probability depends on
+earlier bytes alone.
+
+Beside the bits stands a predictor of long contexts, whose memory grows with
+the corpus: texts are cut into segments where a hash of four bytes says so, and of
+every hash of 16 bytes before a segment the segments that followed it in the
+training texts are counted, by shuffles.  A text's own occurrences are taken off,
+so that what counts is what other texts say.  The probability of a segment is
+l * share among those that followed + (1 - l) * that of its bits, with l
+gated by how much was seen and whether the last one was known, and refined along the
+text as well.
+
+The tables of the bit predictors grow with the corpus up to 2^20 and 2^21
+places, as they are broadcast; contexts that no place is left for share one, which
+gates and weights make up for.  Words of the unigram base are counted exactly:
+frequent ones are looked up in a broadcast table of bounded size, all others through a shuffle.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,52 +38,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import bucket_of, text_of, written
-
-ORDERS = (2, 4, 6)
-#: Places of a table in memory, at least: it has 256 for each context of the texts it serves.
-BITS = 20
-#: Bytes of text that ask for counts together, chunks a bucket of contexts, and bytes laid out at a time.
-CHUNK, CHUNKS_A_BUCKET, GROUP = 16 << 20, 1, 1 << 19
-BLOCK = 256
-GATES = 16
-START_WEIGHT, RATE = 0.45, 0.02
+from quarrylight.llm.common import bucket_of, drop, text_of, written
+
+ORDERS = (3, 5)
+#: Places of an order's table: a quarter of the training bytes, within these bounds; some 12 bytes each in a counting task.
+LEAST_BITS, TABLE_BITS = 16, (20, 21)
+SLICES = 16
+END = 256
+#: Bytes counted, bytes scored side by side, and bytes whose scores are held, at a time (a longer text is one by itself).
+CHUNK, GROUP, BATCH = 1 << 21, 1 << 18, 1 << 23
+#: Bytes predicted with what those before taught: the first steps, then twice as many up to the last.
+STEPS, STEP = (32, 64, 128, 256, 512, 1024, 2048), 4096
+GATES, RANGES = 16, 16
+START_WEIGHT, RATE, CORRECTION_RATE, FULL_STEP = 0.6, 0.02, 0.02, 512
+#: A segment has 128 bytes on average and a context of 16.
+ANCHOR_MASK, CONTEXT = 127, 16
 #: Words of the broadcast table and their longest length in bytes: about 13 MB at most.
 FREQUENT, FREQUENT_BYTES = 100_000, 64
 HELD_OUT = 7, 2
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
+_powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+EVENT = pa.struct([("idx", pa.int32()), ("key", pa.int64()), ("next", pa.int64()), ("log", pa.float32())])
+
+
+def paths(counts: list[int]) -> list[list[tuple[int, int]]]:
+    """For each symbol its path of (node, bit) in a Huffman tree of the counts."""
+    n = len(counts)
+    ids = itertools.count(n)
+    heap = [(c + 1, b, b) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int]] = {}
+    while len(heap) > 1:
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        made = next(ids)
+        up[x], up[y] = (made, 0), (made, 1)
+        heapq.heappush(heap, (a + b, made, made))
+    out = []
+    for b in range(n):
+        path, at = [], b
+        while at in up:
+            at, bit = up[at]
+            path.append((at - n, bit))
+        out.append(path[::-1])
+    return out
 
 
 class Code:
-    """A binary code of bytes: for each byte its path of (node, bit) in a Huffman tree of the given counts."""
-
-    def __init__(self, counts: list[int]):
-        ids = itertools.count(256)
-        heap = [(c + 1, b, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        up: dict[int, tuple[int, int]] = {}
-        while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            n = next(ids)
-            up[x], up[y] = (n, 0), (n, 1)
-            heapq.heappush(heap, (a + b, n, n))
-        paths = []
-        for b in range(256):
-            path, at = [], b
-            while at in up:
-                at, bit = up[at]
-                path.append((at - 256, bit))
-            paths.append(path[::-1])
-        self.length = np.array([len(p) for p in paths], np.int32)
-        self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int32)
-        self.node = np.array([n for p in paths for n, _ in p], np.int32)
-        self.bit = np.array([b for p in paths for _, b in p], np.int8)
-
-    def decisions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which byte, which entry of node and bit) of every decision for the bytes of `data`."""
-        lengths = self.length[data]
-        ends = np.cumsum(lengths, dtype=np.int32)
-        which = np.repeat(np.arange(len(data), dtype=np.int32), lengths)
-        entry = np.arange(len(which), dtype=np.int32) + np.repeat(self.offset[data] - (ends - lengths), lengths)
+    """Binary codes of bytes and the end (256), one for each byte before; `counts` has 256 rows of 257."""
+
+    def __init__(self, counts: np.ndarray):
+        flat = [p for row in counts.tolist() for p in paths(row)]
+        self.length = np.array([len(p) for p in flat])
+        self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        node = np.array([n for p in flat for n, _ in p], np.int64)
+        self.bit = np.array([b for p in flat for _, b in p], np.int8)
+        self.sign = (2 * self.bit - 1).astype(np.float32)
+        #: what a node adds to the place of its context
+        self.step = (node * 0x9E3779B1 & 0x7FFFFFFF).astype(np.int32)
+
+    def decisions(self, before: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which symbol, which entry of step and bit) of every decision for the symbols after the bytes `before`."""
+        code = before * 257 + symbol
+        lengths = self.length[code]
+        ends = np.cumsum(lengths)
+        which = np.repeat(np.arange(len(code)), lengths)
+        entry = np.arange(len(which)) + np.repeat(self.offset[code] - (ends - lengths), lengths)
         return which, entry
 
 
@@ -82,215 +111,120 @@ def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def contexts(padded: np.ndarray) -> list[np.ndarray]:
-    """For each order, the bytes before each place of `padded` as a number; texts are preceded by ORDERS[-1] zeros."""
-    n, top = len(padded), ORDERS[-1]
-    wide = padded.astype(np.int64)
-    out, h = [], np.zeros(n - top, np.int64)
-    for back in range(1, top + 1):
-        h = h | wide[top - back : n - back] << 8 * (back - 1)
-        if back in ORDERS:
+def contexts(back: list[np.ndarray]) -> list[np.ndarray]:
+    """For each order the bytes before each place as a number, the last one lowest; back[k] are the bytes k + 1 before it."""
+    out, h = [], np.zeros(back[0].shape, np.uint64)
+    for k, b in enumerate(back, 1):
+        h = h | b.astype(np.uint64) << np.uint64(8 * k - 8)
+        if k in ORDERS:
             out.append(h)
     return out
 
 
-def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(bytes, text number of each, contexts) of the texts, one after another."""
-    top = ORDERS[-1]
-    pad = bytes(top)
-    padded = np.frombuffer(pad + pad.join(texts), np.uint8)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    place = np.arange(lengths.sum()) + owner.astype(np.int64) * top
-    return padded[top:][place], owner, [c[place] for c in contexts(padded)]
+def hashed(k: int, context: np.ndarray) -> np.ndarray:
+    """32 bits of the k-th order's contexts, from which a node's step leads to a place."""
+    return ((context * _MIX[k]) >> np.uint64(32)).view(np.int64)
 
 
-def slots(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
-    return (context << 8 | node) & (size - 1)
+def table_bits(n_bytes: int) -> list[int]:
+    return [min(most, max(LEAST_BITS, (n_bytes >> 2).bit_length())) for most in TABLE_BITS]
 
 
-def _groups(texts: Iterator[bytes], size: int = GROUP) -> Iterator[list[bytes]]:
+def _groups(texts: Iterator[bytes], size: int) -> Iterator[list[bytes]]:
     group, total = [], 0
     for t in texts:
         if group and total + len(t) > size:
             yield group
             group, total = [], 0
         group.append(t)
-        total += len(t)
+        total += len(t) + 1
     if group:
         yield group
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
-    histogram = np.zeros(256, np.int64)
+    following = np.zeros(256 * 257, np.int64)
 
     def flush():
         rows = pa.record_batch([pa.array([0] * len(words), pa.int32()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["kind", "word", "n"])
         words.clear()
         return rows
 
-    for batch in batches:
-        for text in batch.column(0):
-            data = lowered(text.as_py())
+    for group in _groups((lowered(t.as_py()) for batch in batches for t in batch.column(0)), CHUNK):
+        for data in group:
             words.update(data.split())
-            words[b""] += 1  # the end
-            histogram += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-            if len(words) > 300_000:
-                yield flush()
+        words[b""] += len(group)  # the ends
+        x = np.frombuffer(b"\0" + b"\0".join(group) + b"\0", np.uint8).astype(np.int64)
+        pair = x[:-1] * 257 + x[1:]
+        last = np.cumsum([len(data) + 1 for data in group]) - 1
+        pair[last] = x[last] * 257 + END
+        following += np.bincount(pair, minlength=256 * 257)
+        if len(words) > 300_000:
+            yield flush()
     yield flush()
-    used = np.flatnonzero(histogram)
-    yield pa.record_batch([pa.array([1] * len(used), pa.int32()), pa.array([bytes([b]) for b in used], pa.binary()), pa.array(histogram[used], pa.int64())], ["kind", "word", "n"])
-
-
-def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, with the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
-
-
-def packed(numbers: np.ndarray) -> bytes:
-    """Differences of the numbers, byte by byte, which the shuffle's compression makes small."""
-    return np.diff(numbers, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
-
-
-def joined(blobs: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([unpacked(b.as_py()) for b in blobs] or [np.empty(0, np.int64)])
-
+    used = np.flatnonzero(following)
+    yield pa.record_batch([pa.array([1] * len(used), pa.int32()), pa.array([int(x).to_bytes(3, "big") for x in used], pa.binary()), pa.array(following[used], pa.int64())], ["kind", "word", "n"])
 
-def tagged(k: int, contexts: np.ndarray) -> np.ndarray:
-    return np.int64(k) << 48 | contexts
-
-
-def gathered(training: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, counts, contexts of `others` that are in no key): a key is the order, a context and a byte after it in `training`."""
-    whole, rest = [], []
-    for group in _groups(iter(training)):
-        data, _, ctx = laid_out(group)
-        whole.append(np.unique(ctx[-1] << 8 | data, return_counts=True))
-    for group in _groups(iter(others)):
-        rest.append(np.unique(laid_out(group)[2][-1]))
-    none = np.empty(0, np.int64)
-    seven, counts = added(np.concatenate([none, *(k for k, _ in whole)]), np.concatenate([none, *(c for _, c in whole)]))
-    more = np.unique(np.concatenate([none, *rest]))
-    low, top = 8 * ORDERS[0], len(ORDERS) - 1
-    two, sums = added(seven & ((1 << low + 8) - 1), counts)
-    keys = np.concatenate([tagged(0, two >> 8) << 8 | two & 255, tagged(top, seven >> 8) << 8 | seven & 255])
-    asked = np.concatenate([tagged(0, np.unique(more & ((1 << low) - 1))), tagged(top, more)])
-    return keys, np.concatenate([sums, counts]), np.setdiff1d(asked, keys >> 8)
-
-
-def middle(contexts: np.ndarray) -> np.ndarray:
-    """The contexts of the middle order that the longest ones end in."""
-    return tagged(1, contexts[contexts >> 48 == len(ORDERS) - 1] & ((1 << 8 * ORDERS[1]) - 1))
-
-
-def spread(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts with those of the middle order, which follow from the longest contexts."""
-    longest = (keys >> 8) >> 48 == len(ORDERS) - 1
-    between_them, sums = added(middle(keys >> 8) << 8 | keys[longest] & 255, counts[longest])
-    return added(np.concatenate([keys, between_them]), np.concatenate([counts, sums]))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
-    rows, total = [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and total + len(row[3]) > size:
-                yield rows
-                rows, total = [], 0
-            rows.append(row)
-            total += len(row[3])
-    if rows:
-        yield rows
-
-
-def _deal(size: int):
-    """Rows (rid, doc_id, held_out, text) with the chunk each is in: the first rid of it."""
 
+def symbols(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The symbols of the texts, one after another, each with its end, and their contexts; before a text stand zeros."""
+    top = ORDERS[-1]
+    pad = bytes(top)
+    padded = np.frombuffer(pad + pad.join(t + b"\0" for t in texts), np.uint8)
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    place = np.arange(ends[-1]) + np.repeat(np.arange(len(texts)), lengths) * top + top
+    data = padded[place].astype(np.uint64)
+    data[ends - 1] = END
+    return data, contexts([padded[place - k] for k in range(1, top + 1)])
+
+
+def count_into(counts: list[np.ndarray], code: Code, texts: list[bytes]) -> None:
+    """Add the decisions of the texts to counts[order][place of the table, bit]; equal contexts with equal symbols are taken together."""
+    data, found = symbols(texts)
+    for k, (count, context) in enumerate(zip(counts, found, strict=True)):
+        mask = (len(count) >> 1) - 1
+        for at in range(0, len(data), CHUNK):
+            pair = context[at : at + CHUNK] << np.uint64(9) | data[at : at + CHUNK]
+            pair.sort()
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            times = np.diff(first, append=len(pair))
+            pair = pair[first]
+            ending = pair.view(np.int64)
+            which, entry = code.decisions(ending >> 9 & 255, ending & 511)
+            slot = (hashed(k, pair >> np.uint64(9))[which] + code.step[entry] & mask) << 1 | code.bit[entry]
+            count += np.bincount(slot, times[which], len(count)).astype(np.int32)
+
+
+def _count_bits(code: Code, bits: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, total = None, 0
-        for batch in batches:
-            chunk = []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if first is None or total + len(text) > size:
-                    first, total = rid, 0
-                chunk.append(first)
-                total += len(text)
-            yield pa.record_batch([pa.array(chunk, pa.int64()), *batch.columns], ["chunk", "rid", "doc_id", "held_out", "text"])
+        counts = [np.zeros(2 << b, np.int32) for b in bits]
+        some = False
+        for group in _groups((lowered(t.as_py()) for batch in batches for t in batch.column(0)), CHUNK):
+            count_into(counts, code, group)
+            some = True
+        if some:
+            for k, c in enumerate(counts):
+                for i, part in enumerate(np.split(c, SLICES)):
+                    blob = pa.compress(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+                    yield pa.record_batch([pa.array([k * SLICES + i], pa.int32()), pa.array([blob], pa.binary())], ["slice", "counts"])
 
     return run
 
 
-def _gather(buckets: int, size: int):
-    """Each chunk's counts and questions by bucket, cut as `_deal` cuts."""
-
-    def bucket(contexts: np.ndarray) -> np.ndarray:
-        longest = contexts >> 48 == len(ORDERS) - 1
-        h = np.where(longest, contexts & ((1 << 8 * ORDERS[1]) - 1), contexts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-
-    def counts_of(rows: list[tuple]) -> pa.RecordBatch:
-        keys, counts, more = gathered([lowered(r[3]) for r in rows if not r[2]], [lowered(r[3]) for r in rows if r[2]])
-        mine, other = bucket(keys >> 8), bucket(more)
-        order, rest = np.argsort(mine, kind="stable"), np.argsort(other, kind="stable")
-        keys, counts, more = keys[order], counts[order], more[rest]
-        at, to = np.searchsorted(mine[order], np.arange(buckets + 1)), np.searchsorted(other[rest], np.arange(buckets + 1))
-        used = [b for b in range(buckets) if at[b] < at[b + 1] or to[b] < to[b + 1]]
-        blobs = [[packed(a[x[b] : x[b + 1]]) for b in used] for a, x in ((keys, at), (counts, at), (more, to))]
-        return pa.record_batch([pa.array([rows[0][0]] * len(used), pa.int64()), pa.array(used, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["chunk", "bucket", "keys", "counts", "more"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches, size):
-            yield counts_of(rows)
+def _odds_of(bits: list[int]):
+    def run(rows: pa.Table) -> pa.Table:
+        n = (2 << bits[rows["slice"][0].as_py() // SLICES]) // SLICES
+        total = np.zeros(n, np.int64)
+        for blob in rows["counts"]:
+            planes = np.frombuffer(pa.decompress(blob.as_py(), 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+            total += np.ascontiguousarray(planes.T).view(np.int32).ravel()
+        return pa.table([rows["slice"].slice(0, 1), pa.array([odds(total).tobytes()], pa.binary())], ["slice", "odds"])
 
     return run
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """For each chunk that sent to this bucket, the counts over all chunks of the contexts it has."""
-    keys, counts = spread(*added(joined(asked["keys"]), joined(asked["counts"])))
-    chunks, blobs = [], []
-    for chunk, own, more in zip(asked["chunk"].to_pylist(), asked["keys"], asked["more"], strict=True):
-        wanted = np.union1d(unpacked(own.as_py()) >> 8, unpacked(more.as_py()))
-        _, index = between(keys, np.union1d(wanted, middle(wanted)))
-        if len(index):
-            chunks.append(chunk)
-            blobs.append((packed(keys[index]), packed(counts[index])))
-    return pa.table([pa.array(chunks, pa.int64()), pa.array([k for k, _ in blobs], pa.binary()), pa.array([c for _, c in blobs], pa.binary())], ["chunk", "keys", "counts"])
-
-
-def between(keys: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which of the contexts, which of the sorted keys) for every key of one of the contexts."""
-    lo, hi = np.searchsorted(keys, contexts << 8), np.searchsorted(keys, (contexts + 1) << 8)
-    n = hi - lo
-    return np.repeat(np.arange(len(contexts)), n), np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-
-
-def table_of(k: int, ctx: np.ndarray, code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the context at each place, table of odds by number and node) for the k-th order."""
-    distinct, number = np.unique(ctx, return_inverse=True)
-    table = np.zeros(1 << max(BITS, (256 * len(distinct) - 1).bit_length()), np.int16)
-    owner, index = between(keys, tagged(k, distinct))
-    if len(index):
-        which, entry = code.decisions((keys[index] & 255).astype(np.uint8))
-        place, bit, n = owner[which] << 8 | code.node[entry], code.bit[entry], counts[index][which]
-        order = np.argsort(place)
-        place, ones, n = place[order], (n * bit)[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        one = np.add.reduceat(ones, first)
-        table[place[first]] = odds(np.stack([np.add.reduceat(n, first) - one, one], 1).ravel())
-    return number.astype(np.int32), table
-
-
 def odds(counts: np.ndarray) -> np.ndarray:
     """For pairs of counts: log odds in 1/512, and in the two low bits how much was seen."""
     zero, one = counts[0::2], counts[1::2]
@@ -300,90 +234,243 @@ def odds(counts: np.ndarray) -> np.ndarray:
     return (np.clip(np.rint(value * 512), -8190, 8190).astype(np.int16) << 2) | seen.astype(np.int16)
 
 
-def modelled(texts: list[bytes], code: Code, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Natural log probability of each text by sorted keys and counts, which have all that is known of its contexts."""
-    numbers, tables = zip(*(table_of(k, c, code, keys, counts) for k, c in enumerate(laid_out(texts)[2])), strict=True)
-    return log_probabilities(texts, code, list(tables), list(numbers))
-
+def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text the natural log probability of each of its bytes and the end; what is read of a text depends on that text alone.
 
-def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray], numbers: list[np.ndarray] | None = None) -> np.ndarray:
-    """Natural log probability of each text; what is read of a text depends on that text alone.
-
-    `numbers` says which context of the tables stands at each place; without it a context is its own number.
+    Texts stand side by side, the longest first, and are stepped through
+    together: arrays have the size of a step, whatever the lengths.
     """
-    total = np.zeros(len(texts))
-    data, owner, ctx = laid_out(texts)
-    ctx = numbers or ctx
-    if not len(data):
-        return total
-    first = np.zeros(len(texts), np.int64)
-    first[1:] = np.cumsum([len(t) for t in texts])[:-1]
-    step = ((np.arange(len(data)) - first[owner]) // BLOCK).astype(np.uint16 if len(data) < BLOCK << 16 else np.int64)
-    order = np.argsort(step, kind="stable")
-    data, owner, ctx = data[order], owner[order], [c[order] for c in ctx]
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(step))])
-    weights = np.full((len(texts) * GATES, len(ORDERS)), START_WEIGHT, np.float32)
-    for lo, hi in itertools.pairwise(bounds.tolist()):
-        which, entry = code.decisions(data[lo:hi])
-        node = code.node[entry]
-        sign = (2 * code.bit[entry] - 1).astype(np.float32)
-        found = [t[slots(c[lo:hi][which], node, len(t))] for t, c in zip(tables, ctx, strict=True)]
-        gate = ((found[-1] & 3) << 2 | (found[-2] & 3)).astype(np.int32)
-        mine = owner[lo:hi][which]
-        chosen = mine * GATES + gate
+    top = ORDERS[-1]
+    rank = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) + 1 for i in rank])
+    out = [np.zeros(len(t) + 1, np.float32) for t in texts]
+    weights = [np.full(len(texts) * GATES, START_WEIGHT, np.float32) for _ in ORDERS]
+    shift = np.zeros(len(texts) * RANGES, np.float32)
+    lo, steps = 0, iter(STEPS)
+    while lo < sizes[0]:
+        hi = lo + next(steps, STEP)
+        alive = int(np.searchsorted(-sizes, -lo, side="left"))  # sizes above lo
+        width = np.minimum(sizes[:alive], hi) - lo
+        pad = bytes(max(0, top - lo))
+        sub = np.zeros((alive, top + hi - lo), np.uint8)
+        for r in range(alive):
+            piece = pad + texts[rank[r]][max(0, lo - top) : hi]
+            sub[r, : len(piece)] = np.frombuffer(piece, np.uint8)
+        whole = np.arange(hi - lo) < width[:, None]
+        symbol = sub[:, top:].astype(np.int64)
+        done = np.flatnonzero(sizes[:alive] <= hi)
+        symbol[done, width[done] - 1] = END
+        symbol = symbol[whole]
+        owner = np.repeat(np.arange(alive), width)
+        before = [c[whole] for c in contexts([sub[:, top - k : top - k + hi - lo] for k in range(1, top + 1)])]
+        which, entry = code.decisions(sub[:, top - 1 : -1][whole].astype(np.int64), symbol)
+        step, sign = code.step[entry], code.sign[entry]
+        found = [t[(hashed(k, c)[which] + step) & (len(t) - 1)] for k, (t, c) in enumerate(zip(tables, before, strict=True))]
+        mine = owner[which]
+        chosen = mine * GATES + ((found[-1] & 3) << 2 | (found[-2] & 3))
         inputs = [(f >> 2).astype(np.float32) * np.float32(1 / 512) for f in found]
-        z = np.zeros(len(which), np.float32)
-        for k, x in enumerate(inputs):
-            z += weights[:, k][chosen] * x
-        z = np.clip(z * sign, -18, 18)
-        e = np.exp(-z)
-        total += np.bincount(mine, -np.log1p(e), len(texts))
+        z = weights[0][chosen] * inputs[0]
+        for k in range(1, len(ORDERS)):
+            z += weights[k][chosen] * inputs[k]
+        np.clip(z, -15.9, 15.9, out=z)
+        where = mine * RANGES + ((z + 16) * (RANGES / 32)).astype(np.int64)
+        e = np.exp(-sign * z)
         error = sign * (e / (1 + e))
-        top = int(mine.max(initial=0))
-        for k, x in enumerate(inputs):
-            change = np.bincount(chosen, error * x, (top + 1) * GATES)
-            weights[: (top + 1) * GATES, k] += (RATE * change / 8).astype(np.float32)
-    return total
+        refined = np.exp(-sign * (z + shift[where]))
+        per = np.bincount(which, np.log1p(refined), len(symbol))
+        at = np.concatenate([[0], np.cumsum(width)])
+        for r in range(alive):
+            out[rank[r]][lo : lo + width[r]] = -per[at[r] : at[r + 1]]
+        if hi < sizes[0]:
+            pace = RATE / 8 * min(1.0, FULL_STEP / (hi - lo))  # long steps teach by their average
+            for k, x in enumerate(inputs):
+                change = np.bincount(chosen, error * x, alive * GATES)
+                weights[k][: alive * GATES] += (pace * change).astype(np.float32)
+            late = sign * (refined / (1 + refined))
+            seen = np.bincount(where, minlength=alive * RANGES)
+            shift[: alive * RANGES] += (CORRECTION_RATE * np.bincount(where, late, alive * RANGES) / np.sqrt(seen + 1)).astype(np.float32)
+            np.clip(shift, -3, 3, out=shift)
+        lo = hi
+    return out
+
+
+def powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse; those for texts of a megabyte are kept."""
+    if n > len(_powers[0]):
+        made = []
+        for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+            run = np.full(n, base, np.uint64)
+            run[0] = 1
+            made.append(np.multiply.accumulate(run))
+        if n > 1 << 20:
+            return made[0], made[1]
+        _powers[:] = made
+    return _powers[0][:n], _powers[1][:n]
+
+
+def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash of the CONTEXT bytes before, hash of the bytes up to the next start) of the segments from CONTEXT on."""
+    n = len(data)
+    none = np.empty(0, np.int64)
+    if n <= CONTEXT:
+        return none, none, none
+    b = np.frombuffer(data, np.uint8)
+    four = b[:-3].astype(np.uint32) << 24 | b[1:-2].astype(np.uint32) << 16 | b[2:-1].astype(np.uint32) << 8 | b[3:]
+    anchor = ((four * np.uint32(0x9E3779B1)) >> np.uint32(20) & np.uint32(ANCHOR_MASK)) == 0
+    anchor[1:] &= four[1:] != four[:-1]  # a long run of one byte is no row of anchors
+    start = np.flatnonzero(anchor) + 4
+    start = start[(start >= CONTEXT) & (start < n)]
+    if not len(start):
+        return none, none, none
+    powers, back = powers_of(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
+
+    def digest(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        # (sum over lo..hi of byte * base^place) / base^lo, then mixed with the length
+        h = (sums[hi] - sums[lo]) * back[lo]
+        h = (h ^ (h >> np.uint64(31))) * _MIX[1] + (hi - lo).astype(np.uint64) * _MIX[2]
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+    return start, digest(start - CONTEXT, start), digest(start, np.append(start[1:], n))
+
+
+def listed(lengths: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
 
 
 def _score(shipped):
-    def run(answers: pa.Table, rows: pa.Table) -> pa.Table:
-        code, frequent = shipped.value
-        keys, sums = added(joined(answers["keys"]), joined(answers["counts"]))
-        texts = [lowered(t.as_py()) for t in rows["text"]]
-        scores = np.concatenate([modelled(g, code, keys, sums) for g in _groups(iter(texts))] or [np.empty(0)]) / np.log(10)
-        n_tokens, known, base, rare = [], [], [], []
-        for data in texts:
+    def scored(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        code, tables, frequent = shipped.value
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        logs: list = [None] * len(texts)
+        found = (x for group in _groups((texts[i] for i in order), GROUP) for x in log_probabilities(group, code, tables))
+        for i, log in zip(order, found, strict=True):
+            logs[i] = log
+        rows, words, times, events = [], [], [], []
+        for data, log in zip(texts, logs, strict=True):
             counts = Counter(data.split())
             counts[b""] = 1
-            k, total, others = 0, 0.0, []
-            for word, n in counts.items():
-                c = frequent.get(word)
+            known, base, before = 0, 0.0, len(words)
+            for (word, n), c in zip(counts.items(), map(frequent.get, counts), strict=True):
                 if c is None:
-                    others.append({"word": word, "n": n})
+                    words.append(word)
+                    times.append(n)
                 else:
-                    k += n
-                    total += n * c
-            n_tokens.append(sum(counts.values()))
-            known.append(k)
-            base.append(total)
-            rare.append(others)
-        return pa.table(
-            [rows["rid"], rows["doc_id"], rows["held_out"], pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(scores, pa.float64()), pa.array([len(t) for t in texts], pa.int64())],
-            ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "rare", "score", "n_bytes"],
+                    known += n
+                    base += n * c
+            start, key, after = segments(data)
+            total = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
+            events.append((np.arange(len(start), dtype=np.int32), key, after, (total[np.append(start[1:], len(data))[: len(start)]] - total[start]).astype(np.float32)))
+            rows.append((sum(counts.values()), known, base, len(words) - before, float(total[-1]), len(data), len(start)))
+        n_tokens, known, base, n_rare, bits_log, sizes, n_events = zip(*rows, strict=True)
+        rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+        event = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*events, strict=True)], names=[f.name for f in EVENT])
+        return pa.record_batch(
+            [*(part.column(i) for i in range(3)), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), listed(n_rare, rare), pa.array(bits_log, pa.float64()), pa.array(sizes, pa.int64()), listed(n_events, event)],
+            ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "rare", "bits_log", "n_bytes", "events"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, texts, held = 0, [], 0
+            for i in range(batch.num_rows):
+                text = lowered(batch.column(3)[i].as_py())
+                if texts and held + len(text) > BATCH:
+                    yield scored(batch.slice(at, len(texts)), texts)
+                    at, texts, held = i, [], 0
+                texts.append(text)
+                held += len(text)
+            if texts:
+                yield scored(batch.slice(at, len(texts)), texts)
+
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def segment_gain(rows: list[tuple], held_out: bool) -> float:
+    """What the segments' natural log probabilities gain; rows of one text in order: (idx, key, next, log, total, n).
+
+    A gate is how often the context was seen elsewhere and what became of the
+    last segment; its share l moves with the part that the segments' memory had in the probability.
+    """
+    own = Counter() if held_out else Counter([r[1] for r in rows])
+    same = Counter() if held_out else Counter([r[1:3] for r in rows])
+    gates: dict[tuple[int, int], list[float]] = {}
+    gain, last, before = 0.0, 0, None
+    for idx, key, after, log, total, n in rows:
+        others = total - own[key]
+        if others <= 0:
+            continue
+        gate = gates.setdefault((min(others.bit_length(), 5), last if before == idx - 1 else 0), [1.0, 2.0])
+        share = gate[0] / gate[1]
+        gate[1] += 1
+        n -= same[key, after]
+        if n > 0:
+            known, bits = share * n / others, (1 - share) * math.exp(log)
+            gain += math.log(known + bits) - log
+            gate[0] += known / (known + bits)
+            last = 2
+        else:
+            gain += math.log1p(-share)
+            last = 1
+        before = idx
+    return gain
+
+
+def _gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by text and in order; a text's rows may go on in the next batch."""
+
+    def settled(rid: int, held_out: bool, rows: list[tuple]) -> None:
+        rids.append(rid)
+        gains.append(segment_gain(rows, held_out))
+
+    def table() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(rids, pa.int64()), pa.array(gains, pa.float64())], ["rid", "gain"])
+
+    open_rid, open_held, open_rows = None, False, []
+    for batch in batches:
+        rids: list[int] = []
+        gains: list[float] = []
+        every = batch.column(0).to_numpy()
+        held = batch.column(1).to_pylist()
+        rows = list(zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True))
+        starts = [0, *(np.flatnonzero(every[1:] != every[:-1]) + 1).tolist(), len(rows)]
+        for lo, hi in itertools.pairwise(starts):
+            if lo == hi:
+                continue
+            rid = int(every[lo])
+            if rid != open_rid:
+                if open_rid is not None:
+                    settled(open_rid, open_held, open_rows)
+                open_rid, open_held, open_rows = rid, held[lo], []
+            open_rows += rows[lo:hi]
+        yield table()
+    rids, gains = [], []
+    if open_rid is not None:
+        settled(open_rid, open_held, open_rows)
+    yield table()
+
+
+def known_segments(scored: DataFrame) -> DataFrame:
+    """(rid, gain) of the texts with a segment whose context stands in the training texts and at least twice in all."""
+    events = scored.select("rid", "held_out", F.explode("events").alias("e")).select("rid", "held_out", "e.idx", "e.key", "e.next", "e.log")
+    shared = events.groupBy("key").agg(F.count("*").alias("all"), F.count_if(~F.col("held_out")).alias("total")).filter("all > 1 AND total > 0").select("key", "total")
+    live = written(events.join(shared, "key"), "segments")
+    counts = live.filter(~F.col("held_out")).groupBy("key", "next").agg(F.count("*").alias("n"))
+    told = live.join(counts, ["key", "next"], "left").select("rid", "held_out", "idx", "key", "next", "log", "total", F.coalesce("n", F.lit(0)).alias("n"))
+    gains = written(told.repartition("rid").sortWithinPartitions("rid", "idx").mapInArrow(_gains, "rid long, gain double"), "gains")
+    drop(live)
+    return gains
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of `docs`.
 
     Trained on the rows whose crc32(id) mod 7 is not 2.  Null texts count as
-    empty: their score is 0 and their bits per byte null.  Null ids train and are
-    scored; repeated rows count each; without training rows the tables are
-    empty and every decision costs a bit; an empty table gives no rows; other
-    columns are ignored.  `docs` must read the same twice.
+    empty: their score is that of the end alone and their bits per byte null.
+    Null ids train and are scored; repeated rows count each; without training rows
+    every decision costs a bit; an empty table gives no rows; other
+    columns are ignored, whatever their names.  Texts of any length are scored whole, in memory of some ten times their
+    bytes.  `docs` must read the same three times.
     """
     spark = docs.sparkSession
     modulus, out = HELD_OUT
@@ -391,27 +478,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     training = rows.filter(~F.col("held_out")).select("text")
     counts = training.mapInArrow(_count_words, "kind int, word binary, n long").groupBy("kind", "word").agg(F.sum("n").alias("c"))
     counts = written(counts, "counts")
-    histogram = [0] * 256
-    for r in counts.filter("kind = 1").collect():  # 256 rows at most
-        histogram[r.word[0]] = r.c
+    following = np.zeros(256 * 257, np.int64)
+    for r in counts.filter("kind = 1").collect():  # pairs of bytes: 65,792 rows at most
+        following[int.from_bytes(r.word, "big")] = r.c
     words = counts.filter("kind = 0").select("word", "c")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = words.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     frequent = dict(zip(top["word"].to_pylist(), np.log10(top["c"].to_numpy() + 1.0).tolist(), strict=True))
 
-    code = Code(histogram)
-    buckets = sum(histogram) // (chunk * CHUNKS_A_BUCKET) + 1
-    asked = rows.mapInArrow(_gather(buckets, chunk), "chunk long, bucket int, keys binary, counts binary, more binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, keys binary, counts binary")
-    texts = rows.mapInArrow(_deal(chunk), "chunk long, rid long, doc_id long, held_out boolean, text string")
-    shipped = spark.sparkContext.broadcast((code, frequent))
-    scored = answers.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_score(shipped), "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, rare array<struct<word:binary,n:long>>, score double, n_bytes long")
-    scored = written(scored, "scored")
+    code, bits = Code(following.reshape(256, 257)), table_bits(int(following.sum()))
+    parts = training.mapInArrow(_count_bits(code, bits), "slice int, counts binary").groupBy("slice").applyInArrow(_odds_of(bits), "slice int, odds binary")
+    tables = [np.zeros(1 << b, np.int16) for b in bits]
+    for r in parts.toArrow().to_pylist():  # 2 bytes a place: 6 MB at most
+        k, i = divmod(r["slice"], SLICES)
+        size = (1 << bits[k]) // SLICES
+        tables[k][i * size : (i + 1) * size] = np.frombuffer(r["odds"], np.int16)
+    shipped = spark.sparkContext.broadcast((code, tables, frequent))
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, rare array<struct<word:binary,n:long>>, bits_log double, n_bytes long, events array<struct<idx:int,key:long,next:long,log:float>>"
+    scored = written(rows.mapInArrow(_score(shipped), schema), "scored")
+    gains = known_segments(scored)
     rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(words, "word")
     sums = rare.groupBy("rid").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("l"))
-    full = scored.drop("rare").join(sums, "rid", "left")
+    full = scored.drop("rare", "events").join(sums, "rid", "left").join(gains, "rid", "left")
     base = F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return full.select(
+    found = full.withColumn("score", (F.col("bits_log") + F.coalesce("gain", F.lit(0.0))) / F.lit(float(np.log(10))))
+    return found.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
         (-F.col("score") / F.log10(F.lit(2.0)) / F.nullif(F.col("n_bytes"), F.lit(0))).alias("bits_per_byte"),
     )
