@@ -105,8 +105,8 @@ def _drop_all() -> None:
 SIEVE_BITS = 26
 
 
-def sieve(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """`rows` less most of those whose `column` is not in the same column of `wanted`; an exact join is to follow.
+def sieve(rows: DataFrame, column: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """`rows` less most of those whose `column` is not in the same column of `wanted`; an exact join is to follow.  With `inside` false the rows that are left out, none of which is in `wanted`.
 
     A bitmap of hashed values is broadcast, 8 MB at most however many there
     are, so that rows which no join partner waits for are never shuffled.  The more values, the
@@ -117,8 +117,8 @@ def sieve(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bitmap))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    tested = rows.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(bits), bucket)
-    return tested.filter(F.getbit(byte, at % 8) == 1).drop(bucket, bitmap)
+    tested = rows.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(bits), bucket, "inner" if inside else "left")
+    return tested.filter(F.coalesce(F.getbit(byte, at % 8), F.lit(0)) == int(inside)).drop(bucket, bitmap)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
