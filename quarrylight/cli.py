@@ -22,9 +22,9 @@ COMMANDS = {
     "index-posts": "the same, of those addresses alone that have no chunks yet",
     "website-ingest": "pages into the store as website",
     "extract": "sections of pages as JSON",
-    "prodapi-locations-ingest": "country payloads (key, payload)",
-    "prodapi-services-ingest": "service payloads",
-    "prodapi-company-fund-ingest": "setup product payloads",
+    "locations-ingest": "country payloads (key, payload)",
+    "services-ingest": "service payloads",
+    "fund-ingest": "setup product payloads",
     "announcement-content-ingest": "pages of announcements",
     "team-leadership-ingest": "pages of curated records",
     "drive-list": "files (id, parent_id, name, mime) with paths",
@@ -98,11 +98,11 @@ def run(spark: SparkSession, argv: list[str]) -> dict | DataFrame:
 
             blocks = read().select("url", F.inline(pages.html_blocks("html")))
             return sections.sections(sections.clean_blocks(blocks, "url"), "url", F.col("url"))
-        case "prodapi-locations-ingest":
+        case "locations-ingest":
             return ingest.payloads(read(), payloads.country_sections, "country_overview", **how)
-        case "prodapi-services-ingest":
+        case "services-ingest":
             return ingest.payloads(read(), payloads.service_sections, a.page_kind, **how)
-        case "prodapi-company-fund-ingest":
+        case "fund-ingest":
             return ingest.payloads(read(), payloads.product_sections, a.page_kind, **how)
         case "drive-list":
             nodes = read()
