@@ -17,7 +17,7 @@ def cases_of(spark, sf_dir):
     i = F.col("item_id")
     refs = F.when(i % 4 == 3, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("https://www.example.com/"), (i % 5).cast("string")), F.lit(" ")))
     needles = F.when(i % 3 == 2, None).otherwise(F.array(F.lit("The"), F.lit("the\nth"), F.lit("e"), F.substring("text", 1, 5)))
-    return read(spark, sf_dir, "benchmark").filter("item_id < 50").select(i.alias("case_id"), F.col("text").alias("query"), refs.alias("refs"), needles.alias("needles"), F.array(F.lit("tion"), F.lit("THE")).alias("must"), F.when(i % 2 == 0, F.array(F.lit("zzz"), F.lit("un"))).alias("forbid"), F.array(F.concat(F.lit("t"), (i % 3).cast("string")), F.lit("all")).alias("tags"))
+    return read(spark, sf_dir, "benchmark").select(i.alias("case_id"), F.col("text").alias("query"), refs.alias("refs"), needles.alias("needles"), F.array(F.lit("tion"), F.lit("THE")).alias("must"), F.when(i % 2 == 0, F.array(F.lit("zzz"), F.lit("un"))).alias("forbid"), F.array(F.concat(F.lit("t"), (i % 3).cast("string")), F.lit("all")).alias("tags"))
 
 
 def found_of(spark, sf_dir):
@@ -25,7 +25,7 @@ def found_of(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter("doc_id % 50 % 6 <> 5").select((d % 50).alias("case_id"), F.expr("doc_id div 50 + 1").alias("rank"), F.concat(F.lit("https://www.example.com/"), (d % 7).cast("string"), F.lit("/x")).alias("url"), F.left(F.coalesce("text", F.lit("")), F.lit(60)).alias("text"))
 
 
-CASES = f"""WITH cases AS (SELECT item_id AS case_id, text AS query, {REFS} AS refs, CASE WHEN item_id % 3 = 2 THEN NULL ELSE ['The', 'the' || chr(10) || 'th', 'e', left(text, 5)] END AS needles FROM benchmark WHERE item_id < 50),
+CASES = f"""WITH cases AS (SELECT item_id AS case_id, text AS query, {REFS} AS refs, CASE WHEN item_id % 3 = 2 THEN NULL ELSE ['The', 'the' || chr(10) || 'th', 'e', left(text, 5)] END AS needles FROM benchmark),
     found AS ({FOUND}),
     hits AS (SELECT case_id, max((len(list_filter(refs, lambda r: trim(r) <> '' AND starts_with(url, r))) > 0)::INT)::DOUBLE AS hit FROM found JOIN cases USING (case_id) WHERE rank <= 5 GROUP BY case_id),
     context AS (SELECT case_id, lower(string_agg(text, chr(10) ORDER BY rank)) AS c FROM found WHERE rank <= 5 GROUP BY case_id),
@@ -49,33 +49,32 @@ def eval_means(spark, sf_dir):
     return e.means(scored, ["hit", "recall"]).select("tag", "cases", F.round("hit", 9).alias("hit"), F.round("recall", 9).alias("recall"))
 
 
-@slate("""WITH u AS (SELECT DISTINCT url FROM pages), r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]*/[^/]*)', 1) AS ref FROM pages WHERE page_id % 3 = 0)
+@slate("""WITH u AS (SELECT DISTINCT url FROM pages), r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]*/[^/]*)', 1) AS ref FROM pages)
     SELECT url, count(*) AS refs FROM u JOIN r ON starts_with(url, ref) GROUP BY url""")
 def url_prefix_join(spark, sf_dir):
     """Addresses with the references that they go on from; references are cut at a slash, so that the address's first two parts are the key."""
     key = lambda c: F.regexp_extract(c, "^(https?://[^/]*/[^/]*)", 1)
     u = read(spark, sf_dir, "pages").select("url").distinct()
-    r = read(spark, sf_dir, "pages").filter("page_id % 3 = 0").select(key(F.col("url")).alias("ref")).distinct()
+    r = read(spark, sf_dir, "pages").select(key(F.col("url")).alias("ref")).distinct()
     # every reference that an address starts with is the beginning of its first segment: all of them are keys
     first = F.regexp_extract("url", "^(https?://[^/]*/)", 1)
     keys = F.transform(F.sequence(F.length(first), F.length(key(F.col("url")))), lambda n: F.substring(F.col("url"), F.lit(1), n))
     return u.select("url", F.explode(keys).alias("ref")).join(r, "ref").groupBy("url").agg(F.count("*").alias("refs"))
 
 
-NAMES = "regexp_replace(lower(p_name), '[^a-z0-9%]+', ' ', 'g')"
+NAMES = "regexp_replace(lower(id), '[^a-z0-9%]+', ' ', 'g')"
 
 
-@slate(f"""WITH n AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split(trim({NAMES}), ' '), lambda t: length(t) > 2 AND t NOT IN ('the', 'and', 'for', 'with', 'that'))) AS t FROM part),
-    a AS (SELECT * FROM n WHERE id % 10 = 1 AND id < 500), b AS (SELECT * FROM n WHERE id % 10 = 2 AND id < 500)
-    SELECT a.id AS left_id, b.id AS right_id FROM a, b WHERE len(list_intersect(a.t, b.t)) >= greatest(1, (least(len(a.t), len(b.t)) + 1) // 2)""")
+@slate(f"""WITH d AS (SELECT DISTINCT p_type AS id FROM part), n AS (SELECT id, list_distinct(list_filter(string_split(trim({NAMES}), ' '), lambda t: length(t) > 2 AND t NOT IN ('the', 'and', 'for', 'with', 'that'))) AS t FROM d)
+    SELECT a.id AS left_id, b.id AS right_id FROM n a, n b WHERE len(list_intersect(a.t, b.t)) >= greatest(1, (least(len(a.t), len(b.t)) + 1) // 2)""")
 def token_overlap_join(spark, sf_dir):
-    """Names of packages that share half of the shorter one's words: a report on the catalog's first 500."""
-    n = read(spark, sf_dir, "part").filter("p_partkey < 500").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return e.overlapping(n.filter("id % 10 = 1"), n.filter("id % 10 = 2"))
+    """Names of types that share half of the shorter one's words."""
+    n = read(spark, sf_dir, "part").select(F.col("p_type").alias("id"), F.col("p_type").alias("name")).distinct()
+    return e.overlapping(n, n)
 
 
 @slate("""WITH a AS (SELECT item_id AS case_id, CASE WHEN item_id % 7 <> 3 THEN text END AS answer FROM benchmark)
-    SELECT case_id, len(list_filter(['tion', 'the'], lambda n: contains(lower(coalesce(answer, '')), n))) / 2 AS included, CASE WHEN case_id % 2 = 0 THEN (len(list_filter(['zzz', 'un'], lambda n: contains(lower(coalesce(answer, '')), n))) = 0)::INT::DOUBLE END AS forbidden_ok FROM a WHERE case_id < 50""")
+    SELECT case_id, len(list_filter(['tion', 'the'], lambda n: contains(lower(coalesce(answer, '')), n))) / 2 AS included, CASE WHEN case_id % 2 = 0 THEN (len(list_filter(['zzz', 'un'], lambda n: contains(lower(coalesce(answer, '')), n))) = 0)::INT::DOUBLE END AS forbidden_ok FROM a""")
 def eval_answers(spark, sf_dir):
     """What answers must include, and what they must not."""
     answers = read(spark, sf_dir, "benchmark").filter("item_id % 7 <> 3").select(F.col("item_id").alias("case_id"), F.col("text").alias("answer"))
@@ -119,12 +118,12 @@ def eval_failures(spark, sf_dir):
     return e.most_common(e.failure(found), "bucket")
 
 
-@slate("""WITH now AS (SELECT lang AS metric, avg(n_chars) AS value FROM documents WHERE doc_id % 2 = 0 GROUP BY lang), base AS (SELECT lang AS metric, avg(n_chars) + 10 AS value FROM documents WHERE lang <> 'fr' GROUP BY lang)
+@slate("""WITH now AS (SELECT lang AS metric, avg(n_chars) AS value FROM documents GROUP BY lang), base AS (SELECT lang AS metric, avg(n_chars) + 10 AS value FROM documents WHERE lang <> 'fr' GROUP BY lang)
     SELECT coalesce(n.metric, b.metric) AS metric, round(n.value - b.value, 6) AS delta, coalesce(n.value - b.value < -0.05, false) AS failed FROM now n FULL JOIN base b ON n.metric = b.metric""")
 def eval_baseline(spark, sf_dir):
     """Measures against a baseline that lacks one of them."""
     d = read(spark, sf_dir, "documents")
-    now = d.filter("doc_id % 2 = 0").groupBy(F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("value"))
+    now = d.groupBy(F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("value"))
     base = d.filter("lang <> 'fr'").groupBy(F.col("lang").alias("metric")).agg((F.avg("n_chars") + 10).alias("value"))
     return e.gate(now, base).select("metric", F.round("delta", 6).alias("delta"), "failed")
 

@@ -179,7 +179,7 @@ def title_boost(spark, sf_dir):
 @slate(DESCRIBED + """, g AS (SELECT *, package AND pricing AND NOT detail AS gone FROM described), k AS (SELECT *, bool_and(gone) OVER (PARTITION BY query_id) AS all_gone FROM g),
     u AS (SELECT *, CASE WHEN package AND detail THEN least(0.99, score + 0.22) ELSE score END AS s FROM k WHERE NOT gone OR all_gone),
     b AS (SELECT *, CASE WHEN package AND detail AND documents AND root IN ('documents_required', 'documents', 'documents_from_authority', 'more_about_required_documents') THEN least(0.99, s + 0.18) WHEN package AND detail AND documents AND root IN ('faq', 'faqs') THEN greatest(0.01, s - 0.12) ELSE s END AS b FROM u)
-    SELECT query_id, doc_id, round(b, 6) AS boosted, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN package THEN -round(b, 6) ELSE 0 END, rank))::INT AS rank FROM b""")
+    SELECT query_id, doc_id, round(b, 6) AS boosted, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN package THEN -b ELSE 0 END, rank))::INT AS rank FROM b""")
 def package_focus(spark, sf_dir):
     df = r.package_focus(described_of(spark, sf_dir)).withColumn("boosted", F.round("score", 6))
     return df.select("query_id", "doc_id", "boosted", "rank")
@@ -187,9 +187,9 @@ def package_focus(spark, sf_dir):
 
 @slate(DESCRIBED + """, h AS (SELECT *, wide AND NOT package AND section AND country_hit AS hit FROM described),
     u AS (SELECT *, CASE WHEN hit THEN least(0.99, score + 0.18) ELSE score END AS s, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit, hit AND list_contains(targets, 'compare') AND root = 'compare' AS cmp, len(regexp_extract_all(heading_path, '>')) AS deep FROM h),
-    b AS (SELECT *, round(CASE WHEN cmp AND deep = 0 THEN least(0.99, s + 0.35) WHEN cmp AND deep = 1 THEN least(0.99, s + 0.28) WHEN cmp THEN greatest(0.01, s - 0.08) ELSE s END, 6) AS b FROM u),
+    b AS (SELECT *, CASE WHEN cmp AND deep = 0 THEN least(0.99, s + 0.35) WHEN cmp AND deep = 1 THEN least(0.99, s + 0.28) WHEN cmp THEN greatest(0.01, s - 0.08) ELSE s END AS b FROM u),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN any_hit THEN -b ELSE 0 END, rank) AS n FROM b)
-    SELECT query_id, doc_id, b AS boosted, n::INT AS rank FROM k WHERE NOT (wide AND NOT package AND len(countries) > 0 AND section AND NOT country_hit)""")
+    SELECT query_id, doc_id, round(b, 6) AS boosted, n::INT AS rank FROM k WHERE NOT (wide AND NOT package AND len(countries) > 0 AND section AND NOT country_hit)""")
 def catalog_focus(spark, sf_dir):
     """Wanted sections rise; those of other countries go."""
     df = r.country_filter(r.catalog_boost(described_of(spark, sf_dir)))

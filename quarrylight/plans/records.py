@@ -61,14 +61,14 @@ def service_answers(spark, sf_dir):
     return reports.service_answer(reports.nested_catalog(listing, "p_type", "pos", ["name"]), "p_type", question, most=10)
 
 
-@slate("""WITH f AS (SELECT s_nationkey AS k, list(s_name ORDER BY s_suppkey) AS l FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1), p AS (SELECT c_nationkey AS k, list(c_name ORDER BY c_custkey) AS l FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1),
+@slate("""WITH f AS (SELECT s_nationkey AS k, list(s_name ORDER BY s_suppkey) AS l FROM supplier GROUP BY 1), p AS (SELECT c_nationkey AS k, list(c_name ORDER BY c_custkey) AS l FROM customer GROUP BY 1),
     n AS (SELECT n_name AS country, n_nationkey % 2 = 0 AS wants, coalesce(f.l, []) AS f, coalesce(p.l, []) AS p FROM nation LEFT JOIN f ON f.k = n_nationkey LEFT JOIN p ON p.k = n_nationkey),
     a AS (SELECT country, CASE WHEN wants THEN 'funds' WHEN len(p) > 0 THEN 'packages' ELSE 'funds' END AS kind, f, p FROM n), b AS (SELECT *, CASE WHEN kind = 'funds' THEN f ELSE p END AS l, CASE WHEN kind = 'funds' THEN ' (from USD 10)' ELSE ' (from AED 2.50)' END AS price FROM a)
     SELECT country, kind, len(l)::INT AS n, country || ' has ' || len(l)::VARCHAR || ' ' || kind || CASE WHEN len(l) = 0 THEN '.' ELSE ':' || chr(10) || array_to_string(list_transform(list_slice(l, 1, CASE WHEN len(l) <= 12 THEN 12 ELSE 8 END), lambda x, i: i::VARCHAR || '. ' || x || price), chr(10)) || CASE WHEN len(l) > 12 THEN chr(10) || 'and ' || (len(l) - 8)::VARCHAR || ' more' ELSE '' END END AS answer FROM b""")
 def country_answers(spark, sf_dir):
     """Funds or packages of a country with prices."""
-    listed = lambda t, k, o, name, price, cur, where: reports.in_order([k], read(spark, sf_dir, t).filter(where), o, F.struct(F.col(name).alias("name"), F.lit(price).alias("price"), F.lit(cur).alias("currency")), "l")
-    funds, packages = listed("supplier", "s_nationkey", "s_suppkey", "s_name", 10.0, "usd", "s_suppkey % 2 = 0"), listed("customer", "c_nationkey", "c_custkey", "c_name", 2.5, "AED", "c_custkey % 5 = 0")
+    listed = lambda t, k, o, name, price, cur: reports.in_order([k], read(spark, sf_dir, t), o, F.struct(F.col(name).alias("name"), F.lit(price).alias("price"), F.lit(cur).alias("currency")), "l")
+    funds, packages = listed("supplier", "s_nationkey", "s_suppkey", "s_name", 10.0, "usd"), listed("customer", "c_nationkey", "c_custkey", "c_name", 2.5, "AED")
     none = F.array().cast("array<struct<name:string,price:double,currency:string>>")
     n = read(spark, sf_dir, "nation").join(funds.withColumnRenamed("l", "funds"), F.col("n_nationkey") == F.col("s_nationkey"), "left").join(packages.withColumnRenamed("l", "packages"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
     catalog = n.select("n_nationkey", F.col("n_name").alias("country"), F.coalesce("funds", none).alias("funds"), F.coalesce("packages", none).alias("packages"))
@@ -124,21 +124,21 @@ def ordered_union(spark, sf_dir):
     return reports.ordered_union(n.filter("k % 2 = 0").withColumn("pos", F.col("k")), n.filter("k % 3 = 0").withColumn("pos", -F.col("k")), key="k")
 
 
-@slate("""WITH m AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0), i AS (SELECT DISTINCT s_nationkey AS k FROM supplier), a AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 2), u AS (SELECT k FROM m UNION SELECT k FROM i)
+@slate("""WITH m AS (SELECT DISTINCT c_nationkey AS k FROM customer), i AS (SELECT DISTINCT s_nationkey AS k FROM supplier), a AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 2), u AS (SELECT k FROM m UNION SELECT k FROM i)
     SELECT (SELECT count(*) FROM m) AS main, (SELECT count(*) FROM i) AS industry, (SELECT count(*) FROM u) AS union, (SELECT count(*) FROM (SELECT k FROM u EXCEPT SELECT k FROM a)) AS unfetched, (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM u)) AS unlisted,
     greatest(0, (SELECT count(*) FROM m) + (SELECT count(*) FROM i) - (SELECT count(*) FROM u)) AS repeats, (SELECT count(*) FROM (SELECT k FROM u EXCEPT SELECT k FROM a)) + (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM u)) = 0 AS same""".replace("AS union,", 'AS "union",'))
 def overlap_account(spark, sf_dir):
     """Repeats between discoveries and what one side lacks."""
-    main = read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"))
+    main = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
     return reports.overlap_account(main, read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), read(spark, sf_dir, "nation").filter("n_nationkey > 2").select(F.col("n_nationkey").alias("k")), "k")
 
 
-@slate("""WITH h AS (SELECT source, list_distinct(list(CASE doc_id % 3 WHEN 0 THEN 'faq' WHEN 1 THEN 'pricing' ELSE 'terms' END)) AS h FROM documents WHERE doc_id % 40 < 38 GROUP BY source)
+@slate("""WITH h AS (SELECT source, list_distinct(list(CASE WHEN source = 'src1' THEN 'terms' WHEN doc_id % 3 = 0 THEN 'faq' WHEN doc_id % 3 = 1 THEN 'pricing' ELSE 'terms' END)) AS h FROM documents GROUP BY source)
     SELECT source, array_to_string(list_filter(['faq', 'pricing', 'overview'], lambda x: NOT list_contains(h, x)), ',') AS missing FROM h""")
 def missing_sections(spark, sf_dir):
     """Expected sections that a source lacks."""
-    path = F.expr("CASE doc_id % 3 WHEN 0 THEN 'FAQ > One' WHEN 1 THEN ' pricing' ELSE 'terms' END")
-    found = read(spark, sf_dir, "documents").filter("doc_id % 40 < 38").select("source", path.alias("heading_path"))
+    path = F.expr("CASE WHEN source = 'src1' THEN 'terms' WHEN doc_id % 3 = 0 THEN 'FAQ > One' WHEN doc_id % 3 = 1 THEN ' pricing' ELSE 'terms' END")
+    found = read(spark, sf_dir, "documents").select("source", path.alias("heading_path"))
     return reports.missing_sections(found, "source", ["faq", "pricing", "overview"]).select("source", F.array_join("missing", ",").alias("missing"))
 
 
