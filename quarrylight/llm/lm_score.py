@@ -49,7 +49,7 @@ END = 256
 CHUNK, GROUP, BATCH = 1 << 21, 1 << 18, 1 << 23
 #: Bytes predicted with what those before taught: the first steps, then twice as many up to the last.
 STEPS, STEP = (32, 64, 128, 256, 512, 1024, 2048), 4096
-GATES, RANGES = 16, 16
+GATES, RANGES, UNIT = 16, 16, 512
 START_WEIGHT, RATE, CORRECTION_RATE, FULL_STEP = 0.6, 0.02, 0.02, 512
 #: A segment has 128 bytes on average and a context of 16.
 ANCHOR_MASK, CONTEXT = 127, 16
@@ -244,7 +244,7 @@ def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray])
     rank = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     sizes = np.array([len(texts[i]) + 1 for i in rank])
     out = [np.zeros(len(t) + 1, np.float32) for t in texts]
-    weights = [np.full(len(texts) * GATES, START_WEIGHT, np.float32) for _ in ORDERS]
+    weights = [np.full(len(texts) * GATES, START_WEIGHT / UNIT, np.float32) for _ in ORDERS]
     shift = np.zeros(len(texts) * RANGES, np.float32)
     lo, steps = 0, iter(STEPS)
     while lo < sizes[0]:
@@ -268,27 +268,27 @@ def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray])
         found = [t[(hashed(k, c)[which] + step) & (len(t) - 1)] for k, (t, c) in enumerate(zip(tables, before, strict=True))]
         mine = owner[which]
         chosen = mine * GATES + ((found[-1] & 3) << 2 | (found[-2] & 3))
-        inputs = [(f >> 2).astype(np.float32) * np.float32(1 / 512) for f in found]
+        inputs = [(f >> 2).astype(np.float32) for f in found]  # in 1/512, as the weights know
         z = weights[0][chosen] * inputs[0]
         for k in range(1, len(ORDERS)):
             z += weights[k][chosen] * inputs[k]
         np.clip(z, -15.9, 15.9, out=z)
         where = mine * RANGES + ((z + 16) * (RANGES / 32)).astype(np.int64)
-        e = np.exp(-sign * z)
-        error = sign * (e / (1 + e))
-        refined = np.exp(-sign * (z + shift[where]))
+        z += shift[where]
+        z *= sign
+        refined = np.exp(-z)
         per = np.bincount(which, np.log1p(refined), len(symbol))
         at = np.concatenate([[0], np.cumsum(width)])
         for r in range(alive):
             out[rank[r]][lo : lo + width[r]] = -per[at[r] : at[r + 1]]
         if hi < sizes[0]:
+            error = sign * (refined / (1 + refined))
             pace = RATE / 8 * min(1.0, FULL_STEP / (hi - lo))  # long steps teach by their average
             for k, x in enumerate(inputs):
                 change = np.bincount(chosen, error * x, alive * GATES)
-                weights[k][: alive * GATES] += (pace * change).astype(np.float32)
-            late = sign * (refined / (1 + refined))
-            seen = np.bincount(where, minlength=alive * RANGES)
-            shift[: alive * RANGES] += (CORRECTION_RATE * np.bincount(where, late, alive * RANGES) / np.sqrt(seen + 1)).astype(np.float32)
+                weights[k][: alive * GATES] += (pace / UNIT**2 * change).astype(np.float32)
+            usual = len(which) / (alive * RANGES)  # decisions of a text in a range
+            shift[: alive * RANGES] += (CORRECTION_RATE / math.sqrt(usual + 1) * np.bincount(where, error, alive * RANGES)).astype(np.float32)
             np.clip(shift, -3, 3, out=shift)
         lo = hi
     return out
