@@ -287,7 +287,7 @@ def log_probabilities(texts: list[bytes], code: Code, tables: list[np.ndarray])
             for k, x in enumerate(inputs):
                 change = np.bincount(chosen, error * x, alive * GATES)
                 weights[k][: alive * GATES] += (pace / UNIT**2 * change).astype(np.float32)
-            usual = len(which) / (alive * RANGES)  # decisions of a text in a range
+            usual = 4 * (hi - lo) / RANGES  # decisions of a text in a range, about
             shift[: alive * RANGES] += (CORRECTION_RATE / math.sqrt(usual + 1) * np.bincount(where, error, alive * RANGES)).astype(np.float32)
             np.clip(shift, -3, 3, out=shift)
         lo = hi
