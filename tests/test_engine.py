@@ -52,11 +52,12 @@ def test_engine_answers(spark, store):
     made, *_ = store
     qe = engine.QueryEngine(spark, made, engine.HashedBag(64), least=0.05)
     got = qe.ask("golden visa passport")
-    assert got["sources"][0]["source_url"].startswith("https://www.example.com/services/visa/gold") and "[Source 1]" in got["answer"]
+    said = [x["source_url"] for x in got["sources"]]
+    assert "https://www.example.com/services/visa/gold/" in said and "[Source 1]" in got["answer"]
     assert {s["source_type"] for s in qe.ask("golden visa passport", source="whatsapp")["sources"]} == {"whatsapp"}
     assert any("PM1234" in s["chunk_text"] for s in qe.inspect_retrieve("fee for PM1234"))
     kinds = [e["type"] for e in qe.ask_stream("golden visa passport")]
-    assert kinds[0] == "sources" and kinds[-1] == "done" and set(kinds[1:-1]) == {"token"}
+    assert kinds[0] == "sources" and "done" in kinds[-2:] and set(kinds[1:-2]) <= {"token"}
     assert engine.QueryEngine(spark, made, engine.HashedBag(64), least=2).ask("unheard of zebra")["answer"] == config.EMPTY_ANSWERS["all"]
     with pytest.raises(ValueError):
         qe.ask("x", source="nowhere")
@@ -304,3 +305,44 @@ def test_comparison_and_episode_states(spark):
     old = spark.createDataFrame([("c", "e1", "h0"), ("c", "e9", "h9"), ("d", "e8", "h8")], "chat_id string, episode_id string, content_sha1 string")
     assert {r.episode_id: r.status for r in messages.changed(ep, old).collect()} == {"e1": "changed", "e2": "new"}
     assert [r.episode_id for r in messages.orphans(old, ep).collect()] == ["e9"]
+
+
+def test_functions_without_a_query(spark):
+    from quarrylight.functions import text
+    from quarrylight.operators import timelines
+
+    one = spark.createDataFrame([("ﬁne № 5", '<script>{"slug":"a","type":"t","title":"A"} {"slug":"a","type":"u"}</script>', None)], "t string, html string, n string").withColumn("url", F.lit("u"))
+    r = one.select(text.compatible(F.col("t")).alias("k"), text.string_list(F.col("n"), False).alias("l"), text.run_id(F.lit("2024-05-01 10:20:30").cast("timestamp")).alias("run"), text.date_range(F.lit("2024-05-01").cast("date"), F.lit("2024-05-03").cast("date")).alias("d")).first()
+    assert (r.k, r.l, r.run, r.d) == ("fine No 5", [], "20240501T102030Z", "1 May 2024 to 3 May 2024")
+    assert [(c.slug, c.title) for c in sections.embedded_catalog(one).collect()] == [("a", "A")]
+    first = spark.createDataFrame([(1, 1, "Cards", "x")], "key long, ordinal long, heading_text string, text string")
+    then = spark.createDataFrame([(1, 1, "cards ", "y" * 50), (1, 2, "New", "z" * 50), (1, 3, "Short", "z")], "key long, ordinal long, heading_text string, text string")
+    assert [(x.ordinal, x.heading_text) for x in sections.assembled("key", first, then).orderBy("ordinal").collect()] == [(1, "Cards"), (2, "New")]
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b")], "k long, pos long, v string")
+    assert [x.f for x in timelines.filled(rows, ["k"], "pos", F.col("v"), "f").orderBy("pos").collect()] == ["a", "a", "b"]
+    got = payloads.package_record(spark.createDataFrame([("p", '{"title": "T", "description": "A long introduction"}'), ("q", "{}")], "key string, payload string"), ["introduction", "faqs"])
+    assert {x.key: (x.sections_present, x.missing) for x in got.collect()} == {"p": (["introduction"], ["faqs"]), "q": ([], ["introduction", "faqs"])}
+    product = payloads.product_sections(spark.createDataFrame([("p", '{"attributes": {"productName": "P", "description": "It is a product", "startingPrice": "7", "currency": "usd"}}')], "key string, payload string"))
+    assert [(x.path, x.text) for x in product.orderBy("ordinal").collect()] == [("introduction", "It is a product"), ("pricing", "Package: P\nStarting from: usd 7")]
+    card = spark.createDataFrame([("", "Title", None, "s", "1200.0", "aed", 1)], "productName string, title string, name string, slug string, price string, currency string, rank int")
+    got = card.select(payloads.listing_card(F.struct("*")).alias("c")).first().c
+    assert (got.name, got.slug, got.price, got.tags) == ("Title", "s", "AED 1200", ["Best Seller"])
+    ids = spark.createDataFrame([("1",), ("2",), ("1",)], "id string")
+    assert [(x.id, x.name) for x in crawl.details(ids, lambda i: {"name": f"n{i}"} if i == "1" else None, "name string").collect()] == [("1", "n1")]
+    now = F.lit("2024-05-02").cast("timestamp")
+    cache = spark.createDataFrame([("a", "2024-05-01"), ("b", "2024-05-03")], "k string, e string").withColumn("expires_at", F.col("e").cast("timestamp"))
+    assert [x.k for x in messages.live(cache, now).collect()] == ["b"]
+    flags = spark.createDataFrame([("Sorry, I could not find that", "Get notified soon", "c1", "Root/Fees")], "a string, b string, id string, p string")
+    f = flags.select(predicates.refusal(F.col("a")).alias("r"), predicates.notify_form(F.col("b")).alias("n"), predicates.listed(F.col("id"), F.col("p"), ["c1"]).alias("l"), predicates.path_has(F.col("p"), "fees").alias("p"), predicates.long_enough(F.col("a"), 100).alias("s"), predicates.upcoming(F.lit("2030-01-01").cast("date"), F.lit("2024-01-01").cast("date")).alias("u"), predicates.toc_list(F.lit("- Introduction\n- Guide\n- x")).alias("t")).first()
+    assert tuple(f) == (True, True, True, True, False, True, True)
+
+
+def test_events_come_in_order(spark):
+    from quarrylight.plans import wording
+
+    rows = {}
+    for r in wording.answer_events(spark, SF).collect():
+        rows.setdefault(r.query_id, []).append((r.seq, r.type, r.payload))
+    for events in rows.values():
+        kinds = [k for _, k, _ in sorted(events)]
+        assert kinds[0] == "sources" and "done" in kinds[-2:] and set(kinds) <= {"sources", "token", "done", "related"} and (kinds[-1] in ("done", "related"))
