@@ -30,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder, with the writer's options, and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrylight/{name}-{uuid.uuid4().hex}"
     with no_shuffle_files(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     _remember(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarrylight_path = path

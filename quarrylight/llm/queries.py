@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, chat_format, exact_dedup, html_extract, lm_score, near_dedup, packing, pii, quality_rules, toxicity
-from quarrylight.llm.common import table
+from quarrylight.llm import bpe, chat_format, exact_dedup, fill_middle, html_extract, language_id, lexical_search, lm_score, near_dedup, packing, pii, quality_rules, toxicity
+from quarrylight.llm.common import drop, table, written
 
 #: Where the public vocabulary files are; read by the driver only.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -68,7 +68,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", pre_token_pattern())
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_quality_rules, op3_pii, op4_chat_format, op5_html_extract, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_packing, op10_bpe)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(table(spark, sf_dir, "documents"))
+    asked = written(lexical_search.search(index, table(spark, sf_dir, "benchmark")), "answers")
+    index.close()
+    return asked
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_quality_rules, op3_pii, op4_chat_format, op5_html_extract, op6_toxicity, op7_near_dedup, op8_exact_dedup, op9_packing, op10_bpe, op11_lexical_search, op12_fill_middle, op13_language_id)}
 
 ORACLES = {
     "op4_chat_format": r"""
@@ -89,6 +107,45 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             doc_id = min(doc_id) OVER same AS kept, text_sha256
         FROM normal WINDOW same AS (PARTITION BY text_sha256)""",
+    "op11_lexical_search": r"""
+        WITH low AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        docs AS (SELECT r, doc_id, len(terms)::BIGINT AS n, terms FROM low WHERE len(terms) > 0),
+        corpus AS (SELECT count(*) AS nd, sum(n)::BIGINT AS total FROM docs),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        found AS (
+            SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+            FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM found, corpus GROUP BY term, nd),
+        scored AS (
+            SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // total)))))::BIGINT AS score
+            FROM asked JOIN found USING (term) JOIN weights USING (term), corpus GROUP BY item_id, r, doc_id)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 50""",
+    "op12_fill_middle": r"""
+        WITH drawn AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+                sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents),
+        numbers AS (
+            SELECT *, len(tokens)::BIGINT AS n, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT FOR i IN [0, 1, 2, 3]] AS k FROM drawn),
+        cut AS (
+            SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS one, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS two,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 90 THEN 'plain'
+                    WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM numbers),
+        parts AS (
+            SELECT *, array_to_string(tokens[1:one], '') AS prefix, array_to_string(tokens[one + 1:two], '') AS middle, array_to_string(tokens[two + 1:], '') AS suffix FROM cut)
+        SELECT doc_id, n, form,
+            CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts""",
 }
 
 
