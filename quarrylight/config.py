@@ -40,11 +40,53 @@ SECTION_CUES = (
 CATALOG_SECTIONS = ("selling_points", "faq", "faqs", "process_flow", "top_funds", "top_packages", "market_insights", "overview", "compare", "introduction", "highlights", "highlights_and_benefits", "terms", "terms_and_conditions", "documents", "pricing")
 COUNTRY_CUES = (
     (r"(?is)\bhong\s*kong\b|\b/hk\b", ("hk", "hong kong", "hong-kong")),
+    (r"(?is)\bguernsey\b|\b/gg\b", ("gg", "guernsey")),
     (r"(?is)\buae\b|united arab emirates|\b/ae\b", ("ae", "uae")),
     (r"(?is)\bsaudi\b|\bksa\b|\b/sa\b", ("sa", "saudi")),
     (r"(?is)\bsingapore\b|\b/sg\b", ("sg", "singapore")),
+    (r"(?is)\bmauritius\b|\b/mu\b", ("mu", "mauritius")),
+    (r"(?is)\bcyprus\b|\b/cy\b", ("cy", "cyprus")),
     (r"(?is)\bireland\b|\b/ie\b", ("ie", "ireland")),
+    (r"(?is)\bluxembourg\b|\b/lu\b", ("lu", "luxembourg")),
+    (r"(?is)\bmalaysia\b|\b/my\b", ("my", "malaysia")),
+    (r"(?is)\bcayman\b|\b/cym\b", ("cym", "cayman")),
+    (r"(?is)\bbvi\b|british virgin|\b/vg\b", ("vg", "virgin", "bvi")),
+    (r"(?is)\bpuerto\s*rico\b|\b/pr\b", ("pr", "puerto")),
     (r"(?is)\bunited\s+kingdom\b|\buk\b|\b/gb\b", ("gb", "uk", "united kingdom", "united-kingdom")),
+    (r"(?is)\bsaint\s+vincent|\bst\.?\s*vincent|\b/vc\b", ("vc", "vincent", "grenadines")),
+)
+
+# How questions call countries and services, and the names that catalogs have for them.
+COUNTRY_ALIASES = (
+    (r"(?is)\bhong\s*kong\b", "Hong Kong"),
+    (r"(?is)\bsaint\s+vincent|\bst\.?\s*vincent|\bgrenadines\b", "Saint Vincent and the Grenadines"),
+    (r"(?is)\bbritish\s+virgin|\bbvi\b", "British Virgin Islands"),
+    (r"(?is)\bcayman\b", "Cayman Island"),
+    (r"(?is)\bsaudi\b|\bksa\b|kingdom\s+of\s+saudi", "Saudi Arabia"),
+    (r"(?is)\bunited\s+arab|\buae\b", "UAE"),
+    (r"(?is)\bunited\s+kingdom\b|\buk\b|\bgreat\s+britain\b", "United Kingdom"),
+    (r"(?is)\bpuerto\s*rico\b", "Puerto Rico"),
+    (r"(?is)\bluxembourg\b", "Luxembourg"),
+    (r"(?is)\bsingapore\b", "Singapore"),
+    (r"(?is)\bmauritius\b", "Mauritius"),
+    (r"(?is)\bcyprus\b", "Cyprus"),
+    (r"(?is)\bireland\b", "Ireland"),
+    (r"(?is)\bmalaysia\b", "Malaysia"),
+    (r"(?is)\bguernsey\b", "Guernsey"),
+)
+SERVICE_ALIASES = (
+    (r"(?is)\bpost[\s-]?setup\b", "Post Setup Compliance"),
+    (r"(?is)\bvisa\b", "Visa Services"),
+    (r"(?is)\battestat", "Attestation"),
+    (r"(?is)\baccounting\b|\bbook\s*keep|\bbookeep", "Accounting & Bookkeeping"),
+    (r"(?is)\blegal\b", "Legal Services"),
+    (r"(?is)\bproduct\s+registration\b|\bcertification\b", "Product Registration & Certification"),
+    (r"(?is)\bliquidat", "Liquidation"),
+    (r"(?is)\bbanking\b", "Banking Services"),
+    (r"(?is)\bwill\b|\bdrafting\b", "Will Drafting Services"),
+    (r"(?is)\binsights?\b|\bbusiness\s+guides?\b", "Product Insights & Guides"),
+    (r"(?is)\bfunds?\b", "Funds"),
+    (r"(?is)\bother\s+services?\b", "Other Services"),
 )
 
 # Package details and documents.
@@ -67,7 +109,7 @@ ELLIPTICAL = r"(?is)^\s*(?:(?:what|how)\s+about\s+(?:the\s+)?(?:cost|fees?|price
 
 # Limits of an answer: (returned, per address, candidates).
 LIMITS, LIST_LIMITS, PACKAGE_LIMITS = (5, 2, 20), (12, 10, 40), (12, 8, 40)
-MIN_SCORE = 0.25
+MIN_SCORE = 0.45
 
 # Noise in pages.
 NOISE_TEXT = r"(?i)get in touch|join our newsletter|related articles|book a consultation|summarize this article|chatgpt|perplexity|load more|more articles by themes"

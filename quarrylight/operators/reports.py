@@ -23,16 +23,16 @@ def nested_catalog(listing: DataFrame, service: str, order: str, fields: list[st
     return in_order([service], named, order, F.struct(*fields), "packages").select(service, F.size("packages").alias("n"), "packages")
 
 
-def service_answer(catalog: DataFrame, service: str, question: Column, most: int = 40, shown: int = 8) -> DataFrame:
-    """A count with names: all of them up to `most` or where a list is asked for, else `shown` and how many more."""
+def service_answer(catalog: DataFrame, service: str, question: Column, most: int = 40, shown: int = 8, *more: str) -> DataFrame:
+    """A count with names: all of them up to `most` or where a list is asked for, else `shown` and how many more; the columns `more` stay."""
     every = (F.col("n") <= most) | question.rlike(config.LIST_WORD)
     names = F.transform("packages", lambda x: x["name"])
     said = F.when(every, F.array_join(names, "; ")).otherwise(F.concat(F.array_join(F.slice(names, 1, shown), "; "), F.lit(" and "), (F.col("n") - shown).cast("string"), F.lit(" more")))
-    return catalog.select(service, "n", F.concat(F.col(service), F.lit(" has "), F.col("n").cast("string"), F.lit(" packages: "), said).alias("answer"))
+    return catalog.select(service, "n", *more, F.concat(F.col(service), F.lit(" has "), F.col("n").cast("string"), F.lit(" packages: "), said).alias("answer"))
 
 
-def country_answer(catalog: DataFrame, question: Column, most: int = 12, shown: int = 8) -> DataFrame:
-    """(country, kind, n, answer) of a catalog (country, funds, packages: lists of structs name, price, currency): the kind asked for, funds where there are no packages; all where a list is asked for or up to `most`."""
+def country_answer(catalog: DataFrame, question: Column, *more: str, most: int = 12, shown: int = 8) -> DataFrame:
+    """(country, kind, n, answer) of a catalog (country, funds, packages: lists of structs name, price, currency): the kind asked for, funds where there are no packages; all where a list is asked for or up to `most`; the columns `more` stay, among them `items` if wanted."""
     kind = F.when(question.rlike(config.FUNDS_CUE) & ~question.rlike(config.PACKAGES_CUE), "funds").when(F.size("packages") > 0, "packages").otherwise("funds")
     items = F.when(kind == "funds", F.col("funds")).otherwise(F.col("packages"))
     price = lambda x: F.coalesce(F.concat(F.lit(" (from "), text.priced(x["price"].cast("string"), x["currency"]), F.lit(")")), F.lit(""))
@@ -40,7 +40,7 @@ def country_answer(catalog: DataFrame, question: Column, most: int = 12, shown:
     n = F.size(items)
     every = question.rlike(config.LIST_WORD) | (n <= most)
     body = F.when(every, lines(items)).otherwise(F.concat(lines(F.slice(items, 1, shown)), F.lit("\nand "), (n - shown).cast("string"), F.lit(" more")))
-    return catalog.select("country", kind.alias("kind"), n.alias("n"), F.concat(F.col("country"), F.lit(" has "), n.cast("string"), F.lit(" "), kind, F.when(n > 0, F.concat(F.lit(":\n"), body)).otherwise(".")).alias("answer"))
+    return catalog.withColumn("items", items).select("country", kind.alias("kind"), n.alias("n"), *more, F.concat(F.col("country"), F.lit(" has "), n.cast("string"), F.lit(" "), kind, F.when(n > 0, F.concat(F.lit(":\n"), body)).otherwise(".")).alias("answer"))
 
 
 def longest_name(question: Column, names: list[str]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,33 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     return F.broadcast(df) if n <= rows and held <= size else df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` computed once and its lineage cut, by a checkpoint in the folder of spark.checkpoint.dir; without one in local mode a temporary folder does."""
+def shared_dir(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir; without one in local mode a temporary folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         path = context.getConf().get("spark.checkpoint.dir")
         if not path and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="quarrylight-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once and its lineage cut, by a checkpoint in the shared folder."""
+    shared_dir(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, **options) -> DataFrame:
+    """`df` written as a Parquet table in the shared folder, with the writer's options, and read again; it is deleted when the process ends."""
+    path = f"{shared_dir(df)}/{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(where)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, name: str, keys: list[str], *order: str | Column) -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 

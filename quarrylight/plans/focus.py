@@ -196,10 +196,10 @@ def catalog_focus(spark, sf_dir):
     return df.select("query_id", "doc_id", F.round("score", 6).alias("boosted"), "rank")
 
 
-@slate(DESCRIBED + ", g AS (SELECT query_id, doc_id, score >= 0.25 OR code_hit OR title_hit AS kept FROM described) SELECT query_id, doc_id FROM g WHERE kept")
+@slate(DESCRIBED + f", g AS (SELECT query_id, doc_id, score >= {c.MIN_SCORE} OR code_hit OR title_hit AS kept FROM described) SELECT query_id, doc_id FROM g WHERE kept")
 def score_gate(spark, sf_dir):
     """Enough score, or a code or title of the question."""
-    return r.gate(described_of(spark, sf_dir), 0.25).select("query_id", "doc_id")
+    return r.gate(described_of(spark, sf_dir)).select("query_id", "doc_id")
 
 
 @slate(DESCRIBED + """, p AS (SELECT *, package AND detail AND root IN ('introduction', 'highlights_and_benefits', 'highlights', 'process_flow', 'faqs', 'faq', 'terms_and_conditions', 'terms', 'pricing', 'documents', 'documents_required', 'documents_from_authority') AS first, rtrim(lower(source_url), '/') AS page FROM described),

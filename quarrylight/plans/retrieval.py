@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions import text
-from quarrylight.operators import rows
+from quarrylight.engine import HashedBag
+from quarrylight.operators import lexical, rows
 from quarrylight.operators.retrieval import contained
 from quarrylight.operators.vectors import top_k
 from quarrylight.plans import Slate, read
@@ -117,17 +117,9 @@ def title_contains_join(spark, sf_dir):
     return rows.numbered(hits, "position", ["doc_id"], F.desc("n"), "item_id").select("doc_id", "item_id", "position")
 
 
-def bm25_scores(docs: DataFrame, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(item_id, doc_id, score): BM25 of every document that has a term of the question; postings only of asked terms, all terms of every question."""
-    tokens = docs.select("doc_id", text.terms(F.col("text")).alias("terms"))
-    sizes = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
-    query = asked.select("item_id", F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
-    postings = tokens.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(rows.broadcast_if_small(query.select("term").distinct()), "term", "left_semi")
-    tf = postings.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(sizes))  # one row
-    weighted = weighted.withColumn("w", F.expr(f"ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {k1 + 1}D / (tf + {k1}D * (1 - {b}D + {b}D * len / mean))"))
-    return weighted.join(query, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+def bm25_lists(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best documents of every item by BM25, through the index in blocks."""
+    return lexical.top_k(lexical.index(docs), asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k)
 
 
 BM25_SQL = """
@@ -145,24 +137,35 @@ BM25_SQL = """
 @slate(BM25_SQL + "SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM lexical QUALIFY rank <= 10")
 def bm25(spark, sf_dir):
     """The ten best documents of every question by BM25."""
-    scores = bm25_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return rows.numbered(scores, "rank", ["item_id"], F.desc("score"), "doc_id").filter("rank <= 10").select("item_id", "doc_id", "score", "rank")
+    found = bm25_lists(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", "score", "rank")
 
 
-@slate(BM25_SQL + """
+HYBRID_DIM = 64
+
+
+@slate(BM25_SQL + rf"""
     , a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM lexical QUALIFY rank <= 20),
-    e AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY length(d.text), d.doc_id) AS rank FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text)) QUALIFY rank <= 20),
-    f AS (SELECT coalesce(a.item_id, e.item_id) AS item_id, coalesce(a.doc_id, e.doc_id) AS doc_id, round(coalesce(0.4::DOUBLE / (60 + a.rank), 0) + coalesce(0.6::DOUBLE / (60 + e.rank), 0), 9) AS score FROM a FULL JOIN e ON a.item_id = e.item_id AND a.doc_id = e.doc_id)
+    texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+    words AS (SELECT kind, id, ('0x' || md5(w)[1:8])::BIGINT AS h FROM (SELECT kind, id, unnest(regexp_split_to_array(lower(text), '[ 	-]+')) AS w FROM texts) WHERE w <> ''),
+    cells AS (SELECT kind, id, h % {HYBRID_DIM} AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM words GROUP BY ALL),
+    norms AS (SELECT kind, id, sqrt(sum(v * v)) AS norm FROM cells GROUP BY ALL HAVING norm > 0),
+    near AS (
+        SELECT q.id AS item_id, d.id AS doc_id, round(sum(d.v / dn.norm * (q.v / qn.norm)), 6) AS score
+        FROM cells d JOIN norms dn ON dn.kind = 0 AND dn.id = d.id JOIN cells q ON q.place = d.place AND q.kind = 1 JOIN norms qn ON qn.kind = 1 AND qn.id = q.id
+        WHERE d.kind = 0 GROUP BY ALL),
+    e AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 20),
+    f AS (SELECT item_id, doc_id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM (FROM a UNION ALL FROM e) GROUP BY ALL)
     SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_rrf(spark, sf_dir):
-    """Reciprocal rank fusion of BM25 and exact containment."""
+    """Reciprocal rank fusion, half and half, of BM25 and of the nearest embeddings of the texts."""
     docs, asked = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    lexical = rows.numbered(bm25_scores(docs, asked), "ra", ["item_id"], F.desc("score"), "doc_id").filter("ra <= 20").select("item_id", "doc_id", "ra")
-    hits = contained(docs.select(F.col("doc_id").alias("doc"), F.lower("text").alias("low")), asked.select(F.col("item_id").alias("title"), F.lower("text").alias("t")))
-    exact = hits.select(F.col("doc").alias("doc_id"), F.col("title").alias("item_id")).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
-    exact = rows.numbered(exact, "re", ["item_id"], "n", "doc_id").filter("re <= 20").select("item_id", "doc_id", "re")
-    fused = lexical.join(exact, ["item_id", "doc_id"], "full_outer").withColumn("score", F.round(F.expr("coalesce(0.4D / (60 + ra), 0) + coalesce(0.6D / (60 + re), 0)"), 9))
-    return rows.numbered(fused, "rank", ["item_id"], F.desc("score"), "doc_id").filter("rank <= 10").select("item_id", "doc_id", "score", "rank")
+    embedder = HashedBag(HYBRID_DIM, unit=False)
+    vectors = embedder.embed_texts(docs.select(F.col("doc_id").alias("vec_id"), F.lit(0).alias("label"), "text"), "text")
+    questions = embedder.embed_texts(asked.select(F.col("item_id").alias("query_id"), F.lit(0).alias("query_label"), "text"), "text").withColumnRenamed("embedding", "query")
+    dense = top_k(vectors, questions, 20).withColumnRenamed("vec_id", "doc_id")
+    found = lexical.fused([(bm25_lists(docs, asked, 20), 0.5), (dense, 0.5)], 10)
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", "score", "rank")
 
 
 QUERIES, ORACLES = slate.queries, slate.oracles
