@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quarrylight import config
 from quarrylight.functions import predicates, text
 from quarrylight.operators import catalogs, lexical, retrieval, rows, vectors
-from quarrylight.sources.sinks import Snapshots
+from quarrylight.sources.tables import Table
 
 CHUNKS = "chunk_id string, source_url string, source_type string, source_domain string, page_kind string, doc_title string, heading_path string, chunk_text string, content_sha1 string, embedding array<float>"
 
@@ -111,7 +111,7 @@ class VectorStore:
 
     def __init__(self, spark: SparkSession, path: str, dim: int):
         self.dim, self.spark = dim, spark
-        self.table = Snapshots(spark, path, CHUNKS, key="chunk_id", part="source_type")
+        self.table = Table(spark, path, CHUNKS, key="chunk_id", part="source_type")
 
     def upsert_chunks(self, chunks: DataFrame) -> None:
         """Chunks replace those of the same id; a vector of another length raises an error."""

@@ -11,17 +11,23 @@ from quarrylight.engine import CHUNKS, Embedder, VectorStore
 from quarrylight.functions import urls
 from quarrylight.operators import messages, pages, payloads, reports, rows, sections
 from quarrylight.sources import files
-from quarrylight.sources.sinks import Snapshots
+from quarrylight.sources.tables import Table
 
 STATE = "source_url string, content_sha1 string, status string, chunks long"
+ARTIFACTS = "source_url string, source_type string, doc_title string, content_sha1 string, sections array<struct<ordinal:int,heading_path:string,text:string>>"
 
 
 class Ingest:
-    """A store with a state table: documents (source_url, source_type, page_kind, doc_title, service, and sections) become chunks."""
+    """A store with a state table and the documents' sections as artifacts: documents (source_url, source_type, page_kind, doc_title, service, and sections) become chunks.
+
+    All three tables change in one commit.
+    """
 
     def __init__(self, spark: SparkSession, store: VectorStore, embedder: Embedder, state_path: str):
         self.spark, self.store, self.embedder = spark, store, embedder
-        self.state = Snapshots(spark, state_path, STATE, key="source_url")
+        ledger = store.table.ledger
+        self.state = Table(spark, state_path, STATE, key="source_url", ledger=ledger, name="state")
+        self.artifacts = Table(spark, f"{state_path}_artifacts", ARTIFACTS, key="source_url", part="source_type", ledger=ledger, name="artifacts")
 
     def documents(self, found: DataFrame, source_type: str, force: bool = False, dry_run: bool = False, cap: int = 0) -> dict:
         """Sections (source_url, doc_title, page_kind, service, ordinal, section_id, heading_path, text) of documents into the store; counters.
@@ -29,7 +35,7 @@ class Ingest:
         A document's hash is that of its sections; one that is known is skipped unless forced, a
         changed one replaces all its chunks, so that none stays of what has gone.
         """
-        found = rows.settled(found)
+        found = rows.stored(found)
         parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n")
         docs = found.groupBy("source_url").agg(F.sha1(parts).alias("content_sha1"))
         known = self.state.read().select("source_url", F.col("content_sha1").alias("old"))
@@ -40,16 +46,22 @@ class Ingest:
         made = sections.chunks(todo, F.col("source_url"), F.col("doc_title"), F.col("page_kind"), F.col("service"), cap=cap)
         made = rows.keep_first(made, ["chunk_id"], "source_url")
         counted = judged.join(made.groupBy("source_url").agg(F.count("*").alias("chunks")), "source_url", "left").select("source_url", F.col("doc_sha1").alias("content_sha1"), "status", F.coalesce("chunks", F.lit(0)).alias("chunks"))
-        counted = rows.settled(counted)
+        counted = rows.stored(counted)
         if not dry_run:
             domain = F.regexp_replace(F.lower(urls.part(F.col("source_url"), 2)), r"^www\.", "")
             full = self.embedder.embed_texts(made.withColumn("source_type", F.lit(source_type)).withColumn("source_domain", domain), "embed_text")
-            full = rows.settled(full.select(*(x.split()[0] for x in CHUNKS.split(", "))))
-            stale = self.store.table.read().join(counted.filter("status = 'changed'").select("source_url"), "source_url", "left_semi").join(full.select("chunk_id"), "chunk_id", "left_anti")
-            if stale.head(1):
-                self.store.table.delete_ids(rows.settled(stale.select("chunk_id")))
-            self.store.upsert_chunks(full)
-            self.state.upsert(counted.filter("status <> 'skipped'"))
+            full = rows.stored(full.select(*(x.split()[0] for x in CHUNKS.split(", "))))
+            changed = counted.filter("status = 'changed'").select("source_url")
+            kept = counted.filter("status <> 'skipped'")
+            section = F.struct(F.col("ordinal").cast("int").alias("ordinal"), "heading_path", "text")
+            documents = found.join(kept.select("source_url", "content_sha1"), "source_url").groupBy("source_url").agg(F.first("doc_title").alias("doc_title"), F.first("content_sha1").alias("content_sha1"), F.array_sort(F.collect_list(section)).alias("sections")).withColumn("source_type", F.lit(source_type))
+            with self.store.table.ledger.transaction():
+                if changed.head(1):
+                    stale = self.store.table.read().join(changed, "source_url", "left_semi").join(full.select("chunk_id"), "chunk_id", "left_anti")
+                    self.store.table.delete_ids(stale.select("chunk_id"))
+                self.store.upsert_chunks(full)
+                self.artifacts.upsert(documents)
+                self.state.upsert(kept)
         return reports.counters(counted).first().asDict()
 
     def pages(self, found: DataFrame, source_type: str = "website", **options) -> dict:
@@ -88,6 +100,7 @@ class Ingest:
 
     def purge(self, source_type: str) -> None:
         """All chunks of a kind of source go, and what is known of their documents."""
-        gone = rows.settled(self.store.table.read([source_type]).select("source_url").distinct())
-        self.store.table.purge(source_type)
-        self.state.delete_ids(gone)
+        with self.store.table.ledger.transaction():
+            self.state.delete_ids(self.store.table.read([source_type]).select("source_url"))
+            self.store.table.purge(source_type)
+            self.artifacts.purge(source_type)

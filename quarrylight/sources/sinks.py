@@ -1,109 +1,15 @@
-"""Writers: tables of vectors with upsert and delete, names of artifacts, exports and reports."""
+"""Writers: names of artifacts, exports and reports."""
 
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quarrylight.functions import text
 
 
-class Snapshots:
-    """A table of rows by key in Parquet folders, one for each value of `part`, that a manifest lists.
-
-    A change writes the folders that it touches anew and then the next manifest; readers see
-    the last manifest, so that a failed write changes nothing, and a writer that
-    finds its manifest taken by another raises FileExistsError and may try again.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "id", part: str | None = None):
-        self.spark, self.path, self.schema, self.key, self.part = spark, path.rstrip("/"), schema, key, part
-        jvm = spark.sparkContext._jvm
-        self._path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}")
-        self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._utils = jvm.org.apache.commons.io.IOUtils
-
-    def _numbers(self) -> list[int]:
-        return sorted(int(x.getPath().getName()[9:21]) for x in self._fs.globStatus(self._path("manifest-*.json")) or [])
-
-    def _manifest(self) -> tuple[int, dict[str, str]]:
-        """The last manifest's number (-1 where there is none) and its folders by part."""
-        numbers = self._numbers()
-        if not numbers:
-            return -1, {}
-        stream = self._fs.open(self._path(f"manifest-{numbers[-1]:012d}.json"))
-        try:
-            return numbers[-1], json.loads(self._utils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _read(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], self.schema)
-
-    def read(self, parts: list[str] | None = None) -> DataFrame:
-        """All rows, or those of some parts, whose folders alone are read."""
-        folders = self._manifest()[1]
-        return self._read([f for p, f in sorted(folders.items()) if parts is None or p in parts])
-
-    def _parts(self, rows: DataFrame) -> list[str]:
-        return [""] if self.part is None else sorted(str(r[0]) for r in rows.select(F.coalesce(F.col(self.part).cast("string"), F.lit(""))).distinct().collect())  # kinds of sources: a few
-
-    def _write(self, number: int, folders: dict[str, str], touched: list[str], rows: DataFrame) -> None:
-        made = {p: f for p, f in folders.items() if p not in touched}
-        for p in touched:
-            folder = f"data/{uuid.uuid4().hex}"
-            mine = rows if self.part is None else rows.filter(F.coalesce(F.col(self.part).cast("string"), F.lit("")) == p)
-            mine.write.parquet(f"{self.path}/{folder}")
-            made[p] = folder
-        target = self._path(f"manifest-{number + 1:012d}.json")
-        try:
-            out = self._fs.create(target, False)
-        except Exception as e:  # py4j wraps what the file system says
-            raise FileExistsError(f"another writer was first at {target}") from e
-        out.write(bytearray(json.dumps(made).encode()))
-        out.close()
-        for old in self._numbers()[:-2]:  # the manifest before stays for those who read it
-            self._fs.delete(self._path(f"manifest-{old:012d}.json"), False)
-
-    def upsert(self, rows: DataFrame) -> None:
-        """Rows replace those of the same key; a key twice in `rows` raises an error."""
-        rows = rows.select(*StructType.fromDDL(self.schema).names)
-        twice = rows.groupBy(self.key).count().filter("count > 1").head(1)
-        if twice:
-            raise ValueError(f"key {twice[0][0]!r} is there {twice[0][1]} times")
-        number, folders = self._manifest()
-        old = self._read(list(folders.values()))
-        moved = old.join(rows.select(self.key), self.key, "left_semi")
-        touched = sorted(set(self._parts(rows)) | (set(self._parts(moved)) if folders else set()))
-        kept = self._read([folders[p] for p in touched if p in folders]).join(rows.select(self.key), self.key, "left_anti")
-        self._write(number, folders, touched, kept.unionByName(rows))
-
-    def delete(self, condition: Column | None) -> None:
-        """Rows that fulfil `condition` go; none at all is refused."""
-        if condition is None:
-            raise ValueError("an empty filter would delete everything")
-        number, folders = self._manifest()
-        gone = F.coalesce(condition, F.lit(False))
-        touched = self._parts(self.read().filter(gone)) if folders else []
-        self._write(number, folders, touched, self._read([folders[p] for p in touched if p in folders]).filter(~gone))
-
-    def delete_ids(self, ids: DataFrame) -> None:
-        """Rows whose key stands in `ids` go."""
-        number, folders = self._manifest()
-        hit = self.read().join(ids.select(self.key), self.key, "left_semi")
-        touched = self._parts(hit) if folders else []
-        self._write(number, folders, touched, self._read([folders[p] for p in touched if p in folders]).join(ids.select(self.key), self.key, "left_anti"))
-
-    def purge(self, part: str) -> None:
-        """All rows of a part go, without reading them."""
-        number, folders = self._manifest()
-        self._write(number, {p: f for p, f in folders.items() if p != part}, [], self.spark.createDataFrame([], self.schema))
-
-
 def artifact_name(url: Column) -> Column:
     """A file name of an address: 120 characters at most, else 100 and a digest's beginning."""
     slug = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "/+$", ""), "^https?://", ""), r"[^\p{L}\p{N}_-]+", "_")

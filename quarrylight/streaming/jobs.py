@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarrylight.sources.sinks import Snapshots
+from quarrylight.sources.tables import Table
 
 SESSION = "key long, started long, ended long, n int"
 
@@ -73,7 +73,7 @@ def late_rows(stream: DataFrame, spark: SparkSession, ts: str, delay_seconds: in
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        seen = Snapshots(spark, f"{late}_seen", "batch long, latest timestamp", key="batch")
+        seen = Table(spark, f"{late}_seen", "batch long, latest timestamp", key="batch")
         before = seen.read().filter(F.col("batch") < number).agg(F.max("latest")).first()[0]
         time_ = F.col(ts).cast("timestamp")
         is_late = F.lit(False) if before is None else F.coalesce(time_ < F.lit(before) - F.expr(f"INTERVAL {delay_seconds} SECONDS"), F.lit(False))
@@ -119,7 +119,7 @@ def ingest(stream: DataFrame, spark: SparkSession, target: str, checkpoint: str,
     kinds = dict(stream.dtypes)
 
     def write(batch: DataFrame, number: int) -> None:
-        state = Snapshots(spark, f"{target}_state", f"{key} {kinds[key]}, sha string, batch long, before string, part string", key=key, part="part")
+        state = Table(spark, f"{target}_state", f"{key} {kinds[key]}, sha string, batch long, before string, part string", key=key, part="part")
         rank = [F.col(order)] if order else []
         said = F.coalesce(text, F.lit(""))
         last = batch.groupBy(key).agg(F.max(F.struct(*rank, said.alias("_t"), F.struct(*batch.columns).alias("_row"))).alias("m")).select("m._row.*") if order else batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), said).alias("r")).select("r.*")

@@ -40,17 +40,6 @@ def test_files(spark, tmp_path):
     assert [(r.sheet, r.row, r.cells) for r in files.xlsx_rows(spark, str(tmp_path / "*.xlsx")).collect()] == [("S", 0, ["one", "", "3", "2.5"])]
 
 
-def test_snapshots(spark, tmp_path):
-    table = sinks.Snapshots(spark, str(tmp_path / "t"), "id string, v int")
-    assert table.read().count() == 0
-    for rows in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)]):
-        table.upsert(spark.createDataFrame(rows, "id string, v int"))
-    table.delete(F.col("v") == 4)
-    assert sorted(map(tuple, table.read().collect())) == [("a", 1), ("b", 3)]
-    with pytest.raises(ValueError):
-        table.delete(None)
-
-
 def test_blocks_and_rich_text():
     html = "<h2>A <b>b</b></h2><script>no</script><p>one<p>two &amp; x<ul><li>i<ul><li>n</li></ul></li><li>j</ul><table><tr><th>h<td>1</tr><tr><td>2</table><nav><p>menu</p></nav>"
     assert pages.blocks_of(html) == [(0, "h2", "A b"), (1, "p", "one"), (2, "p", "two & x"), (3, "list", "- i n\n- j"), (4, "table", "h | 1\n2")]
@@ -172,26 +161,6 @@ def test_odd_files(spark, tmp_path):
     assert [r.id for r in files.readable(names, "fees", ["1"]).collect()] == ["3"]
 
 
-def test_tables_by_part(spark, tmp_path):
-    table = sinks.Snapshots(spark, str(tmp_path / "t"), "id string, kind string, v int", part="kind")
-    rows = lambda *x: spark.createDataFrame(list(x), "id string, kind string, v int")
-    table.upsert(rows(("a", "x", 1), ("b", "x", 2), ("c", "y", 3)))
-    folders = table._manifest()[1]
-    table.upsert(rows(("a", "x", 9)))
-    assert table._manifest()[1]["y"] == folders["y"] and sorted(map(tuple, table.read().collect())) == [("a", "x", 9), ("b", "x", 2), ("c", "y", 3)]
-    table.upsert(rows(("a", "y", 7)))
-    assert sorted(map(tuple, table.read(["y"]).collect())) == [("a", "y", 7), ("c", "y", 3)] and table.read(["x"]).count() == 1
-    with pytest.raises(ValueError):
-        table.upsert(rows(("z", "x", 1), ("z", "x", 2)))
-    other = sinks.Snapshots(spark, str(tmp_path / "t"), "id string, kind string, v int", part="kind")
-    other._manifest = lambda: (0, folders)
-    with pytest.raises(FileExistsError):
-        other.upsert(rows(("q", "x", 1)))
-    table.delete_ids(spark.createDataFrame([("a",)], "id string"))
-    table.purge("x")
-    assert [tuple(r) for r in table.read().collect()] == [("c", "y", 3)]
-
-
 def test_exports(spark, tmp_path):
     scored = spark.createDataFrame([("a", 1.0), ("b", None)], "case_id string, hit double")
     sinks.report(scored, str(tmp_path / "r"), ["hit"])
