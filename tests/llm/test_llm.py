@@ -332,6 +332,23 @@ def test_slots_decide_inside_and_outside_articles(spark):
     assert out[900] == "All of the one story here"
 
 
+@pytest.mark.parametrize("copies", [2, 4, 10])
+def test_copies_of_a_page_keep_their_text(spark, copies):
+    page = lambda head, said: f"<html><body><div>Site slogan</div><article><h1>{head}</h1><p>{said}</p></article></body></html>"
+    rows = [(i, "http://copies.example/a", page("One headline", "The whole story of one page.")) for i in range(copies)] + [(99, "http://copies.example/b", page("Another headline", "A different story."))]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {out[i] for i in range(copies)} == {"One headline\n\nThe whole story of one page."} and out[99] == "Another headline\n\nA different story."
+
+
+def test_recurring_headings_stay_with_their_text(spark):
+    page = lambda i: f"<html><body><p>Menu of the site</p><article><h1>Weekly digest</h1><p>News {i} of a week</p><h2>References</h2><p>Paper {i}</p><h2>More from us</h2><p>Write to the desk</p></article></body></html>"
+    # one page has a text of its own where all others have the constant one
+    rows = [(i, f"http://heads.example/{i}", page(i)) for i in range(9)] + [(9, "http://heads.example/9", page(9).replace("Write to the desk", "Only here"))]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Weekly digest\n\nNews {i} of a week\n\nReferences\n\nPaper {i}" for i in range(9))
+    assert out[9] == "Weekly digest\n\nNews 9 of a week\n\nReferences\n\nPaper 9\n\nMore from us\n\nOnly here"
+
+
 def test_base_score_matches_brute_force(documents, texts):
     counts = collections.Counter()
     for i, t in texts.items():
