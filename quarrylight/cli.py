@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from quarrylight import jobs
 from quarrylight.engine import HashedBag, QueryEngine, VectorStore
+from quarrylight.functions import urls
 from quarrylight.operators import crawl, evaluation, messages, payloads, reports, retrieval
 from quarrylight.sources import files, sinks
+from quarrylight.sources.tables import Table
 
 #: Commands and what they do; all share the options of `parser`.
 COMMANDS = {
-    "crawl": "links of pages (url, html) within --domains, by levels from --seed",
+    "crawl": "what is reached from --seed within --domains by --levels: over the web, which goes on where it stopped, or along the links of pages (url, html) if there is an --input",
     "website-crawl": "the same, with listings that lead nowhere",
-    "ingest": "pages (url, html) into the store as blog",
+    "ingest": "pages (url, html), of the --input or of the last crawl, into the store as blog",
     "index-posts": "the same, of those addresses alone that have no chunks yet",
     "website-ingest": "pages into the store as website",
     "extract": "sections of pages as JSON",
@@ -55,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--skip", action="append", default=[])
     p.add_argument("--path-filter")
     p.add_argument("--levels", type=int, default=2)
+    p.add_argument("--most-children", type=int, default=0, help="of a listing over all its pages, 0 for any number")
+    p.add_argument("--delay", type=float, default=1.0, help="seconds between requests to a host")
     p.add_argument("--limit", type=int, default=0, help="rows of the input, 0 for all")
     p.add_argument("--chunk-cap", type=int, default=0, help="chunks a file, 0 for all")
     p.add_argument("--min-score", type=float, default=None)
@@ -77,9 +81,22 @@ def run(spark: SparkSession, argv: list[str]) -> dict | DataFrame:
     ingest = jobs.Ingest(spark, store, embedder, f"{a.store}/state")
     engine = QueryEngine(spark, store, embedder) if a.min_score is None else QueryEngine(spark, store, embedder, least=a.min_score)
     how = {"force": a.force, "dry_run": a.dry_run, "cap": a.chunk_cap}
-    read = lambda: table(spark, a.input, a.limit)
+    web = Table(spark, f"{a.store}/crawl", crawl.SEEN, key="url")
+
+    def read() -> DataFrame:
+        """The input, or the pages of the last crawl."""
+        if a.input:
+            return table(spark, a.input, a.limit)
+        return reports.limited(web.read().filter("html IS NOT NULL AND status BETWEEN 1 AND 399").select("url", "html"), a.limit)
+
     match a.command:
         case "crawl" | "website-crawl":
+            if not a.input:
+                if not a.seed:
+                    raise ValueError("a crawl over the web needs a --seed")
+                seeds = spark.createDataFrame([(u,) for u in a.seed], "url string")
+                found = crawl.crawl_live(seeds, lambda asked: crawl.fetched(asked, a.delay), a.levels, a.most_children, a.domains or None, lambda d: d.filter(~urls.denied(F.col("target"), tuple(a.skip))), web).drop("html", "base")
+                return found if a.command == "crawl" else crawl.empty_listings(found, found.filter("status BETWEEN 1 AND 399")).join(found, "url", "full_outer")
             site = read()
             seeds = site.select("url").filter(F.col("url").isin(*a.seed)) if a.seed else site.select("url")
             found = crawl.crawl(seeds, crawl.links(site, a.domains or None), a.levels)

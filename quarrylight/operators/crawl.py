@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import urls
 from quarrylight.operators import rows
+from quarrylight.sources.tables import Table
 
 HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 
@@ -84,6 +86,52 @@ def crawl(seeds: DataFrame, edges: DataFrame, levels: int = 2, cap: int = 0, kee
     return seen
 
 
+#: What is known of an address: where it was found, the listing that its page belongs to, what came when it was asked for (status null: not asked yet, 0: nothing came).
+SEEN = "url string, level int, found_on string, base string, status int, final_url string, html string"
+
+
+def crawl_live(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], levels: int = 2, cap: int = 0, domains: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda d: d, state: Table | None = None) -> DataFrame:
+    """Rows of SEEN that are reached from seeds (url), each level's pages fetched before the next one's addresses are known.
+
+    `fetch` gives (url, status, final_url, html) of addresses (url).  A page that
+    answers under another address is registered under that one too, which then
+    is not asked for again; its links count from there.  `cap` above 0 is the
+    most children that a listing gives over all its pages.  `keep` drops
+    links (url, pos, target, kind).  A level is one commit to `state`, from which a crawl
+    that was stopped goes on, or one to more levels; addresses from which nothing came are asked for again then.
+    """
+    spark = seeds.sparkSession
+    state = state or Table(spark, f"{rows.shared_dir(seeds)}/crawl-{uuid.uuid4().hex}", SEEN, key="url")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("found_on", "string"), ("base", "string"), ("status", "int"), ("final_url", "string"), ("html", "string"))]
+    first = seeds.select(urls.canonicalised(F.col("url")).alias("url")).distinct()
+    fresh = rows.stored(first.join(state.read().select("url"), "url", "left_anti"))
+    if fresh.head(1):
+        state.upsert(fresh.select("url", F.lit(0).alias("level"), *nothing))
+    for level in range(levels + 1):
+        known = rows.stored(state.read().drop("html"))
+        waiting = known.filter((F.col("level") == level) & (F.coalesce("status", F.lit(0)) == 0)).select("url", "level", "found_on", "base")
+        if not waiting.head(1):
+            continue
+        final = F.when(F.coalesce(F.trim("final_url"), F.lit("")) == "", F.col("url")).otherwise(urls.canonicalised(F.col("final_url")))
+        got = rows.stored(waiting.join(fetch(waiting.select("url")), "url", "left").select(*waiting.columns, F.coalesce("status", F.lit(0)).alias("status"), final.alias("final_url"), "html"))
+        # pages under the addresses that they answer from
+        turned = got.filter("status > 0 AND final_url <> url").withColumn("found_on", F.col("url")).withColumn("url", F.col("final_url"))
+        alias = rows.keep_first(turned, ["url"], "found_on").join(known.select("url"), "url", "left_anti")
+        met = rows.stored(got.withColumn("html", F.when(F.col("url") == F.col("final_url"), F.col("html"))).unionByName(alias))
+        pages = rows.keep_first(met.unionByName(turned).filter("url = final_url AND html IS NOT NULL AND status BETWEEN 1 AND 399"), ["url"], "found_on")
+        came = known.filter("status > 0").select(F.col("final_url").alias("url"))
+        out = keep(links(pages.join(came, "url", "left_anti").select("url", "html"), domains))
+        now = known.join(met.select("url"), "url", "left_anti").unionByName(met.drop("html"))
+        names = now.select(F.explode(F.array("url", "final_url")).alias("target"))
+        new = rows.keep_first(out, ["target"], "url", "pos").join(names, "target", "left_anti").withColumn("base", urls.listing_base(F.col("url")))
+        if cap > 0:
+            had = now.groupBy("base").agg(F.count("*").alias("had"))
+            new = rows.numbered(new, "place", ["base"], "url", "pos").join(had, "base", "left").filter(F.col("place") + F.coalesce("had", F.lit(0)) <= cap)
+        # those of the last level wait for a deeper crawl
+        state.upsert(met.unionByName(new.select(F.col("target").alias("url"), F.lit(level + 1).alias("level"), F.col("url").alias("found_on"), "base", *nothing[2:])))
+    return state.read().filter(F.col("level") <= levels)
+
+
 def empty_listings(found: DataFrame, listings: DataFrame) -> DataFrame:
     """Listings (url) with how many children a crawl has from each; `empty` where there is none."""
     n = found.filter("found_on IS NOT NULL").groupBy(F.col("found_on").alias("url")).agg(F.count("*").alias("children"))
@@ -108,7 +156,7 @@ def get(url: str, tries: int, wait: float, open_=urllib.request.urlopen, sleep=t
 
 
 def fetched(found: DataFrame, delay: float = 1.0, tries: int = 3, tasks: int = 8, fetch: Callable[[str], tuple[int, str, str]] | None = None) -> DataFrame:
-    """(url, status, final_url, html) of addresses (url): hosts stay together in a task, which waits between its requests."""
+    """(url, status, final_url, html) of addresses (url): hosts stay together in a task, which waits between its requests; where nothing comes the status is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = fetch or (lambda u: get(u, tries, delay))
@@ -118,8 +166,11 @@ def fetched(found: DataFrame, delay: float = 1.0, tries: int = 3, tasks: int = 8
                 if not first:
                     time.sleep(delay)
                 first = False
-                status, final, html = one(url)
-                yield pa.record_batch([pa.array([url]), pa.array([status], pa.int32()), pa.array([final]), pa.array([html])], ["url", "status", "final_url", "html"])
+                try:
+                    status, final, html = one(url)
+                except OSError:
+                    status, final, html = 0, url, None
+                yield pa.record_batch([pa.array([url]), pa.array([status], pa.int32()), pa.array([final]), pa.array([html], pa.string())], ["url", "status", "final_url", "html"])
 
     host = F.lower(urls.part(F.col("url"), 2))
     return found.select("url").distinct().repartition(tasks, host).mapInArrow(run, "url string, status int, final_url string, html string")

@@ -176,6 +176,42 @@ def crawl_frontier(spark, sf_dir):
     return crawl.crawl(site.filter(F.col("url") == SEEN + "/0/").select("url"), edges, levels=3)
 
 
+CRAWL_LEVELS, CRAWL_CAP = 3, 3
+
+
+def _levels() -> str:
+    """Levels of a crawl in SQL: pages that answer from another address count as that one, and a listing (pages of the same number div 5) gives CRAWL_CAP children at most."""
+    parts = ["s0 AS (SELECT 0 AS n, 0 AS level, NULL::INT AS found, NULL::INT AS base, NULL::INT AS status)"]
+    for i in range(CRAWL_LEVELS + 1):
+        before = "".join(f" AND final NOT IN (SELECT final FROM a{j})" for j in range(i))
+        parts.append(f"a{i} AS (SELECT s.n, s.base, t.final, t.status FROM s{i} s JOIN site t USING (n) WHERE s.level = {i} AND s.status IS NULL)")
+        parts.append(f"r{i} AS (SELECT final AS n, {i} AS level, min(n) AS found, arg_min(base, n) AS base, arg_min(status, n) AS status FROM a{i} WHERE final <> n AND final NOT IN (SELECT n FROM s{i}) GROUP BY final)")
+        parts.append(f"k{i} AS (SELECT s.n, s.level, s.found, s.base, coalesce(s.status, a.status) AS status FROM s{i} s LEFT JOIN a{i} a USING (n) UNION ALL SELECT * FROM r{i})")
+        parts.append(f"p{i} AS (SELECT DISTINCT final AS n FROM a{i} WHERE status < 400{before})")
+        parts.append(f"n{i} AS (SELECT target AS n, e.n AS found, e.n // 5 AS base, pos FROM p{i} JOIN e USING (n) WHERE target NOT IN (SELECT n FROM k{i}) QUALIFY row_number() OVER (PARTITION BY target ORDER BY e.n, pos) = 1)")
+        parts.append(f"c{i} AS (SELECT n, {i + 1} AS level, found, base, NULL::INT AS status FROM n{i} x QUALIFY row_number() OVER (PARTITION BY base ORDER BY found, pos) + (SELECT count(*) FROM k{i} k WHERE k.base = x.base) <= {CRAWL_CAP})")
+        parts.append(f"s{i + 1} AS (SELECT * FROM k{i} UNION ALL SELECT * FROM c{i})")
+    return ",\n    ".join(parts)
+
+
+@slate(f"""
+    WITH site AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 4 = 3 THEN (n_nationkey + 9) % 25 ELSE n_nationkey END AS final, CASE WHEN n_nationkey % 11 = 10 THEN 404 ELSE 200 END AS status FROM nation),
+    e AS (SELECT n_nationkey AS n, d AS pos, CASE d WHEN 0 THEN (n_nationkey * 3 + 1) % 25 WHEN 1 THEN (n_nationkey + 7) % 25 ELSE (n_nationkey * 2 + 3) % 25 END AS target FROM nation, range(0, 3) t(d)
+        QUALIFY row_number() OVER (PARTITION BY n_nationkey, target ORDER BY d) = 1),
+    {_levels()}
+    SELECT 'p' || n AS page, level::INT AS level, 'p' || found AS found_on, status FROM k{CRAWL_LEVELS}""")
+def crawl_redirects(spark, sf_dir):
+    """Nations as pages of which some answer from another one's address and some do not answer, crawled with fetching between levels."""
+    k = F.col("n_nationkey")
+    at = lambda n: F.concat(F.lit(SEEN + "/l"), F.floor(n / 5).cast("string"), F.lit("/page/"), n.cast("string"), F.lit("/"))
+    html = F.concat(*(x for n in ((k * 3 + 1) % 25, (k + 7) % 25, (k * 2 + 3) % 25) for x in (F.lit('<a href="'), at(n), F.lit('">x</a>'))))
+    site = read(spark, sf_dir, "nation").select(k.alias("n"), F.when(k % 4 == 3, (k + 9) % 25).otherwise(k).alias("final"), F.when(k % 11 == 10, 404).otherwise(200).alias("status"), html.alias("html"))
+    served = site.select(at(F.col("n")).alias("url"), F.col("final").alias("to"), "status").join(site.select(F.col("n").alias("to"), "html"), "to").select("url", "status", at(F.col("to")).alias("final_url"), "html")
+    found = crawl.crawl_live(site.filter("n = 0").select(at(F.col("n")).alias("url")), lambda asked: served.join(asked, "url"), CRAWL_LEVELS, CRAWL_CAP, ["example.com"])
+    name = lambda c: F.concat(F.lit("p"), F.regexp_extract(c, r"/page/(\d+)/$", 1))
+    return found.select(name("url").alias("page"), "level", F.when(F.col("found_on").isNotNull(), name("found_on")).alias("found_on"), "status")
+
+
 @slate("""WITH l AS (SELECT n_nationkey AS k, n_nationkey % 5 + 1 AS n FROM nation) SELECT 'https://www.example.com/blog/category/' || k::VARCHAR || '/page/1' AS url, p::INT AS page, 'https://www.example.com/blog/category/' || k::VARCHAR || '/page/' || p::VARCHAR || '/' AS target FROM l, range(2, 7) t(p) WHERE p <= n""")
 def inferred_pages(spark, sf_dir):
     """Pages 2 to N by what a pager says."""

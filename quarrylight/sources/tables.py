@@ -165,12 +165,12 @@ class Table:
         rows.select(*self.columns, part.alias("_part")).write.partitionBy("_part").parquet(f"{self.path}/data/{folder}")
         entry = {"kind": "rows", "folder": folder, "parts": [], "rows": 0}
         made = self._folder(entry, f"{self._kind}, _part string")
-        twice = made.groupBy(self.key).count().filter("count > 1").head(1)
-        if twice:
-            raise ValueError(f"key {twice[0][0]!r} is there {twice[0][1]} times")
-        for r in made.groupBy("_part").count().collect():  # parts are few
+        keys = made.groupBy(self.key).agg(F.count("*").alias("n"), F.first("_part").alias("_part"))
+        for r in keys.groupBy("_part").agg(F.sum("n").alias("rows"), F.max(F.struct("n", F.col(self.key).cast("string").alias("key"))).alias("most")).collect():  # parts are few
+            if r.most.n > 1:
+                raise ValueError(f"key {r.most.key!r} is there {r.most.n} times")
             entry["parts"].append(r["_part"] or "")
-            entry["rows"] += r["count"]
+            entry["rows"] += r.rows
         return entry
 
     def _write_keys(self, keys: DataFrame) -> dict:
