@@ -9,11 +9,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight import jobs
+from quarrylight import config, jobs
 from quarrylight.engine import HashedBag, QueryEngine, VectorStore
 from quarrylight.functions import urls
 from quarrylight.operators import crawl, evaluation, messages, payloads, reports, retrieval
-from quarrylight.sources import files, sinks
+from quarrylight.sources import api, files, sinks
 from quarrylight.sources.tables import Table
 
 #: Commands and what they do; all share the options of `parser`.
@@ -35,8 +35,9 @@ COMMANDS = {
     "drive-ingest": "CSV and XLSX files of a folder",
     "drive-purge": "all chunks of the drive go",
     "build-pricing-index": "the lexical index of the store's pricing rows",
-    "whatsapp-sync": "messages that count",
+    "whatsapp-sync": "messages that count, of the --input or of an API's --url and --endpoint of each chat",
     "whatsapp-ingest": "messages by episodes",
+    "api-scan": "records of a paged JSON API (--url with {page} or {offset}, --rows) with what they hold",
     "inspect": "what the store has, or what --question retrieves",
     "query": "the answer to --question",
     "eval-rag": "cases (case_id, query, refs, needles, must, forbid, tags) against the store",
@@ -56,6 +57,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--domains", action="append", default=[])
     p.add_argument("--skip", action="append", default=[])
     p.add_argument("--path-filter")
+    p.add_argument("--url", help="of an API, with {endpoint}, {page}, {offset}, {limit} in it")
+    p.add_argument("--endpoint", action="append", default=[])
+    p.add_argument("--rows", default="", help="where an API's answer has its rows")
+    p.add_argument("--key", default="id")
+    p.add_argument("--address", default=f"{config.SITE}/product-details/", help="what stands before an API record's slug in its address")
     p.add_argument("--levels", type=int, default=2)
     p.add_argument("--most-children", type=int, default=0, help="of a listing over all its pages, 0 for any number")
     p.add_argument("--delay", type=float, default=1.0, help="seconds between requests to a host")
@@ -73,6 +79,16 @@ def table(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     return reports.limited(df, limit)
 
 
+#: What messages of an API have.
+MESSAGE = "endpoint string, message_id string, body string, sent_at string, deleted boolean, from_me boolean"
+
+
+def from_api(spark: SparkSession, a: argparse.Namespace, schema: str) -> DataFrame:
+    """Records of the API that the options name."""
+    said = {"url": a.url, "endpoints": json.dumps(a.endpoint or [""]), "rows": a.rows, "key": a.key}
+    return reports.limited(api.registered(spark).read.format("json_api").schema(schema).options(**said).load(), a.limit)
+
+
 def run(spark: SparkSession, argv: list[str]) -> dict | DataFrame:
     """What a command gives: counters or facts as a dictionary, or a table."""
     a = parser().parse_args(argv)
@@ -84,9 +100,13 @@ def run(spark: SparkSession, argv: list[str]) -> dict | DataFrame:
     web = Table(spark, f"{a.store}/crawl", crawl.SEEN, key="url")
 
     def read() -> DataFrame:
-        """The input, or the pages of the last crawl."""
+        """The input, or what an API has, or the pages of the last crawl."""
         if a.input:
             return table(spark, a.input, a.limit)
+        if a.url and a.command.startswith("whatsapp"):
+            return from_api(spark, a, MESSAGE).withColumnRenamed("endpoint", "chat_id")
+        if a.url:
+            return from_api(spark, a, "slug string, payload string").select(F.concat(F.lit(a.address), "slug").alias("key"), "payload")
         return reports.limited(web.read().filter("html IS NOT NULL AND status BETWEEN 1 AND 399").select("url", "html"), a.limit)
 
     match a.command:
@@ -140,6 +160,8 @@ def run(spark: SparkSession, argv: list[str]) -> dict | DataFrame:
             return messages.valid(read())
         case "whatsapp-ingest":
             return ingest.chats(read(), **how)
+        case "api-scan":
+            return from_api(spark, a, "endpoint string, payload string")
         case "inspect":
             return {"retrieved": engine.inspect_retrieve(a.question, a.source)} if a.question else engine.inspect(ingest.state.read())
         case "query":
