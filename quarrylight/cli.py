@@ -27,8 +27,9 @@ COMMANDS = {
     "locations-ingest": "country payloads (key, payload)",
     "services-ingest": "service payloads",
     "fund-ingest": "setup product payloads",
-    "announcement-content-ingest": "pages of announcements",
-    "team-leadership-ingest": "pages of curated records",
+    "announcement-content-ingest": "pages (url, html) of press releases and events; events to come are left out",
+    "case-study-ingest": "case study payloads (key, payload)",
+    "team-leadership-ingest": "curated records (kind bio, qa or press); refused without every --required name and --questions answers",
     "drive-list": "files (id, parent_id, name, mime) with paths",
     "drive-discover": "files by extension and folder",
     "drive-sync": "files that can be read, less --skip",
@@ -56,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", action="append", default=[])
     p.add_argument("--domains", action="append", default=[])
     p.add_argument("--skip", action="append", default=[])
+    p.add_argument("--required", action="append", default=[])
+    p.add_argument("--questions", type=int, default=0)
     p.add_argument("--path-filter")
     p.add_argument("--url", help="of an API, with {endpoint}, {page}, {offset}, {limit} in it")
     p.add_argument("--endpoint", action="append", default=[])
@@ -128,8 +131,14 @@ def run(spark: SparkSession, argv: list[str]) -> dict | DataFrame:
         case "index-posts":
             known = store.table.read(["blog"]).select(F.col("source_url").alias("url")).distinct()
             return ingest.pages(read().join(known, "url", "left_anti"), "blog", **how)
-        case "website-ingest" | "announcement-content-ingest" | "team-leadership-ingest":
+        case "website-ingest":
             return ingest.pages(read(), "website", **how)
+        case "announcement-content-ingest":
+            return ingest.announcements(read(), **how)
+        case "case-study-ingest":
+            return ingest.case_studies(read(), **how)
+        case "team-leadership-ingest":
+            return ingest.leadership(read(), a.required, a.questions, **how)
         case "extract":
             from quarrylight.operators import pages, sections
 

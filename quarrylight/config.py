@@ -119,6 +119,7 @@ TOC_HEADING = r"(?i)table of contents"
 BREADCRUMB_HEADING = r"(?i)^blogs?\b"
 TOC_WORDS = ("introduction", "conclusion", "faq", "faqs", "step-by-step", "guide")
 CRUMBS = r"(?i)\b(?:Read More|Show More|View More|Learn More)\b\.?"
+ANNOUNCEMENT_ENDS = ("view article", "notify me", "related articles", "related events", "you may also like", "share this", "back to all", "upcoming events", "archived events")
 SECTION_ALIASES = (
     (r"(?i)selling point|why choose", "selling_points"),
     (r"(?i)\bfaqs?\b|frequently asked", "faqs"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -57,6 +58,12 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Text with the characters that HTML's references stand for."""
+    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
 def compatible(c: Column) -> Column:
     """Compatibility forms (NFKC), which no built-in gives; ASCII texts never leave the JVM's value for the function's."""
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(_nfkc(c))

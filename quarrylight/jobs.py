@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight import config
 from quarrylight.engine import CHUNKS, Embedder, VectorStore
-from quarrylight.functions import urls
-from quarrylight.operators import messages, pages, payloads, reports, rows, sections
+from quarrylight.functions import text, urls
+from quarrylight.operators import announcements, messages, pages, payloads, reports, rows, sections
 from quarrylight.sources import files
 from quarrylight.sources.tables import Table
 
@@ -81,6 +82,35 @@ class Ingest:
         facts = found.select(F.col("key").alias("source_url"), F.coalesce(F.get_json_object(inner, "$.title"), F.get_json_object(inner, "$.productName")).alias("doc_title"), F.get_json_object(inner, "$.type").alias("service"), F.lit(page_kind).alias("page_kind"))
         return self.documents(made.join(facts, "source_url"), "website", **options)
 
+    def announcements(self, found: DataFrame, **options) -> dict:
+        """Press releases and events of pages (url, html), two paragraphs a section; the counters tell how many were left out and why."""
+        told = rows.stored(announcements.details(found))
+        facts = told.select("url", F.col("title").alias("doc_title"), F.col("kind").alias("page_kind"), F.element_at(F.create_map(*(F.lit(x) for kv in announcements.SECTION_NAMES.items() for x in kv)), F.col("kind")).alias("service"))
+        made = announcements.parts(told).join(facts, "url").withColumnRenamed("url", "source_url")
+        made = made.withColumn("section_id", F.concat(F.substring(F.sha1("source_url"), 1, 12), F.lit("_"), F.col("ordinal").cast("string")))
+        left = {r.problem: r.n for r in told.filter("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("n")).collect()}  # three kinds
+        return self.documents(made, "website", **options) | {"left_out": left}
+
+    def leadership(self, found: DataFrame, required: list[str], questions: int, **options) -> dict:
+        """Curated records (kind bio, qa or press, with name, role, bio, question, answer, title, summary); an error where a required name is missing or the answers are another number."""
+        by = lambda kind, *names: found.filter(F.col("kind") == kind).select(*(F.coalesce(F.col(n), F.lit("")).alias(n) for n in names))
+        told = payloads.records(by("bio", "name", "role", "bio"), by("qa", "question", "answer"), by("press", "title", "summary"), required, questions)
+        address = F.concat(F.lit(f"{config.SITE}/leadership/"), "kind", F.lit("/"), text.slug(F.col("name")))
+        kept = rows.keep_first(told.withColumn("source_url", address), ["source_url"], "text")
+        made = kept.select("source_url", F.col("name").alias("doc_title"), F.lit("leadership").alias("page_kind"), F.col("kind").alias("service"), F.lit(1).alias("ordinal"), F.sha1("source_url").alias("section_id"), F.col("kind").alias("heading_path"), "text")
+        return self.documents(made, "website", **options)
+
+    def case_studies(self, found: DataFrame, **options) -> dict:
+        """Case studies (key: address, payload) whose description is rich text: by headings, or paragraphs two by two."""
+        inner = F.coalesce(F.get_json_object("payload", "$.attributes"), F.col("payload"))
+        node = F.from_json(F.get_json_object(inner, "$.description"), "array<string>")
+        plain = text.cleaned(pages.rich_text(F.col("node")))
+        blocks = found.select("key", F.posexplode(node).alias("pos", "node")).select("key", "pos", F.when(F.get_json_object("node", "$.type") == "heading", "heading").otherwise("text").alias("kind"), plain.alias("text")).filter("text <> ''")
+        made = payloads.case_study_sections(blocks)
+        facts = found.select("key", F.get_json_object(inner, "$.title").alias("doc_title"), F.lit("case_study").alias("page_kind"), F.coalesce(F.get_json_object(inner, "$.industry.name"), F.lit("Case Studies")).alias("service"))
+        named = made.select("key", "ordinal", F.concat(F.substring(F.sha1("key"), 1, 12), F.lit("_"), F.col("ordinal").cast("string")).alias("section_id"), F.col("path").alias("heading_path"), "text").join(facts, "key").withColumnRenamed("key", "source_url")
+        return self.documents(named, "website", **options)
+
     def chats(self, found: DataFrame, gap_minutes: int = 720, most: int = 40, least: int = 3, **options) -> dict:
         """Messages by episodes, with a summary that no model writes."""
         made = messages.dry_summary(messages.episodes(messages.valid(found), gap_minutes, most, least))

@@ -156,13 +156,6 @@ def case_study_sections(blocks: DataFrame, least: int = 2) -> DataFrame:
     return _together([first, second], 1)
 
 
-def announcement(lines: Column) -> Column:
-    """struct<publication, date, partners, location, body> of the visible lines of a press release or event: labelled lines are data, others its text."""
-    value = lambda label: F.nullif(F.trim(F.regexp_extract(F.array_join(lines, "\n"), rf"(?im)^(?:{label})\s*:\s*([^\n]+)$", 1)), F.lit(""))
-    body = F.filter(lines, lambda x: ~x.rlike(r"(?i)^(?:publication|source|date|event date|partners?|location|venue)\s*:"))
-    return F.struct(value("publication|source").alias("publication"), value("date|event date").alias("date"), value("partners?").alias("partners"), value("location|venue").alias("location"), text.without_crumbs(F.array_join(F.filter(body, lambda x: F.trim(x) != ""), "\n")).alias("body"))
-
-
 def records(bios: DataFrame, answers: DataFrame, press: DataFrame, required: list[str], questions: int) -> DataFrame:
     """Chunks (kind, name, text) of curated records; an error where a required name is missing or the number of answers is another."""
     made = bios.select(F.lit("bio").alias("kind"), "name", F.concat("name", F.lit("\n"), "role", F.lit("\n"), "bio").alias("text"))

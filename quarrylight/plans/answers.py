@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight import config
-from quarrylight.operators import catalogs, reports
+from quarrylight.functions import text
+from quarrylight.operators import announcements, catalogs, reports
 from quarrylight.plans import Slate, read
 
 slate = Slate()
@@ -132,4 +133,30 @@ def names_contained(spark, sf_dir):
     return catalogs.names_in(turns, names).select("query_id", "name")
 
 
+_ENDS = "^(?:" + "|".join(config.ANNOUNCEMENT_ENDS) + ")"
+
+
+@slate(rf"""
+    WITH seen AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines FROM documents),
+    named AS (SELECT doc_id, lines, lower(coalesce(lines[1 + doc_id % 3], '')) AS name FROM seen),
+    cut AS (SELECT *, list_position(list_transform(lines, lambda x: name <> '' AND (contains(lower(x), name) OR contains(name, lower(x)))), true) AS start FROM named),
+    rest AS (SELECT *, CASE WHEN start > 0 THEN lines[start + 1:] ELSE [] END AS under FROM cut),
+    ended AS (SELECT *, list_position(list_transform(under, lambda x: regexp_matches(lower(x), '{_ENDS}')), true) AS stop FROM rest),
+    whole AS (SELECT *, CASE WHEN stop > 0 THEN under[1:stop - 1] ELSE under END AS kept FROM ended),
+    told AS (SELECT doc_id, start, lines, list_reduce(list_transform(kept, lambda x: [x]), lambda acc, x: CASE
+            WHEN acc[1] = 'done' THEN acc
+            WHEN length(x[1]) < 40 AND len(acc) > 1 THEN CASE WHEN (length(acc[2]) < 60 AND len(acc) <= 3) OR regexp_matches(x[1], '^\d{{4}}-\d{{2}}-\d{{2}}') OR regexp_matches(x[1], '^[A-Za-z]{{3,9}}\s+\d{{1,2}},?\s+\d{{4}}') THEN list_concat(acc, x) ELSE acc END
+            WHEN length(x[1]) < 20 AND len(acc) = 1 THEN acc
+            WHEN len(acc) >= 40 THEN list_concat(['done'], list_concat(acc[2:], x))
+            ELSE list_concat(acc, x) END, ['going'])[2:] AS taken FROM whole),
+    chosen AS (SELECT doc_id, start > 0 AS titled, CASE WHEN start > 0 THEN taken ELSE list_filter(lines, lambda x: length(x) >= 80)[1:12] END AS taken FROM told)
+    SELECT doc_id, coalesce(titled, false) AS titled, len(taken)::INT AS n, md5(trim(regexp_replace(array_to_string(taken, chr(10) || chr(10)), '{config.CRUMBS}', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS body FROM chosen""")
+def announcement_bodies(spark, sf_dir):
+    """What counts as text under a title, here one of a document's first lines, by the lines of whole documents."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), text.strip), lambda x: x != "")
+    df = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).withColumn("name", F.coalesce(F.get("lines", (F.col("doc_id") % 3).cast("int")), F.lit("")))
+    kept = df.withColumn("taken", announcements.taken_lines(F.col("lines"), F.lower("name")))
+    return kept.select("doc_id", F.col("taken.titled").alias("titled"), F.size("taken.lines").alias("n"), F.md5(text.without_crumbs(F.array_join("taken.lines", "\n\n"))).alias("body"))
+
+
 QUERIES, ORACLES = slate.queries, slate.oracles

@@ -286,8 +286,6 @@ def test_texts_of_pages(spark):
     df = spark.createDataFrame([(r'x={\"slug\":\"a\",\"type\":\"t\",\"n\":\"b {c} \"} {"slug":"z"}', "p1\n\np2\n\np3")], "s string, p string")
     r = df.select(sections.embedded_objects(F.col("s")).alias("o"), sections.paragraphs(F.col("p")).alias("g")).first()
     assert [json.loads(x)["slug"] for x in r.o] == ["a"] and r.g == ["p1\n\np2", "p3"]
-    lines = spark.createDataFrame([(["Publication: Daily", "Date: 1 May 2024", "We won. Read More", ""],)], "l array<string>").select(payloads.announcement(F.col("l")).alias("a")).first().a
-    assert (lines.publication, lines.date, lines.partners, lines.body) == ("Daily", "1 May 2024", None, "We won.")
     html = "<h1> A <b>title</b></h1><meta name='author' content='Ann'><time datetime='2024-05-01'></time><a href='/blog/category/tax'>Tax</a>"
     h = spark.createDataFrame([(html, "https://e.com/p")], "h string, u string")
     got = h.select(sections.page_title(F.col("h")).alias("t"), sections.page_author(F.col("h")).alias("a"), sections.page_date(F.col("h")).alias("d"), sections.page_category(F.col("h"), F.col("u")).alias("c")).first()
