@@ -69,6 +69,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--most-children", type=int, default=0, help="of a listing over all its pages, 0 for any number")
     p.add_argument("--delay", type=float, default=1.0, help="seconds between requests to a host")
     p.add_argument("--limit", type=int, default=0, help="rows of the input, 0 for all")
+    p.add_argument("--tokenizer", help="a tokenizer's JSON whose tokens chunks are cut by; words where none is given")
     p.add_argument("--chunk-cap", type=int, default=0, help="chunks a file, 0 for all")
     p.add_argument("--min-score", type=float, default=None)
     p.add_argument("--force", action="store_true")
@@ -97,7 +98,7 @@ def run(spark: SparkSession, argv: list[str]) -> dict | DataFrame:
     a = parser().parse_args(argv)
     embedder = HashedBag(a.dim)
     store = VectorStore(spark, f"{a.store}/chunks", a.dim)
-    ingest = jobs.Ingest(spark, store, embedder, f"{a.store}/state")
+    ingest = jobs.Ingest(spark, store, embedder, f"{a.store}/state", a.tokenizer)
     engine = QueryEngine(spark, store, embedder) if a.min_score is None else QueryEngine(spark, store, embedder, least=a.min_score)
     how = {"force": a.force, "dry_run": a.dry_run, "cap": a.chunk_cap}
     web = Table(spark, f"{a.store}/crawl", crawl.SEEN, key="url")

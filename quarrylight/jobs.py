@@ -24,8 +24,8 @@ class Ingest:
     All three tables change in one commit.
     """
 
-    def __init__(self, spark: SparkSession, store: VectorStore, embedder: Embedder, state_path: str):
-        self.spark, self.store, self.embedder = spark, store, embedder
+    def __init__(self, spark: SparkSession, store: VectorStore, embedder: Embedder, state_path: str, tokenizer: str | None = None):
+        self.spark, self.store, self.embedder, self.tokenizer = spark, store, embedder, tokenizer
         ledger = store.table.ledger
         self.state = Table(spark, state_path, STATE, key="source_url", ledger=ledger, name="state")
         self.artifacts = Table(spark, f"{state_path}_artifacts", ARTIFACTS, key="source_url", part="source_type", ledger=ledger, name="artifacts")
@@ -36,7 +36,8 @@ class Ingest:
         A document's hash is that of its sections; one that is known is skipped unless forced, a
         changed one replaces all its chunks, so that none stays of what has gone.
         """
-        found = rows.stored(found)
+        plain = lambda c: text.cleaned(text.compatible(F.coalesce(F.col(c), F.lit("")))).alias(c)
+        found = rows.stored(found.select(*(plain(c) if c in ("text", "heading_path", "doc_title") else c for c in found.columns)))
         parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n")
         docs = found.groupBy("source_url").agg(F.sha1(parts).alias("content_sha1"))
         known = self.state.read().select("source_url", F.col("content_sha1").alias("old"))
@@ -44,7 +45,7 @@ class Ingest:
         status = F.when(F.col("old").isNull(), "new").when((F.col("old") != F.col("content_sha1")) | F.lit(force), "changed").otherwise("skipped")
         judged = both.select("source_url", F.col("content_sha1").alias("doc_sha1"), status.alias("status"))
         todo = found.join(judged.filter("status <> 'skipped'").select("source_url"), "source_url", "left_semi")
-        made = sections.chunks(todo, F.col("source_url"), F.col("doc_title"), F.col("page_kind"), F.col("service"), cap=cap)
+        made = sections.chunks(todo, F.col("source_url"), F.col("doc_title"), F.col("page_kind"), F.col("service"), cap=cap, tokenizer=self.tokenizer)
         made = rows.keep_first(made, ["chunk_id"], "source_url")
         counted = judged.join(made.groupBy("source_url").agg(F.count("*").alias("chunks")), "source_url", "left").select("source_url", F.col("doc_sha1").alias("content_sha1"), "status", F.coalesce("chunks", F.lit(0)).alias("chunks"))
         counted = rows.stored(counted)

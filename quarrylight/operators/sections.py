@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -70,10 +70,59 @@ def token_windows(c: Column, most: int = 400, overlap: int = 80, tokens: Column
     return F.when(F.size(t) <= most, F.array(c)).otherwise(F.filter(cut, lambda x: x != ""))
 
 
-def chunks(found: DataFrame, url: Column, title: Column, page_kind: Column, service: Column, model: str = "hashed-bag", most: int = 400, overlap: int = 80, cap: int = 0) -> DataFrame:
-    """Chunks of sections with ids, texts to embed and metadata; `cap` above 0 is the most a page gives."""
+WINDOW = "array<struct<start:int,end:int,tokens:int,text:string>>"
+_tokenizers: dict = {}
+
+
+def bpe_windows(spark: SparkSession, file: str, most: int = 400, overlap: int = 80):
+    """A function of a text column: windows of `most` tokens that overlap, with the characters that they begin and end at.
+
+    `file` is a tokenizer's JSON, read by the driver and sent to the executors.
+    Windows are cut in the stream of ids and mapped back to characters, so that
+    one cut within a character has the whole of it.  A text of at most
+    `most` tokens is one window as it is; others are stripped, and blank ones left out. Null is an empty text.
+    """
+    with open(file, encoding="utf-8") as f:
+        shipped = spark.sparkContext.broadcast(f.read())
+    stride = max(most - overlap, 1)
+
+    def cut(said: str | None) -> list[tuple[int, int, int, str]]:
+        said = said or ""
+        spots = _tokenizer(shipped).encode(said, add_special_tokens=False).offsets
+        if len(spots) <= most:
+            return [(0, len(said), len(spots), said)]
+        out = []
+        for at in range(0, len(spots) - most + stride, stride):
+            mine = spots[at : at + most]
+            piece = said[mine[0][0] : mine[-1][1]]
+            lead = len(piece) - len(piece.lstrip())
+            if piece.strip():
+                out.append((mine[0][0] + lead, mine[0][0] + lead + len(piece.strip()), len(mine), piece.strip()))
+        return out
+
+    @F.pandas_udf(WINDOW)
+    def windows(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("start", "end", "tokens", "text"), w, strict=True)) for w in cut(t)])
+
+    return windows
+
+
+def _tokenizer(shipped):
+    """The tokenizer of a broadcast file; one per worker process."""
+    from tokenizers import Tokenizer
+
+    key = hash(shipped.value)
+    if key not in _tokenizers:
+        _tokenizers[key] = Tokenizer.from_str(shipped.value)
+        _tokenizers[key].encode_special_tokens = True
+    return _tokenizers[key]
+
+
+def chunks(found: DataFrame, url: Column, title: Column, page_kind: Column, service: Column, model: str = "hashed-bag", most: int = 400, overlap: int = 80, cap: int = 0, tokenizer: str | None = None) -> DataFrame:
+    """Chunks of sections with ids, texts to embed and metadata; `cap` above 0 is the most a page gives, `tokenizer` the file whose tokens count in place of words."""
     made = ("source_url", "doc_title", "page_kind", "service", "chunk_index", "chunk_text")
-    df = found.select(*(c for c in found.columns if c not in made), url.alias("source_url"), title.alias("doc_title"), page_kind.alias("page_kind"), service.alias("service"), F.posexplode(token_windows(F.col("text"), most, overlap)).alias("chunk_index", "chunk_text"))
+    windows = F.transform(bpe_windows(found.sparkSession, tokenizer, most, overlap)(F.col("text")), lambda w: w["text"]) if tokenizer else token_windows(F.col("text"), most, overlap)
+    df = found.select(*(c for c in found.columns if c not in made), url.alias("source_url"), title.alias("doc_title"), page_kind.alias("page_kind"), service.alias("service"), F.posexplode(windows).alias("chunk_index", "chunk_text"))
     if cap > 0:
         df = rows.numbered(df, "in_page", ["source_url"], "ordinal", "chunk_index").filter(F.col("in_page") <= cap).drop("in_page")
     key = F.concat_ws("|", "source_url", "section_id", F.col("chunk_index").cast("string"), F.lit(model))

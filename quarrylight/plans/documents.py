@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarrylight.functions import text, urls
-from quarrylight.operators import rows, timelines
+from quarrylight.operators import rows, sections, timelines
 from quarrylight.plans import Slate, read
 
 slate = Slate()
@@ -244,4 +246,15 @@ def faq_pairs(spark, sf_dir):
     return found.select("conv_id", "turn", F.col("text").alias("question"), F.col("next_value").alias("answer"))
 
 
-QUERIES, ORACLES = slate.queries, slate.oracles
+#: Where the public vocabulary files are; read by the driver only.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def bpe_chunks(spark, sf_dir):
+    """Windows of 400 tokens that overlap by 80 over whole documents; tested against a loop over ids."""
+    cut = sections.bpe_windows(spark, f"{TOKENIZERS}/byte_bpe_50k.json", CHUNK, OVERLAP)
+    found = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut(F.col("text"))).alias("chunk_index", "w"))
+    return found.select("doc_id", "chunk_index", "w.start", "w.end", "w.tokens", F.sha1("w.text").alias("sha"))
+
+
+QUERIES, ORACLES = slate.queries | {"bpe_chunks": bpe_chunks}, slate.oracles
