@@ -45,7 +45,7 @@ FEW = 200_000
 #: Classes of members by their distance from the centre, see delta_buckets.
 CLASSES = 32
 #: Words that are kept with their hashes: so many, none longer than so many bytes.
-WORDS_CACHED, WORD_BYTES = 400_000, 64
+WORDS_CACHED, WORD_BYTES = 100_000, 64
 
 
 class WordHashes(dict):
@@ -105,7 +105,7 @@ def tuples(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signatures(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1_000) for b in batches for at in range(0, b.num_rows, 1_000)):
             sizes, digests, bandings = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), width)
@@ -357,6 +357,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     if split.head(1):
         final = components((found.links.select("x", "y")).unionByName(labelled.select(F.col("doc_id").alias("x"), F.col("comp").alias("y"))))
         labelled = labelled.join(final.select(F.col("id").alias("comp"), F.col("comp").alias("__c")), "comp", "left").select("doc_id", "n_shingles", F.coalesce("__c", "comp").alias("comp"))
+    found.close()
     rest = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("comp"))
     return labelled.unionByName(rest).select("doc_id", "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
 
