@@ -44,20 +44,29 @@ def listed(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["name"], more(x))), "\n")
 
 
-def _one(df: DataFrame, kind: int, path: str, heading: Column, body: Column) -> DataFrame:
-    return df.select("key", F.lit(kind).alias("kind"), F.lit(0).alias("item"), F.array(F.lit(path)).alias("path"), heading.alias("heading"), body.alias("text"))
+SECTION = "array<struct<kind:int,item:int,path:array<string>,heading:string,text:string>>"
 
 
-def _each(df: DataFrame, kind: int, path: str, items: Column, heading, body) -> DataFrame:
-    x = F.col("x")
-    made = df.select("key", F.posexplode(items).alias("item", "x"))
-    return made.select("key", F.lit(kind).alias("kind"), "item", F.array(F.lit(path), heading(x)).alias("path"), heading(x).alias("heading"), body(x).alias("text"))
+def _section(kind: int, item: Column, path: list[Column], heading: Column, body: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), item.cast("int").alias("item"), F.array(*path).alias("path"), heading.alias("heading"), body.alias("text"))
 
 
-def _together(parts: list[DataFrame], least: int = MIN_CHARS) -> DataFrame:
-    """Sections of all kinds that are long enough, numbered in order."""
-    every = reduce(lambda a, b: a.unionByName(b), parts).filter(F.length("text") >= least)
-    return rows.numbered(every, "ordinal", ["key"], "kind", "item", "heading").select("key", "ordinal", F.array_join("path", " > ").alias("path"), "heading", "text")
+def _one(kind: int, path: str, heading: Column, body: Column) -> Column:
+    return F.array(_section(kind, F.lit(0), [F.lit(path)], heading, body)).cast(SECTION)
+
+
+def _each(kind: int, path: str, items: Column, heading, body) -> Column:
+    return F.coalesce(F.transform(items, lambda x, i: _section(kind, i, [F.lit(path), heading(x)], heading(x), body(x))).cast(SECTION), F.array().cast(SECTION))
+
+
+def _numbered(found: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """Sections (key, kind, item, path, heading, text) that are long enough, numbered in order."""
+    return rows.numbered(found.filter(F.length("text") >= least), "ordinal", ["key"], "kind", "item", "heading").select("key", "ordinal", F.array_join("path", " > ").alias("path"), "heading", "text")
+
+
+def _together(df: DataFrame, parts: list[Column]) -> DataFrame:
+    """Sections of all kinds: a payload is read once and gives one list of them."""
+    return _numbered(df.select("key", F.inline(F.flatten(F.array(*parts)))))
 
 
 def parsed(payloads: DataFrame, schema: str) -> DataFrame:
@@ -79,29 +88,30 @@ def country_sections(payloads: DataFrame) -> DataFrame:
     """Insights, selling points, overview, process, FAQ, funds, packages and comparison of country pages."""
     df = parsed(payloads, COUNTRY).select("key", "p.*")
     c = F.col
-    step = F.filter(F.transform("processStep", lambda x: F.struct(said(x["question"]).alias("name"), said(x["answer"]).alias("body"))), lambda x: (x["name"] != "") & (x["body"] != ""))
-    faq = F.filter(F.transform("FAQs", lambda x: F.struct(said(x["question"]).alias("name"), said(x["answer"]).alias("body"))), lambda x: (x["name"] != "") & (x["body"] != ""))
-    peers = df.select("key", F.col("title").alias("of"), F.posexplode("compare").alias("n", "peer"))
-    rows_ = F.filter(F.transform("peer.comparison", lambda x: F.struct(said(x["key"]).alias("k"), said(x["value"]).alias("v"))), lambda x: (x["k"] != "") & (x["v"] != ""))
-    peers = peers.select("key", "of", "n", first_said(c("peer.countryName"), c("peer.slug")).alias("name"), rows_.alias("rows")).filter((F.col("name") != "") & (F.size("rows") > 0))
-    line = lambda x: F.concat("name", F.lit(" — "), x["k"], F.lit(": "), x["v"])
-    table = peers.groupBy("key", "of").agg(F.array_sort(F.collect_list(F.struct("n", F.array_join(F.transform("rows", line), "\n").alias("t")))).alias("all"))
-    whole = F.concat(F.lit("Country comparison for "), said(c("of")), F.lit("."), F.lit("\n"), F.array_join(F.transform("all", lambda x: x["t"]), "\n"))
-    one_peer = F.concat(F.lit("Comparison peer: "), "name", F.lit("\n"), F.array_join(F.transform("rows", lambda x: F.concat(x["k"], F.lit(": "), x["v"])), "\n"))
-    fields = peers.select("key", "n", "name", F.posexplode("rows").alias("m", "x"))
+    both = lambda items: F.filter(F.transform(items, lambda x: F.struct(said(x["question"]).alias("name"), said(x["answer"]).alias("body"))), lambda x: (x["name"] != "") & (x["body"] != ""))
+    step = F.coalesce(both("processStep"), F.array().cast("array<struct<name:string,body:string>>"))
+    said_of = lambda items: F.filter(F.transform(items, lambda x: F.struct(said(x["key"]).alias("k"), said(x["value"]).alias("v"))), lambda x: (x["k"] != "") & (x["v"] != ""))
+    peers = F.transform("compare", lambda x, n: F.struct(n.alias("n"), first_said(x["countryName"], x["slug"]).alias("name"), said_of(x["comparison"]).alias("rows")))
+    df = df.withColumn("peers", F.coalesce(F.filter(peers, lambda x: (x["name"] != "") & (F.size(x["rows"]) > 0)), F.array().cast("array<struct<n:int,name:string,rows:array<struct<k:string,v:string>>>>")))
+    line = lambda peer, x: F.concat(peer["name"], F.lit(" — "), x["k"], F.lit(": "), x["v"])
+    tables = F.transform("peers", lambda peer: F.array_join(F.transform(peer["rows"], lambda x: line(peer, x)), "\n"))
+    whole = F.concat(F.lit("Country comparison for "), said(c("title")), F.lit("."), F.lit("\n"), F.array_join(tables, "\n"))
+    one_peer = lambda peer: F.concat(F.lit("Comparison peer: "), peer["name"], F.lit("\n"), F.array_join(F.transform(peer["rows"], lambda x: F.concat(x["k"], F.lit(": "), x["v"])), "\n"))
+    fields = lambda peer: F.transform(peer["rows"], lambda x, m: _section(10, peer["n"] * 1000 + m, [F.lit("compare"), peer["name"], x["k"]], F.concat(peer["name"], F.lit(" "), x["k"]), line(peer, x)))
     where = lambda x, field: first_said(x[field], F.lit(""))
-    return _together([
-        _each(df, 0, "market_insights", c("marketInsights"), lambda x: first_said(x["title"], F.lit("Market insight")), lambda x: said(x["text"])),
-        _each(df, 1, "selling_points", c("keySellingPoints"), lambda x: F.substring(said(x["value"]), 1, 80), lambda x: said(x["value"])),
-        _one(df, 2, "overview", F.lit("Country Overview"), F.array_join(F.filter(F.array(said(c("subHeader")), said(c("overviewDetail"))), lambda x: x != ""), "\n\n")),
-        _one(df, 3, "process_flow", F.lit("Application process"), F.array_join(F.transform(F.coalesce(step, F.array().cast("array<struct<name:string,body:string>>")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["name"], F.lit(": "), x["body"])), "\n")),
-        _each(df, 4, "process_flow", step, lambda x: x["name"], lambda x: F.concat(x["name"], F.lit("\n"), x["body"])),
-        _each(df, 5, "faq", faq, lambda x: x["name"], lambda x: F.concat(F.lit("Q: "), x["name"], F.lit("\nA: "), x["body"])),
-        _each(df, 6, "top_funds", F.filter("funds", lambda x: said(x["title"]) != ""), lambda x: said(x["title"]), lambda x: F.concat(F.lit("Fund: "), said(x["title"]), F.lit("\nStarting from: "), said(x["currency"]), F.lit(" "), amount(x["startingPrice"]), F.lit("\nCountry: "), where(x, "authorityName"), F.lit("\nSlug: "), said(x["slug"]), page_link("funds", where(x, "authorityName"), x["slug"], x["id"]))),
-        _each(df, 7, "top_packages", F.filter("productPages", lambda x: said(x["productName"]) != ""), lambda x: said(x["productName"]), lambda x: F.concat(F.lit("Package: "), said(x["productName"]), F.lit("\nStarting from: "), amount(x["startingPrice"]), F.lit("\nCountry: "), where(x, "authority_name"), F.lit("\nSlug: "), said(x["slug"]), page_link("business-setup", where(x, "authority_name"), x["slug"], x["id"]))),
-        table.select("key", F.lit(8).alias("kind"), F.lit(0).alias("item"), F.array(F.lit("compare")).alias("path"), F.lit("Comparison").alias("heading"), whole.alias("text")),
-        peers.select("key", F.lit(9).alias("kind"), F.col("n").alias("item"), F.array(F.lit("compare"), "name").alias("path"), F.col("name").alias("heading"), one_peer.alias("text")),
-        fields.select("key", F.lit(10).alias("kind"), (F.col("n") * 1000 + F.col("m")).alias("item"), F.array(F.lit("compare"), "name", "x.k").alias("path"), F.concat("name", F.lit(" "), "x.k").alias("heading"), line(c("x")).alias("text")),
+    none = F.array().cast(SECTION)
+    return _together(df, [
+        _each(0, "market_insights", c("marketInsights"), lambda x: first_said(x["title"], F.lit("Market insight")), lambda x: said(x["text"])),
+        _each(1, "selling_points", c("keySellingPoints"), lambda x: F.substring(said(x["value"]), 1, 80), lambda x: said(x["value"])),
+        _one(2, "overview", F.lit("Country Overview"), F.array_join(F.filter(F.array(said(c("subHeader")), said(c("overviewDetail"))), lambda x: x != ""), "\n\n")),
+        _one(3, "process_flow", F.lit("Application process"), F.array_join(F.transform(step, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["name"], F.lit(": "), x["body"])), "\n")),
+        _each(4, "process_flow", step, lambda x: x["name"], lambda x: F.concat(x["name"], F.lit("\n"), x["body"])),
+        _each(5, "faq", both("FAQs"), lambda x: x["name"], lambda x: F.concat(F.lit("Q: "), x["name"], F.lit("\nA: "), x["body"])),
+        _each(6, "top_funds", F.filter("funds", lambda x: said(x["title"]) != ""), lambda x: said(x["title"]), lambda x: F.concat(F.lit("Fund: "), said(x["title"]), F.lit("\nStarting from: "), said(x["currency"]), F.lit(" "), amount(x["startingPrice"]), F.lit("\nCountry: "), where(x, "authorityName"), F.lit("\nSlug: "), said(x["slug"]), page_link("funds", where(x, "authorityName"), x["slug"], x["id"]))),
+        _each(7, "top_packages", F.filter("productPages", lambda x: said(x["productName"]) != ""), lambda x: said(x["productName"]), lambda x: F.concat(F.lit("Package: "), said(x["productName"]), F.lit("\nStarting from: "), amount(x["startingPrice"]), F.lit("\nCountry: "), where(x, "authority_name"), F.lit("\nSlug: "), said(x["slug"]), page_link("business-setup", where(x, "authority_name"), x["slug"], x["id"]))),
+        F.when(F.size("peers") > 0, _one(8, "compare", F.lit("Comparison"), whole)).otherwise(none),
+        F.transform("peers", lambda peer: _section(9, peer["n"], [F.lit("compare"), peer["name"]], peer["name"], one_peer(peer))).cast(SECTION),
+        F.flatten(F.transform("peers", fields)).cast(SECTION),
     ])
 
 
@@ -118,17 +128,17 @@ def service_sections(payloads: DataFrame) -> DataFrame:
     title = first_said(c("title"), c("slug"), F.lit("Service"))
     faq = lambda x: F.concat(F.lit("Q: "), x["name"], F.lit("\nA: "), x["body"])
     parts = [
-        _one(df, 0, "introduction", F.lit("Introduction"), first_said(c("description"), c("shortDescription"))),
-        _one(df, 1, "documents_required", F.lit("Documents Required"), listed(named(c("documentsRequired")))),
-        _one(df, 2, "highlights_and_benefits", F.lit("Highlights & Benefits"), F.array_join(F.transform(named(c("highlightsAndBenifits")), lambda x: F.when(F.contains(x["body"], x["name"]), x["body"]).otherwise(F.concat(x["name"], F.lit("\n"), x["body"]))), "\n\n")),
-        _one(df, 3, "process_flow", F.lit("Process Flow"), F.array_join(F.transform(named(c("processFlow")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["name"], F.lit(": "), x["body"])), "\n")),
-        _each(df, 4, "faqs", named(c("faqs")), lambda x: x["name"], faq),
-        _one(df, 5, "terms_and_conditions", F.lit("Terms & Conditions"), F.array_join(F.transform(named(c("termsAndConditions")), lambda x: x["body"]), "\n\n")),
-        _each(df, 6, "documents_from_authority", named(c("documentsFromAuthority")), lambda x: x["name"], lambda x: x["body"]),
-        _one(df, 7, "more_about_required_documents", F.lit("More about required documents"), listed(named(c("moreAboutRequiredDocuments")))),
-        _one(df, 8, "pricing", F.lit("Pricing"), priced_lines("Service", title, c("price"), c("currency"), F.when(said(c("type")) != "", F.concat(F.lit("Type: "), said(c("type")))), F.when(said(c("estimatedDeliveryTime")) != "", F.concat(F.lit("Estimated delivery: "), said(c("estimatedDeliveryTime")))))),
+        _one(0, "introduction", F.lit("Introduction"), first_said(c("description"), c("shortDescription"))),
+        _one(1, "documents_required", F.lit("Documents Required"), listed(named(c("documentsRequired")))),
+        _one(2, "highlights_and_benefits", F.lit("Highlights & Benefits"), F.array_join(F.transform(named(c("highlightsAndBenifits")), lambda x: F.when(F.contains(x["body"], x["name"]), x["body"]).otherwise(F.concat(x["name"], F.lit("\n"), x["body"]))), "\n\n")),
+        _one(3, "process_flow", F.lit("Process Flow"), F.array_join(F.transform(named(c("processFlow")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["name"], F.lit(": "), x["body"])), "\n")),
+        _each(4, "faqs", named(c("faqs")), lambda x: x["name"], faq),
+        _one(5, "terms_and_conditions", F.lit("Terms & Conditions"), F.array_join(F.transform(named(c("termsAndConditions")), lambda x: x["body"]), "\n\n")),
+        _each(6, "documents_from_authority", named(c("documentsFromAuthority")), lambda x: x["name"], lambda x: x["body"]),
+        _one(7, "more_about_required_documents", F.lit("More about required documents"), listed(named(c("moreAboutRequiredDocuments")))),
+        _one(8, "pricing", F.lit("Pricing"), priced_lines("Service", title, c("price"), c("currency"), F.when(said(c("type")) != "", F.concat(F.lit("Type: "), said(c("type")))), F.when(said(c("estimatedDeliveryTime")) != "", F.concat(F.lit("Estimated delivery: "), said(c("estimatedDeliveryTime")))))),
     ]
-    return _together(parts)
+    return _together(df, parts)
 
 
 def product_sections(payloads: DataFrame) -> DataFrame:
@@ -136,10 +146,10 @@ def product_sections(payloads: DataFrame) -> DataFrame:
     df = parsed(payloads, PRODUCT).select("key", "p.*")
     c = F.col
     title = first_said(c("productName"), c("title"), F.lit("Package"))
-    return _together([
-        _one(df, 0, "introduction", F.lit("Introduction"), said(c("description"))),
-        _each(df, 1, "faq", named(c("faqs")), lambda x: x["name"], lambda x: F.concat(F.lit("Q: "), x["name"], F.lit("\nA: "), x["body"])),
-        _one(df, 2, "pricing", F.lit("Pricing"), priced_lines("Package", title, c("startingPrice"), c("currency"))),
+    return _together(df, [
+        _one(0, "introduction", F.lit("Introduction"), said(c("description"))),
+        _each(1, "faq", named(c("faqs")), lambda x: x["name"], lambda x: F.concat(F.lit("Q: "), x["name"], F.lit("\nA: "), x["body"])),
+        _one(2, "pricing", F.lit("Pricing"), priced_lines("Package", title, c("startingPrice"), c("currency"))),
     ])
 
 
@@ -153,7 +163,7 @@ def case_study_sections(blocks: DataFrame, least: int = 2) -> DataFrame:
     first = by_head.groupBy("key", "g").agg(F.max(F.when(F.col("kind") == "heading", F.col("text"))).alias("heading"), parts.alias("text")).select("key", F.lit(0).alias("kind"), F.col("g").cast("int").alias("item"), F.array(F.coalesce("heading", F.lit("Introduction"))).alias("path"), F.coalesce("heading", F.lit("Introduction")).alias("heading"), "text")
     whole = df.filter((F.col("heads") < least) & (F.col("kind") != "heading")).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("t"))
     second = whole.select("key", F.posexplode(paragraphs(F.col("t"))).alias("item", "text")).select("key", F.lit(1).alias("kind"), "item", F.array(F.concat(F.lit("Part "), (F.col("item") + 1).cast("string"))).alias("path"), F.concat(F.lit("Part "), (F.col("item") + 1).cast("string")).alias("heading"), "text")
-    return _together([first, second], 1)
+    return _numbered(first.unionByName(second), 1)
 
 
 def records(bios: DataFrame, answers: DataFrame, press: DataFrame, required: list[str], questions: int) -> DataFrame:

@@ -88,7 +88,7 @@ def comparison(fields: DataFrame, peers: list[str], preferred: tuple[str, ...] =
 def comparison_markdown(df: DataFrame, peers: list[str]) -> str:
     """The comparison as a table in markdown; it has a row a key, and keys are few."""
     lines = ["| | " + " | ".join(peers) + " |", "|" + "---|" * (len(peers) + 1)]
-    return "\n".join(lines + ["| " + " | ".join([r["key"], *((r[p] or "—") for p in peers)]) + " |" for r in df.orderBy("ordinal").limit(1000).collect()])
+    return "\n".join(lines + ["| " + " | ".join([r["key"], *((r[p] or "—") for p in peers)]) + " |" for r in df.orderBy("ordinal").collect()])
 
 
 def header_rows(cells: DataFrame, keys: list[str], most: int = 5000) -> DataFrame:
@@ -110,7 +110,7 @@ def reconciled(listed: DataFrame, fetched: DataFrame, key: str, by: str) -> Data
 def ordered_union(*parts: DataFrame, key: str, order: str = "pos") -> DataFrame:
     """Rows of the parts one after another, each key where it comes first, numbered."""
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (d.withColumn("src", F.lit(i)) for i, d in enumerate(parts)))
-    return rows.numbered(rows.keep_first(every, [key], "src", order).withColumn("all", F.lit(1)), "ordinal", ["all"], "src", order).drop("all", "src")
+    return rows.ordinals(rows.keep_first(every, [key], "src", order), "ordinal", "src", order, key).drop("src")
 
 
 def overlap_account(main: DataFrame, industry: DataFrame, api: DataFrame, key: str) -> DataFrame:

@@ -52,6 +52,15 @@ def numbered(df: DataFrame, name: str, keys: list[str], *order: str | Column) ->
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
+def ordinals(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Rows numbered from 1 over the whole table by `order`, which tells them apart: each range of it counts its own rows and begins where those before it end, so that no task has all."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(ranged.withColumn("__range", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a partition
+    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))).select("__range", F.coalesce("__before", F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__in") + 1).cast("int")).drop("__range", "__in", "__before")
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """The first row of each key; Spark limits groups before the shuffle."""
     return numbered(df, "__rn", keys, *order).filter("__rn = 1").drop("__rn")

@@ -198,14 +198,19 @@ def marker_split(c: Column, markers: dict[str, str]) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(parts, lambda x: x["label"] == n), -1)["text"]))
 
 
+def after_first(items: Column) -> Column:
+    """All items but the first."""
+    return F.filter(items, lambda _, i: i > 0)
+
+
 def question_answers(c: Column) -> Column:
     """array<struct<question, answer>>: numbered questions and what follows them, else lines that end in a question mark and the lines after."""
-    numbered = F.slice(F.split(F.concat(F.lit("\n"), c), r"\s\d{1,2}[.)]\s+"), 2, 10_000)
+    numbered = after_first(F.split(F.concat(F.lit("\n"), c), r"\s\d{1,2}[.)]\s+"))
     one = lambda x: F.struct(text.strip(F.regexp_extract(x, r"(?s)^([^?]*\?)(.*)$", 1)).alias("question"), text.strip(F.regexp_extract(x, r"(?s)^([^?]*\?)(.*)$", 2)).alias("answer"))
     full = lambda xs: F.filter(xs, lambda x: (x["question"] != "") & (x["answer"] != ""))
     first = full(F.transform(numbered, one))
     lines = F.transform(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""), lambda x: F.when(F.trim(x).endswith("?"), F.concat(F.lit("\x01"), F.trim(x), F.lit("\x02"))).otherwise(F.trim(x)))
-    pieces = F.slice(F.split(F.array_join(lines, "\n"), "\x01"), 2, 10_000)
+    pieces = after_first(F.split(F.array_join(lines, "\n"), "\x01"))
     second = full(F.transform(pieces, lambda x: F.struct(F.substring_index(x, "\x02", 1).alias("question"), text.strip(F.regexp_replace(x, "(?s)^.*?\x02", "")).alias("answer"))))
     return F.when(F.size(first) > 0, first).otherwise(second)
 

@@ -65,9 +65,11 @@ def table_report(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
-    """A report of at most `most` rows in markdown."""
+    """A report of at most `most` rows in markdown; a last line says if there are more."""
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in df.limit(most).collect()])
+    got = df.limit(most + 1).collect()
+    lines += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in got[:most]]
+    return "\n".join(lines + ["", f"Only the first {most} rows are shown."] * (len(got) > most))
 
 
 def usage(events: DataFrame, path: str) -> None:
