@@ -81,16 +81,16 @@ def contained(docs: DataFrame, titles: DataFrame) -> DataFrame:
     """
     inner = F.slice(F.split("t", r"\s"), 2, F.greatest(F.size(F.split("t", r"\s")) - 2, F.lit(0)))
     best = F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = titles.withColumn("key", best)
+    # of tables in files Spark knows the size, and whether to broadcast them
+    keyed = rows.stored(titles.select("title", "t").withColumn("key", best))
+    docs = rows.stored(docs.select("doc", "low"))
     words = docs.select("doc", F.explode(F.array_distinct(F.split("low", r"\s"))).alias("key")).filter("key <> ''")
-    found = words.join(rows.broadcast_if_small(keyed.filter("key IS NOT NULL").select("title", "key")), "key").select("doc", "title")
+    found = words.join(keyed.filter("key IS NOT NULL").select("title", "key"), "key").select("doc", "title")
     short = keyed.filter("key IS NULL AND t <> ''").select("title", F.substring("t", 1, 8).alias("key"), F.least(F.length("t"), F.lit(8)).alias("n"))
-    if short.head(1):
-        sizes = [r.n for r in short.select("n").distinct().collect()]  # eight at most
-        for n in sizes:
-            runs = F.array_distinct(F.expr(f"transform(sequence(1, greatest(length(low) - {n} + 1, 1)), i -> substring(low, i, {n}))"))
-            found = found.unionByName(docs.select("doc", F.explode(runs).alias("key")).join(rows.broadcast_if_small(short.filter(F.col("n") == n).select("title", "key")), "key").select("doc", "title"))
-    return found.distinct().join(docs, "doc").join(rows.broadcast_if_small(titles), "title").filter(F.contains("low", "t")).select("doc", "title")
+    for n in sorted(r.n for r in short.select("n").distinct().collect()):  # eight at most
+        runs = F.array_distinct(F.expr(f"transform(sequence(1, greatest(length(low) - {n} + 1, 1)), i -> substring(low, i, {n}))"))
+        found = found.unionByName(docs.select("doc", F.explode(runs).alias("key")).join(short.filter(F.col("n") == n).select("title", "key"), "key").select("doc", "title"))
+    return found.distinct().join(docs, "doc").join(keyed.select("title", "t"), "title").filter(F.contains("low", "t")).select("doc", "title")
 
 
 def title_hits(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -206,9 +206,9 @@ def capped(df: DataFrame) -> DataFrame:
 
 def retrieve(questions: DataFrame, matches: DataFrame, chunks: DataFrame, least: float = config.MIN_SCORE) -> DataFrame:
     """The whole pipeline: `questions` (query_id, question, search_text), `matches` (query_id, CHUNK, score, rank), all `chunks` for lexical lookups."""
-    q = asked(questions)
+    q = rows.stored(asked(questions))
     matches = matches.withColumn("lexical", F.lit(False))
-    df = prefer_codes(merged(matches, code_hits(q, index_codes(chunks)), q))
+    df = rows.stored(prefer_codes(merged(matches, code_hits(q, index_codes(chunks)), q)).select("query_id", *CHUNK, "score", "lexical", "rank"))
     df = prefer_titles(merged(df, title_hits(q.filter("NOT package"), chunks), q))
     df = code_boost(fee_focus(package_focus(df)))
     df = country_filter(catalog_boost(title_boost(df)))

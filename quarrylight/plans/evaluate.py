@@ -10,7 +10,7 @@ from quarrylight.plans import Slate, read
 slate = Slate()
 
 REFS = "CASE WHEN item_id % 4 = 3 THEN [] ELSE ['https://www.example.com/' || (item_id % 5)::VARCHAR, ' '] END"
-FOUND = "SELECT doc_id % 50 AS case_id, doc_id // 50 + 1 AS rank, 'https://www.example.com/' || (doc_id % 7)::VARCHAR || '/x' AS url, left(coalesce(text, ''), 60) AS text FROM documents WHERE doc_id % 50 % 6 <> 5"
+FOUND = "SELECT doc_id % 50 AS case_id, doc_id // 50 + 1 AS rank, 'https://www.example.com/' || (doc_id % 7)::VARCHAR || '/x' AS url, coalesce(text, '') AS text FROM documents WHERE doc_id % 50 % 6 <> 5"
 
 
 def cases_of(spark, sf_dir):
@@ -22,7 +22,7 @@ def cases_of(spark, sf_dir):
 
 def found_of(spark, sf_dir):
     d = F.col("doc_id")
-    return read(spark, sf_dir, "documents").filter("doc_id % 50 % 6 <> 5").select((d % 50).alias("case_id"), F.expr("doc_id div 50 + 1").alias("rank"), F.concat(F.lit("https://www.example.com/"), (d % 7).cast("string"), F.lit("/x")).alias("url"), F.left(F.coalesce("text", F.lit("")), F.lit(60)).alias("text"))
+    return read(spark, sf_dir, "documents").filter("doc_id % 50 % 6 <> 5").select((d % 50).alias("case_id"), F.expr("doc_id div 50 + 1").alias("rank"), F.concat(F.lit("https://www.example.com/"), (d % 7).cast("string"), F.lit("/x")).alias("url"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 CASES = f"""WITH cases AS (SELECT item_id AS case_id, text AS query, {REFS} AS refs, CASE WHEN item_id % 3 = 2 THEN NULL ELSE ['The', 'the' || chr(10) || 'th', 'e', left(text, 5)] END AS needles FROM benchmark),
@@ -85,14 +85,14 @@ M = "trim(regexp_replace(lower({}), '[^a-z0-9%]+', ' ', 'g'))"
 WORDS = "list_slice(list_filter(string_split({}, ' '), lambda t: length(t) > 2), 1, 8)"
 
 
-@slate(f"""WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 9 = 5 THEN 'I could not find that' ELSE left(coalesce(text, ''), 400) || CASE WHEN doc_id % 4 = 0 THEN ' in Singapore' ELSE '' END END AS answer, [left(coalesce(text, ''), 90), 'the thing and the other one', 'no', 'x y', source || ' of the ' || lang] AS phrases FROM documents),
+@slate(f"""WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 9 = 5 THEN 'I could not find that' ELSE coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN ' in Singapore' ELSE '' END END AS answer, [coalesce(text, ''), 'the thing and the other one', 'no', 'x y', source || ' of the ' || lang] AS phrases FROM documents),
     p AS (SELECT *, {M.format('coalesce(answer, chr(32))')} AS a, list_filter(list_transform(phrases, lambda f: {M.format('f')}), lambda f: length(f) >= 4 AND len({WORDS.format('f')}) > 0) AS asked FROM d),
     c AS (SELECT *, CASE WHEN len(asked) = 0 THEN 1 ELSE len(list_filter(asked, lambda f: contains(a, f) OR len(list_filter({WORDS.format('f')}, lambda w: contains(a, w))) >= greatest(1, round_even(len({WORDS.format('f')}) * 0.7, 0)::INT))) / len(asked) END AS covered, CASE WHEN contains(' ' || a || ' ', ' singapore ') THEN ['Singapore'] ELSE [] END AS leaked FROM p)
     SELECT doc_id, source, round(covered, 9) AS covered, len(leaked)::INT AS leaked, CASE WHEN answer IS NULL THEN 'N/A' WHEN length(answer) < 220 AND contains(lower(answer), 'could not find') THEN 'FAIL' WHEN len(leaked) > 0 THEN CASE WHEN covered < 0.5 THEN 'FAIL' ELSE 'PARTIAL' END WHEN covered >= 0.75 THEN 'PASS' WHEN covered >= 0.4 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM c""")
 def eval_verdicts(spark, sf_dir):
     """Coverage of phrases, countries that leak, and the verdict on every answer."""
-    answer = F.expr("CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 9 = 5 THEN 'I could not find that' ELSE concat(left(coalesce(text, ''), 400), CASE WHEN doc_id % 4 = 0 THEN ' in Singapore' ELSE '' END) END")
-    phrases = F.array(F.expr("left(coalesce(text, ''), 90)"), F.lit("the thing and the other one"), F.lit("no"), F.lit("x y"), F.concat("source", F.lit(" of the "), "lang"))
+    answer = F.expr("CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 9 = 5 THEN 'I could not find that' ELSE concat(coalesce(text, ''), CASE WHEN doc_id % 4 = 0 THEN ' in Singapore' ELSE '' END) END")
+    phrases = F.array(F.expr("coalesce(text, '')"), F.lit("the thing and the other one"), F.lit("no"), F.lit("x y"), F.concat("source", F.lit(" of the "), "lang"))
     d = read(spark, sf_dir, "documents").select("doc_id", "source", answer.alias("answer"), phrases.alias("phrases"))
     d = d.withColumn("covered", e.coverage(F.col("answer"), F.col("phrases"))).withColumn("leaked", e.leaks(F.col("answer"), F.array(F.lit("Singapore"), F.lit("Hong Kong")), F.array(F.lit("Hong Kong"))))
     return d.select("doc_id", "source", F.round("covered", 9).alias("covered"), F.size("leaked").alias("leaked"), e.verdict(F.col("answer"), F.col("covered"), F.col("leaked"), F.lit(False)).alias("verdict"))

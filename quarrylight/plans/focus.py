@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight import config as c
+from quarrylight.engine import HashedBag
 from quarrylight.functions import predicates as p
-from quarrylight.functions import text
 from quarrylight.operators import retrieval as r
-from quarrylight.operators import rows
+from quarrylight.operators.vectors import top_k
 from quarrylight.plans import Slate, read
 
 slate = Slate()
@@ -28,19 +28,25 @@ CHUNK = {
     "page_kind": case("doc_id % 5", ["'product_detail'", "'country_overview'", "''", "'service_landing'", "'post'"]),
     "doc_title": case("doc_id % 6", ["'Pricing Master'", "'Hong Kong overview'", "'Singapore setup'", "'Package A'", "'Payments'", "'Notes'"]),
     "heading_path": case("doc_id % 9", ["'FAQ'", "'compare'", "'Compare > Tax'", "'compare > Tax > VAT'", "'documents_required'", "'introduction'", "'selling_points'", "'top_packages > A'", "'pricing'"]),
-    "chunk_text": case("doc_id % 8", [f"concat('Title: Corporate Compliance and Tax Services', chr(10), 'Service code PM', {CODE.format('doc_id')})", "'We use Stripe as payment gateway'", f"concat('x', chr(10), 'Title: Annual Licence Renewal Support ', chr(10), 'Authority fee 100, pm-', {CODE.format('doc_id')})"] + ["left(coalesce(text, ''), 80)"] * 4 + [f"concat('see PM ', {CODE.format('doc_id')})"]),
+    "chunk_text": case("doc_id % 8", [f"concat('Title: Corporate Compliance and Tax Services', chr(10), 'Service code PM', {CODE.format('doc_id')})", "'We use Stripe as payment gateway'", f"concat('x', chr(10), 'Title: Annual Licence Renewal Support ', chr(10), 'Authority fee 100, pm-', {CODE.format('doc_id')})"] + ["coalesce(text, '')"] * 4 + [f"concat('see PM ', {CODE.format('doc_id')})"]),
 }
 QUESTION = case("(conv_id + turn) % 14", [
     f"concat('What is the fee for PM', {CODE.format('conv_id')}, '?')", "'Price of Corporate Compliance and Tax Services please'", "'list all packages for Singapore'", "'compare Hong Kong vs Singapore corporate tax'",
     "'documents required for package detail page'", "'show the faqs for Hong Kong'", f"concat('Tell me about PM-', {CODE.format('conv_id')}, ' and its process')", "'annual licence renewal support: what is it'",
-    "'key selling points'", "left(coalesce(text, ''), 60)", "'how many packages are there in Singapore?'", "'package detail: introduction, highlights, FAQ'", "'what about the cost?'", "concat('first line on packages', chr(10), 'on the website: faqs in the UK')",
+    "'key selling points'", "coalesce(text, '')", "'how many packages are there in Singapore?'", "'package detail: introduction, highlights, FAQ'", "'what about the cost?'", "concat('first line on packages', chr(10), 'on the website: faqs in the UK')",
 ])
 PRIOR = case("conv_id % 3", ["''", "'Setting up in Cyprus from the google drive'", "' Visa for Ireland '"])
+#: Places of the hashed words that candidates are searched by.
+DIM = 64
 MADE = f"""
     WITH chunks AS (SELECT doc_id, {', '.join(f'{e} AS {k}' for k, e in CHUNK.items())} FROM documents),
     questions AS (SELECT conv_id * 100 + turn AS query_id, {QUESTION} AS question, {PRIOR} AS prior FROM conversations WHERE role = 'user'),
-    found AS (SELECT query_id, question, c.*, CAST((doc_id * 37 + query_id * 11) % 97 AS DOUBLE) / 100 AS score FROM chunks c JOIN questions ON doc_id % 25 = query_id % 25),
-    matches AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM found QUALIFY rank <= 20),
+    texts AS (SELECT 0 AS kind, doc_id AS id, chunk_text AS t FROM chunks UNION ALL SELECT 1, query_id, question FROM questions),
+    words AS (SELECT kind, id, ('0x' || md5(w)[1:8])::BIGINT AS h FROM (SELECT kind, id, unnest(regexp_split_to_array(lower(t), '[\\x20\\x09-\\x0D]+')) AS w FROM texts) WHERE w <> ''),
+    cells AS (SELECT kind, id, h % {DIM} AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM words GROUP BY ALL),
+    norms AS (SELECT kind, id, sqrt(sum(v * v)) AS norm FROM cells GROUP BY ALL HAVING norm > 0),
+    near AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(d.v / dn.norm * (q.v / qn.norm)), 6) AS score FROM cells d JOIN norms dn ON dn.kind = 0 AND dn.id = d.id JOIN cells q ON q.place = d.place AND q.kind = 1 JOIN norms qn ON qn.kind = 1 AND qn.id = q.id WHERE d.kind = 0 GROUP BY ALL),
+    matches AS (SELECT query_id, question, c.*, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 20) JOIN chunks c USING (doc_id) JOIN questions USING (query_id)),
 """
 
 
@@ -53,10 +59,12 @@ def questions_of(spark, sf_dir) -> DataFrame:
 
 
 def matches_of(spark, sf_dir) -> DataFrame:
-    """Candidates of every question: those of its residue, the best twenty."""
-    q = questions_of(spark, sf_dir).select("query_id", F.expr("query_id % 25").alias("k"))
-    found = chunks_of(spark, sf_dir).withColumn("k", F.expr("doc_id % 25")).join(q, "k").withColumn("score", F.expr("CAST((doc_id * 37 + query_id * 11) % 97 AS DOUBLE) / 100"))
-    return rows.numbered(found, "rank", ["query_id"], F.desc("score"), "doc_id").filter("rank <= 20").select("query_id", "doc_id", *r.CHUNK, "score", "rank")
+    """Candidates of every question: the twenty nearest of all chunks by their words."""
+    embedder, chunks = HashedBag(DIM, unit=False), chunks_of(spark, sf_dir)
+    made = embedder.embed_texts(chunks.select(F.col("doc_id").alias("vec_id"), F.lit(0).alias("label"), "chunk_text"), "chunk_text")
+    asked = embedder.embed_texts(questions_of(spark, sf_dir).select("query_id", F.lit(0).alias("query_label"), "question"), "question").withColumnRenamed("embedding", "query")
+    near = top_k(made, asked, 20).select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
+    return near.join(chunks, "doc_id").select("query_id", "doc_id", *r.CHUNK, "score", "rank")
 
 
 def described_of(spark, sf_dir) -> DataFrame:

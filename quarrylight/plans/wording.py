@@ -82,7 +82,7 @@ def usage_budget(spark, sf_dir):
 
 def answer_events(spark, sf_dir):
     """Answers as ordered events; tested for their order."""
-    a = read(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.left("text", F.lit(60)).alias("answer"), F.array(F.col("conv_id").cast("string")).alias("sources"), F.when(F.col("turn") % 4 == 1, F.array(F.lit("What else?"))).otherwise(F.array().cast("array<string>")).alias("related"))
+    a = read(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.coalesce("text", F.lit("")).alias("answer"), F.array(F.col("conv_id").cast("string")).alias("sources"), F.when(F.col("turn") % 4 == 1, F.array(F.lit("What else?"))).otherwise(F.array().cast("array<string>")).alias("related"))
     return retrieval.events(a)
 
 
