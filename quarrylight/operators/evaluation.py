@@ -66,10 +66,21 @@ def gate(now: DataFrame, base: DataFrame, most: float = config.MAX_DROP) -> Data
     return both.select("metric", delta.alias("delta"), F.coalesce(delta < -most, F.lit(False)).alias("failed"))
 
 
-def sweep(spark, grid: dict[str, list], cost: Column, gain: Column, floor: float) -> DataFrame:
-    """The grid's settings with cost, gain and winner: those that reach the floor first, then gain, cost and the settings themselves."""
-    df = reduce(lambda d, item: d.select("*", F.explode(F.array(*map(F.lit, item[1]))).alias(item[0])), grid.items(), spark.range(1)).drop("id")
-    df = df.withColumn("cost", cost).withColumn("gain", gain)
+def settings(spark, grid: dict[str, list]) -> DataFrame:
+    """Every combination of a grid's values, a column a setting."""
+    return reduce(lambda d, item: d.select("*", F.explode(F.array(*map(F.lit, item[1]))).alias(item[0])), grid.items(), spark.range(1)).drop("id")
+
+
+def sweep(found: DataFrame, questions: int, grid: dict[str, list], kept: Column, floor: float) -> DataFrame:
+    """The grid's settings with cost, gain and winner, measured on what was found (query_id, hit, ...).
+
+    A row counts under a setting if `kept` says so; cost is how many do, gain
+    the share of all questions that keep a hit.  The winner reaches the floor if one does, then has
+    the most gain, the least cost and the smallest settings.  The grid is a few rows, which every found row meets.
+    """
+    grids = settings(found.sparkSession, grid)
+    met = found.join(F.broadcast(grids), kept).groupBy(*grid).agg(F.count("*").alias("cost"), F.countDistinct(F.when(F.col("hit"), F.col("query_id"))).alias("hits"))
+    df = grids.join(met, list(grid), "left").select(*grid, F.coalesce("cost", F.lit(0)).alias("cost"), F.round(F.coalesce("hits", F.lit(0)) / F.lit(max(questions, 1)), 6).alias("gain"))
     best = df.agg(F.min(F.struct((F.col("gain") < floor).alias("below"), (-F.col("gain")).alias("loss"), "cost", *grid)).alias("b")).select(*(F.col(f"b.{k}").alias(k) for k in grid)).withColumn("winner", F.lit(True))
     return df.join(F.broadcast(best), list(grid), "left").withColumn("winner", F.coalesce("winner", F.lit(False)))  # one row
 
@@ -124,11 +135,55 @@ def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.filter(F.col("shared") >= F.floor((F.least("left_n", "right_n") + 1) / 2)).select("left_id", "right_id")
 
 
-def failure(found: DataFrame) -> DataFrame:
-    """(case_id, bucket): why a case failed, by its first three rows (right_package, right_section, same_country booleans) in the order of the rules."""
-    top = found.filter(F.col("rank") <= 3).groupBy("case_id").agg(F.max("right_package").alias("package"), F.max("right_section").alias("section"), F.max("same_country").alias("country"), F.max(F.col("right_package") & F.col("right_section")).alias("both"))
-    bucket = F.when(F.col("both"), "answer").when(F.col("package"), "section_missing").when(~F.col("country"), "wrong_country").when(F.col("section"), "wrong_package").otherwise("not_retrieved")
-    return top.select("case_id", bucket.alias("bucket"))
+def plain(c: Column) -> Column:
+    """Lower-case letters and digits, all else one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def telling(c: Column) -> Column:
+    """The distinct words of a plain name that tell packages apart."""
+    return F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) > 2) & ~w.isin(*config.PACKAGE_STOPS)))
+
+
+def same_package(expected: Column, found: Column) -> Column:
+    """Whether one name is in the other, or they share most of the shorter one's telling words; an empty name is none."""
+    e, f = plain(expected), plain(found)
+    et, ft = telling(e), telling(f)
+    shared = F.size(F.array_intersect(et, ft)) >= F.greatest(F.lit(1), F.floor((F.least(F.size(et), F.size(ft)) + 1) / 2))
+    return (e != "") & (f != "") & (F.contains(f, e) | F.contains(e, f) | ((F.size(et) > 0) & (F.size(ft) > 0) & shared))
+
+
+def same_service(expected: Column, found: Column) -> Column:
+    """Whether one name is in the other, or both have a word of one family."""
+    e, f = plain(expected), plain(found)
+    family = F.lit(False)
+    for words in config.SERVICE_FAMILIES:
+        pattern = "|".join(words)
+        family = family | (e.rlike(pattern) & f.rlike(pattern))
+    return (e != "") & (f != "") & (F.contains(f, e) | F.contains(e, f) | family)
+
+
+def failures(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """(case_id, bucket): why cases (case_id, service, package, answer) failed, by their first three rows (case_id, rank, service, package, section).
+
+    Nothing found; another service; another package, at least in the first
+    place; the right package with a full answer from several sections, with one narrow section
+    alone, or with too little.
+    """
+    named = found.filter(F.col("rank") <= 3).select("case_id", "rank", F.col("service").alias("found_service"), F.col("package").alias("found_package"), "section")
+    both = named.join(cases.select("case_id", "service", "package"), "case_id")
+    both = both.withColumn("right", same_package(F.col("package"), F.col("found_package"))).withColumn("near", F.col("right") | same_service(F.col("service"), F.col("found_service")))
+    root = F.lower(F.trim(F.substring_index(F.coalesce("section", F.lit("")), ">", 1)))
+    top = both.groupBy("case_id").agg(
+        F.min_by("right", "rank").alias("first"), F.max("right").alias("any"), F.max("near").alias("any_near"), F.lower(F.coalesce(F.min_by("section", "rank"), F.lit(""))).alias("section"),
+        F.countDistinct(F.when(F.col("right") & (root != ""), root)).alias("sections"),
+    )
+    several = F.col("sections") >= 2
+    bucket = (
+        F.when(F.col("first").isNull(), "no_retrieval").when(~F.col("any_near") & ~F.col("any"), "cross_service_bleed").when(~F.col("first"), "cross_package_bleed")
+        .when(several & (F.length(plain(F.col("answer"))) > 80), "correct_retrieval_wrong_answer").when(F.col("section").isin(*config.NARROW_SECTIONS) & ~several, "wrong_section_right_package").otherwise("right_chunk_incomplete")
+    )
+    return cases.select("case_id", "answer").join(top, "case_id", "left").select("case_id", bucket.alias("bucket"))
 
 
 def most_common(df: DataFrame, column: str, n: int = 12, least: int = 1) -> DataFrame:

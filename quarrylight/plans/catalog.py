@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text
-from quarrylight.operators import rows, timelines
+from quarrylight.operators import evaluation, rows, timelines
 from quarrylight.operators.retrieval import contained
+from quarrylight.operators.vectors import top_k
 from quarrylight.plans import Slate, read
+from quarrylight.plans.vectors import chunks_and_questions
 
 slate = Slate()
 
@@ -165,16 +167,24 @@ def eval_gate(spark, sf_dir):
     return m.select("lang", F.round(delta, 6).alias("delta"), F.coalesce(delta < -0.05, F.lit(False)).alias("failed"))
 
 
-@slate("""WITH g AS (SELECT k.k, c.c, s.s FROM (VALUES (10), (20), (40)) k(k), (VALUES (1), (2), (3)) c(c), (VALUES (30), (45), (60)) s(s)),
-    x AS (SELECT k, c, s, k * 2 + c * 5 + s AS cost, least(100, k + 20 * c) - s // 3 AS gain FROM g)
-    SELECT k, c, s, cost, gain, row_number() OVER (ORDER BY (gain >= 30) DESC, gain DESC, cost, k, c, s) = 1 AS winner FROM x""")
+SWEPT = {"k": [1, 5, 10, 20], "least": [0.0, 0.1, 0.2, 0.3]}
+
+
+@slate("""
+    WITH scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, c.label = q.label AS hit, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0),
+    found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored QUALIFY rank <= 20),
+    g AS (SELECT k.k, s.least FROM (VALUES (1), (5), (10), (20)) k(k), (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) s(least)),
+    x AS (
+        SELECT k, least, count(rank) AS cost, round(count(DISTINCT CASE WHEN hit AND vec_id <> query_id THEN query_id END) / (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0)::DOUBLE, 6) AS gain
+        FROM g LEFT JOIN found ON rank <= k AND score >= least GROUP BY k, least)
+    SELECT k, least, cost, gain, row_number() OVER (ORDER BY (gain >= 0.5) DESC, gain DESC, cost, k, least) = 1 AS winner FROM x""")
 def eval_sweep(spark, sf_dir):
-    """A grid of settings with cost and gain, and the winner by a sort key of several parts."""
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (10, 20, 40)))).alias("k"))
-    grid = grid.select("k", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("c")).select("k", "c", F.explode(F.array(*map(F.lit, (30, 45, 60)))).alias("s"))
-    scored = grid.select("k", "c", "s", F.expr("k * 2 + c * 5 + s").alias("cost"), F.expr("cast(least(100, k + 20 * c) - s div 3 as int)").alias("gain"))
-    best = scored.agg(F.min(F.struct(F.expr("gain < 30"), -F.col("gain"), "cost", "k", "c", "s")).alias("b")).select("b.k", "b.c", "b.s").withColumn("winner", F.lit(True))
-    return scored.join(F.broadcast(best), ["k", "c", "s"], "left").select("k", "c", "s", "cost", "gain", F.coalesce("winner", F.lit(False)).alias("winner"))
+    """How many rows are kept and how many questions have a neighbour of their label, by the number and least score of what a search returns; and the setting that wins."""
+    chunks, questions = chunks_and_questions(spark, sf_dir)
+    found = rows.stored(top_k(chunks, questions, 20).join(questions.select("query_id", "query_label"), "query_id").withColumn("hit", (F.col("label") == F.col("query_label")) & (F.col("vec_id") != F.col("query_id"))))
+    return evaluation.sweep(found, questions.count(), SWEPT, (F.col("rank") <= F.col("k")) & (F.col("score") >= F.col("least")), 0.5)
 
 
 WANTED = ("the", "and", "tion", "ouen", "que", "license", "est", "schen")

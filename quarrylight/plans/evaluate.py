@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight import config
 from quarrylight.operators import evaluation as e
 from quarrylight.plans import Slate, read
 
@@ -107,15 +108,43 @@ def eval_worst_first(spark, sf_dir):
     return e.verdict_table(read(spark, sf_dir, "documents").select("source", v.alias("verdict")), "source").withColumn("pass_rate", F.round("pass_rate", 9))
 
 
-@slate("""WITH t AS (SELECT doc_id // 4 AS case_id, doc_id % 4 + 1 AS rank, doc_id % 3 = 0 AS p, doc_id % 5 = 0 AS s, doc_id % 7 <> 0 AS c FROM documents),
-    g AS (SELECT case_id, bool_or(p) AS p, bool_or(s) AS s, bool_or(c) AS c, bool_or(p AND s) AS b FROM t WHERE rank <= 3 GROUP BY case_id),
-    k AS (SELECT CASE WHEN b THEN 'answer' WHEN p THEN 'section_missing' WHEN NOT c THEN 'wrong_country' WHEN s THEN 'wrong_package' ELSE 'not_retrieved' END AS bucket FROM g)
-    SELECT bucket, count(*) AS n FROM k GROUP BY bucket""")
+PACKAGES = ["'Gold Visa Package'", "'Golden visa for investors'", "'gold-visa'", "'Company setup in a Free Zone'", "'Free Zone licence (company formation)'", "''", "'the and for'", "'Visa renewal, family'"]
+SERVICES = ["'Visa Services'", "'Funds'", "'Fund administration'", "'Licence'", "'business-setup (UAE)'", "''", "'visa'"]
+SECTIONS = ["'introduction'", "'FAQs > Who'", "'faqs'", "'pricing'", "NULL", "'documents_required'", "'faqs > What'"]
+
+
+def _pick(n: str, values: list[str]) -> str:
+    return f"CASE {n} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+_PLAIN = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_TELLING = "list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(map(repr, config.PACKAGE_STOPS)) + "], w)))"
+_FAMILY = " OR ".join(f"(regexp_matches(es, '{'|'.join(w)}') AND regexp_matches(fs, '{'|'.join(w)}'))" for w in config.SERVICE_FAMILIES)
+
+
+@slate(f"""
+    WITH cases AS (SELECT doc_id // 4 AS case_id, {_pick('(doc_id // 4)', SERVICES)} AS service, {_pick('(doc_id // 4 * 3)', PACKAGES)} AS package, coalesce(text, '') AS answer FROM documents WHERE doc_id % 4 = 0),
+    found AS (SELECT doc_id // 4 AS case_id, doc_id % 4 + 1 AS rank, {_pick('(doc_id * 5)', SERVICES)} AS service, {_pick('(doc_id * 3 + doc_id // 7)', PACKAGES)} AS package, {_pick('(doc_id * 2 + doc_id // 5)', SECTIONS)} AS section FROM documents WHERE doc_id % 36 > 3),
+    named AS (SELECT f.case_id, rank, section, {_PLAIN.format('c.package')} AS ep, {_PLAIN.format('f.package')} AS fp, {_PLAIN.format('c.service')} AS es, {_PLAIN.format('f.service')} AS fs FROM found f JOIN cases c USING (case_id) WHERE rank <= 3),
+    told AS (SELECT *, {_TELLING.format('ep')} AS et, {_TELLING.format('fp')} AS ft FROM named),
+    judged AS (
+        SELECT *, ep <> '' AND fp <> '' AND (contains(ep, fp) OR contains(fp, ep) OR (len(et) > 0 AND len(ft) > 0 AND len(list_intersect(et, ft)) >= greatest(1, (least(len(et), len(ft)) + 1) // 2))) AS ok,
+            es <> '' AND fs <> '' AND (contains(es, fs) OR contains(fs, es) OR {_FAMILY}) AS near FROM told),
+    top AS (
+        SELECT case_id, arg_min(ok, rank) AS leads, bool_or(ok OR near) AS anywhere, lower(coalesce((array_agg(section ORDER BY rank))[1], '')) AS section,
+            count(DISTINCT CASE WHEN ok THEN nullif(lower(trim(split_part(coalesce(section, ''), '>', 1))), '') END) AS sections FROM judged GROUP BY case_id),
+    named_buckets AS (
+        SELECT CASE WHEN leads IS NULL THEN 'no_retrieval' WHEN NOT anywhere THEN 'cross_service_bleed' WHEN NOT leads THEN 'cross_package_bleed' WHEN sections >= 2 AND length({_PLAIN.format('answer')}) > 80 THEN 'correct_retrieval_wrong_answer'
+            WHEN sections < 2 AND list_contains([{', '.join(map(repr, config.NARROW_SECTIONS))}], section) THEN 'wrong_section_right_package' ELSE 'right_chunk_incomplete' END AS bucket
+        FROM cases LEFT JOIN top USING (case_id))
+    SELECT bucket, count(*) AS n FROM named_buckets GROUP BY bucket""")
 def eval_failures(spark, sf_dir):
-    """Why cases failed, by their first three rows, most common first."""
-    d = F.col("doc_id")
-    found = read(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("case_id"), (d % 4 + 1).alias("rank"), (d % 3 == 0).alias("right_package"), (d % 5 == 0).alias("right_section"), (d % 7 != 0).alias("same_country"))
-    return e.most_common(e.failure(found), "bucket")
+    """Why cases failed, by the service, package and section of their first three rows, most common first."""
+    docs = read(spark, sf_dir, "documents")
+    div = lambda said: said.replace("//", "div")
+    cases = docs.filter("doc_id % 4 = 0").select(F.expr("doc_id div 4").alias("case_id"), F.expr(div(_pick("(doc_id // 4)", SERVICES))).alias("service"), F.expr(div(_pick("(doc_id // 4 * 3)", PACKAGES))).alias("package"), F.coalesce("text", F.lit("")).alias("answer"))
+    found = docs.filter("doc_id % 36 > 3").select(F.expr("doc_id div 4").alias("case_id"), F.expr("doc_id % 4 + 1").alias("rank"), F.expr(div(_pick("(doc_id * 5)", SERVICES))).alias("service"), F.expr(div(_pick("(doc_id * 3 + doc_id // 7)", PACKAGES))).alias("package"), F.expr(div(_pick("(doc_id * 2 + doc_id // 5)", SECTIONS))).alias("section"))
+    return e.most_common(e.failures(cases, found), "bucket")
 
 
 @slate("""WITH now AS (SELECT lang AS metric, avg(n_chars) AS value FROM documents GROUP BY lang), base AS (SELECT lang AS metric, avg(n_chars) + 10 AS value FROM documents WHERE lang <> 'fr' GROUP BY lang)
