@@ -145,3 +145,4 @@ STOP_WORDS = ("the", "and", "for", "with", "that")
 PACKAGE_STOPS = ("the", "and", "or", "of", "a", "an", "in", "for", "to", "with", "package", "setup", "company", "formation", "incorporation")
 SERVICE_FAMILIES = (("funds", "fund"), ("licence", "license", "setup", "business setup"))
 NARROW_SECTIONS = ("introduction", "highlights_and_benefits", "highlights", "process_flow", "faqs", "faq", "terms_and_conditions", "terms", "pricing")
+CARD_PRICE = r"(?i)(AED|SAR|USD|SGD|EUR|GBP)\s*[\d,]+(?:\.\d+)?"

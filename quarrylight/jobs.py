@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight import config
 from quarrylight.engine import CHUNKS, Embedder, VectorStore
 from quarrylight.functions import text, urls
-from quarrylight.operators import announcements, messages, pages, payloads, reports, rows, sections
+from quarrylight.operators import announcements, messages, pages, payloads, reports, rows, sections, tree
 from quarrylight.sources import files
 from quarrylight.sources.tables import Table
 
@@ -73,6 +73,11 @@ class Ingest:
         kept = rows.keep_first(kept, ["source_url"], "html")
         blocks = kept.select("source_url", F.inline(pages.html_blocks("html")))
         made = sections.sections(sections.clean_blocks(blocks, "source_url"), "source_url")
+        # listings of services show what they offer as cards
+        cards = tree.service_cards(kept.filter(urls.page_kind(F.col("source_url")) == "service_landing"), "source_url")
+        heading = F.concat(F.lit("Catalog > "), "title")
+        carded = cards.select("source_url", (F.col("ordinal") + 1_000_000).alias("ordinal"), F.concat(F.substring(F.sha1("source_url"), 1, 12), F.lit("_"), F.substring(F.sha1(heading), 1, 16)).alias("section_id"), heading.alias("heading_path"), "text")
+        made = made.select("source_url", "ordinal", "section_id", "heading_path", "text").unionByName(carded)
         facts = kept.select("source_url", sections.page_title(F.col("html")).alias("doc_title"), urls.page_kind(F.col("source_url")).alias("page_kind"), sections.page_category(F.col("html"), F.col("source_url"))["name"].alias("service"))
         return self.documents(made.join(facts, "source_url"), source_type, **options)
 

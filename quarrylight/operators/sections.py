@@ -165,19 +165,6 @@ def page_category(html: Column, url: Column) -> Column:
     return F.when(href != "", F.struct(name.alias("name"), urls.canonicalised(href, url).alias("url")))
 
 
-def cards(blocks: DataFrame, key: str, reach: int = 3) -> DataFrame:
-    """(key, title, currency, amount, text): headings with a price that starts from within the next blocks, each title once."""
-    w = W.partitionBy(key).orderBy("pos")
-    ahead = [F.lead("text", i).over(w) for i in range(1, reach + 1)]
-    heads = [F.lead("kind", i).over(w).isin(*HEADINGS) for i in range(1, reach + 1)]
-    body = F.lit("")
-    for text_, head in zip(reversed(ahead), reversed(heads), strict=True):
-        body = F.when(head | text_.isNull(), "").otherwise(F.concat(text_, F.lit("\n"), body))
-    price = text.starting_price(F.concat(F.col("text"), F.lit("\n"), F.col("body")))
-    found = blocks.select(key, "pos", "kind", "text", body.alias("body")).filter(F.col("kind").isin(*HEADINGS)).withColumn("price", price).filter("price IS NOT NULL")
-    return rows.keep_first(found, [key, "text"], "pos").select(key, F.col("text").alias("title"), "price.currency", "price.amount", text.strip(F.col("body")).alias("text"))
-
-
 def assembled(key: str, first: DataFrame, then: DataFrame, least: int = 40) -> DataFrame:
     """Sections (key, ordinal, heading_text, text) of a document: the first ones, then those under new headings that are long enough."""
     a = first.select(key, F.lit(0).alias("src"), "ordinal", "heading_text", "text")

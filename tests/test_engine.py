@@ -290,8 +290,6 @@ def test_texts_of_pages(spark):
     h = spark.createDataFrame([(html, "https://e.com/p")], "h string, u string")
     got = h.select(sections.page_title(F.col("h")).alias("t"), sections.page_author(F.col("h")).alias("a"), sections.page_date(F.col("h")).alias("d"), sections.page_category(F.col("h"), F.col("u")).alias("c")).first()
     assert (got.t, got.a, got.d, tuple(got.c)) == ("A title", "Ann", "2024-05-01", ("Tax", "https://e.com/blog/category/tax/"))
-    blocks = spark.createDataFrame([(1, 0, "h3", "Gold"), (1, 1, "p", "Nice"), (1, 2, "p", "Starting from AED 1,200"), (1, 3, "h3", "None"), (1, 4, "p", "free")], "key long, pos long, kind string, text string")
-    assert [(c.title, c.currency, c.amount) for c in sections.cards(blocks, "key").collect()] == [("Gold", "AED", 1200.0)]
     study = spark.createDataFrame([(1, 0, "heading", "The task at hand"), (1, 1, "text", "a"), (1, 2, "heading", "The result"), (1, 3, "text", "b"), (2, 0, "text", "x"), (2, 1, "text", "y"), (2, 2, "text", "z")], "key long, pos long, kind string, text string")
     assert sorted((r.key, r.heading, r.text) for r in payloads.case_study_sections(study).collect()) == [(1, "The result", "b"), (1, "The task at hand", "a"), (2, "Part 1", "x\n\ny"), (2, "Part 2", "z")]
 
