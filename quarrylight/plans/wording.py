@@ -8,7 +8,7 @@ from quarrylight import config as c
 from quarrylight.functions import predicates, text, urls
 from quarrylight.operators import reports, retrieval
 from quarrylight.plans import Slate, read
-from quarrylight.plans.focus import MADE, TITLE, case, chunks_of, codes, has, matches_of
+from quarrylight.plans.focus import MADE, TITLE, case, chunks_of, codes, has, nearest_of, questions_of
 
 slate = Slate()
 
@@ -62,7 +62,10 @@ def history_turns(spark, sf_dir):
     SELECT *, true AS can_open, '' AS note FROM s""")
 def source_cards(spark, sf_dir):
     """What an answer shows of its sources."""
-    return retrieval.cards(retrieval.with_defaults(matches_of(spark, sf_dir).withColumn("position", F.col("rank"))))
+    once, every = retrieval.asked_once(questions_of(spark, sf_dir), "question")
+    chunks = chunks_of(spark, sf_dir).withColumn("chunk_text", F.substring("chunk_text", 1, 400))  # all that a card shows
+    found = nearest_of(spark, sf_dir, once).join(chunks, "doc_id").withColumn("position", F.col("rank"))
+    return retrieval.spread(retrieval.cards(retrieval.with_defaults(found)), every)
 
 
 @slate(MADE + f"""d AS (SELECT doc_id, source_url, split_part(regexp_extract(source_url, '^https://[^/]*(/.*)$', 1), '/', 2) AS s FROM chunks)
