@@ -85,24 +85,26 @@ def sweep(found: DataFrame, questions: int, grid: dict[str, list], kept: Column,
     return df.join(F.broadcast(best), list(grid), "left").withColumn("winner", F.coalesce("winner", F.lit(False)))  # one row
 
 
-def coverage(answer: Column, phrases: Column) -> Column:
+def coverage(answer: Column, phrases: Column, plain: bool = False) -> Column:
     """The share of phrases that an answer covers: as a whole, or by 70 % (banker's rounding, at least one) of its first eight words of three letters.
 
     Words may stand within others.  Phrases under four characters, or without such
-    a word, are not asked for; if none is, all is covered.
+    a word, are not asked for; if none is, all is covered.  `plain`: the answer is `text.matchable` already.
     """
-    a = text.matchable(answer)
     words = lambda f: F.slice(F.filter(F.split(f, " "), lambda t: F.length(t) > 2), 1, 8)
-    asked = F.filter(F.transform(F.coalesce(phrases, F.array().cast(EMPTY)), text.matchable), lambda f: (F.length(f) >= 4) & (F.size(words(f)) > 0))
-    need = lambda f: F.greatest(F.lit(1), F.bround(F.size(words(f)) * F.lit(0.7)).cast("int"))
-    hit = lambda f: F.contains(a, f) | (F.size(F.filter(words(f), lambda w: F.contains(a, w))) >= need(f))
-    return F.when(F.size(asked) == 0, 1.0).otherwise(F.size(F.filter(asked, hit)) / F.size(asked))
-
-
-def leaks(answer: Column, countries: Column, allowed: Column) -> Column:
-    """Countries that an answer names and should not."""
-    a = F.concat(F.lit(" "), text.matchable(answer), F.lit(" "))
-    return F.filter(countries, lambda c: F.contains(a, F.concat(F.lit(" "), text.matchable(c), F.lit(" "))) & ~F.array_contains(allowed, c))
+    given = F.transform(F.transform(F.coalesce(phrases, F.array().cast(EMPTY)), text.matchable), lambda f: F.struct(f.alias("f"), words(f).alias("words")))
+    asked = F.filter(given, lambda x: (F.length(x["f"]) >= 4) & (F.size(x["words"]) > 0))
+    need = lambda x: F.greatest(F.lit(1), F.bround(F.size(x["words"]) * F.lit(0.7)).cast("int"))
+    hit = lambda a, x: F.contains(a, x["f"]) | (F.size(F.filter(x["words"], lambda w: F.contains(a, w))) >= need(x))
+    share = lambda v: F.when(F.size(v["asked"]) == 0, 1.0).otherwise(F.size(F.filter(v["asked"], lambda x: hit(v["a"], x))) / F.size(v["asked"]))
+    return text.once(F.struct((answer if plain else text.matchable(answer)).alias("a"), asked.alias("asked")), share)
+
+
+def leaks(answer: Column, countries: Column, allowed: Column, plain: bool = False) -> Column:
+    """Countries that an answer names and should not; `plain` as in `coverage`."""
+    a = F.concat(F.lit(" "), answer if plain else text.matchable(answer), F.lit(" "))
+    named = lambda v: F.filter(v["countries"], lambda c: F.contains(v["a"], F.concat(F.lit(" "), text.matchable(c), F.lit(" "))) & ~F.array_contains(v["allowed"], c))
+    return text.once(F.struct(a.alias("a"), countries.alias("countries"), allowed.alias("allowed")), named)
 
 
 def verdict(answer: Column, covered: Column, leaked: Column, compare: Column) -> Column:

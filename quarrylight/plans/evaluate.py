@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight import config
+from quarrylight.functions import text
 from quarrylight.operators import evaluation as e
 from quarrylight.plans import Slate, read
 
@@ -95,7 +96,8 @@ def eval_verdicts(spark, sf_dir):
     answer = F.expr("CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 9 = 5 THEN 'I could not find that' ELSE concat(coalesce(text, ''), CASE WHEN doc_id % 4 = 0 THEN ' in Singapore' ELSE '' END) END")
     phrases = F.array(F.expr("coalesce(text, '')"), F.lit("the thing and the other one"), F.lit("no"), F.lit("x y"), F.concat("source", F.lit(" of the "), "lang"))
     d = read(spark, sf_dir, "documents").select("doc_id", "source", answer.alias("answer"), phrases.alias("phrases"))
-    d = d.withColumn("covered", e.coverage(F.col("answer"), F.col("phrases"))).withColumn("leaked", e.leaks(F.col("answer"), F.array(F.lit("Singapore"), F.lit("Hong Kong")), F.array(F.lit("Hong Kong"))))
+    d = d.withColumn("plain", text.matchable(F.col("answer")))
+    d = d.withColumn("covered", e.coverage(F.col("plain"), F.col("phrases"), plain=True)).withColumn("leaked", e.leaks(F.col("plain"), F.array(F.lit("Singapore"), F.lit("Hong Kong")), F.array(F.lit("Hong Kong")), plain=True))
     return d.select("doc_id", "source", F.round("covered", 9).alias("covered"), F.size("leaked").alias("leaked"), e.verdict(F.col("answer"), F.col("covered"), F.col("leaked"), F.lit(False)).alias("verdict"))
 
 
