@@ -154,9 +154,9 @@ def folder_totals(files: DataFrame, folders: DataFrame) -> DataFrame:
     return folders.select("folder").distinct().join(per, "folder", "left").select("folder", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("by_extension", F.create_map().cast("map<string,bigint>")).alias("by_extension"))
 
 
-def first_match(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
-    """`left` with the first row of `right` that has its key, if any."""
-    return left.join(rows.keep_first(right, [key], order).drop(order), key, "left")
+def first_match(left: DataFrame, right: DataFrame, key: str, *order: str) -> DataFrame:
+    """`left` with the first row of `right` that has its key, if any; `order` should tell rows of a key apart."""
+    return left.join(rows.keep_first(right, [key], *order).drop(*order), key, "left")
 
 
 def detail_url(slug: Column, addresses: Column) -> Column:

@@ -165,8 +165,10 @@ def first_lookup(spark, sf_dir):
     k = F.col("o_orderkey").cast("string")
     found = F.array(F.lit("https://x.example/none"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("https://x.example/p/"), k, F.lit("/a"))).otherwise("-"), F.concat(F.lit("https://x.example/q/"), F.when(F.col("o_orderkey") % 3 == 0, k).otherwise("-")))
     left = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), reports.detail_url(F.concat(F.lit("/"), k, F.lit("/")), found).alias("detail"))
-    right = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), "l_linenumber")
-    return reports.first_match(left, right, "id", "l_linenumber")
+    # lines of an order can have one number: the first in the file comes first
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    right = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), "l_linenumber", *place)
+    return reports.first_match(left, right, "id", "l_linenumber", "file", "row")
 
 
 @slate("""SELECT l_orderkey AS page, string_agg(l_linenumber::VARCHAR, ' ' ORDER BY (l_partkey % 100) // 20, l_suppkey, l_linenumber::VARCHAR) AS text FROM lineitem GROUP BY 1""")
