@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from array import array
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,9 +103,19 @@ def bpe_windows(spark: SparkSession, file: str, most: int = 400, overlap: int =
                 out.append((mine[0][0] + lead, mine[0][0] + lead + len(piece.strip()), len(mine), piece.strip()))
         return out
 
-    @F.pandas_udf(WINDOW)
-    def windows(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("start", "end", "tokens", "text"), w, strict=True)) for w in cut(t)])
+    @F.arrow_udf(WINDOW)
+    def windows(texts: pa.Array) -> pa.Array:
+        # one text at a time is a Python object; windows are kept as numbers and bytes
+        starts, numbers, ends, held = array("i", [0]), array("i"), array("i", [0]), bytearray()
+        for t in texts:
+            for start, end, tokens, piece in cut(t.as_py()):
+                numbers.extend((start, end, tokens))
+                held += piece.encode("utf-8")
+                ends.append(len(held))
+            starts.append(len(ends) - 1)
+        said = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(held))
+        columns = [pa.array(np.array(numbers, np.int32)[i::3]) for i in range(3)]
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([*columns, said], ["start", "end", "tokens", "text"]))
 
     return windows
 
