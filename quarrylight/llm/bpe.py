@@ -1,7 +1,7 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list.  Each adjacent pair that has a merge
-rank lies in that rank's bucket; a bitmap of three levels over the ranks tells
+rank lies in that rank's bucket; a bitmap of two levels over the ranks tells
 by find-first-set which bucket is next, so that the next merge is found in
 constant time however long the pre-token is.  Entries whose pair has changed
 since are stale and skipped when they are met.
@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,50 +26,6 @@ from quarrylight.llm.common import text_of
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class RankQueue:
-    """Positions by rank: push in any order, pop the lowest rank's lowest position. Three levels of 64 hold 262,144 ranks."""
-
-    def __init__(self, ranks: int):
-        if ranks > 64**3:
-            raise ValueError("more ranks than three levels of 64 hold")
-        self.top = 0
-        self.middle = [0] * 64
-        self.leaves = [0] * (64 * 64)
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank >> 6
-        self.leaves[leaf] |= 1 << (rank & 63)
-        self.middle[leaf >> 6] |= 1 << (leaf & 63)
-        self.top |= 1 << (leaf >> 6)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        i = (top & -top).bit_length() - 1
-        bits = self.middle[i]
-        leaf = i << 6 | (bits & -bits).bit_length() - 1
-        bits = self.leaves[leaf]
-        rank = leaf << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.leaves[leaf] = bits
-            if not bits:
-                self.middle[i] &= ~(1 << (leaf & 63))
-                if not self.middle[i]:
-                    self.top &= ~(1 << i)
-        return rank, position
-
-
 class Bpe:
     """Encoder and decoder for a table of byte strings and their ranks."""
 
@@ -80,44 +37,78 @@ class Bpe:
         self.vocabulary: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
-        self.queue = RankQueue(len(self.vocabulary))
+        #: the queue: positions by rank, and a bitmap of the ranks there by their upper half; empty between pre-tokens
+        self.shift = (len(self.vocabulary).bit_length() + 1) // 2
+        self.buckets: dict[int, list[int]] = {}
+        self.leaves = [0] * ((len(self.vocabulary) >> self.shift) + 1)
+        #: ranks of all pairs of bytes
+        self.two = [ranks.get(bytes(divmod(x, 256))) for x in range(1 << 16)]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token. The queue's push is written out where it is called most."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
+        """Ids of one pre-token. The queue's push and pop are written out, as they are most of the work."""
+        ranks, n = self.ranks, len(piece)
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        get, push, pop, buckets = ranks.get, queue.push, queue.pop, queue.buckets
+        get, two, buckets, leaves, shift, top = ranks.get, self.two, self.buckets, self.leaves, self.shift, 0
+        low = (1 << shift) - 1
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pair = [get(piece[i : i + 2]) for i in range(n - 1)]
+        pair = [two[a << 8 | b] for a, b in itertools.pairwise(piece)]
         pair.append(None)
         for i, rank in enumerate(pair):
             if rank is not None:
                 if rank in buckets:
                     buckets[rank].append(i)  # positions come in order: still a heap
                 else:
-                    push(rank, i)
-        while (found := pop()) is not None:
-            rank, i = found
+                    buckets[rank] = [i]
+                    leaf = rank >> shift
+                    leaves[leaf] |= 1 << (rank & low)
+                    top |= 1 << leaf
+        while top:
+            leaf = (top & -top).bit_length() - 1
+            bits = leaves[leaf]
+            one = bits & -bits
+            rank = leaf << shift | one.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                bits ^= one
+                leaves[leaf] = bits
+                if not bits:
+                    top ^= 1 << leaf
             if pair[i] != rank:
                 continue  # stale: the pair that began here has changed
             gone = after[i]
             end = after[i] = after[gone]
             pair[gone] = None
+            left = before[i]
             if end < n:
                 before[end] = i
                 rank = pair[i] = get(piece[i : after[end]])
                 if rank is not None:
-                    push(rank, i)
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        leaf = rank >> shift
+                        leaves[leaf] |= 1 << (rank & low)
+                        top |= 1 << leaf
             else:
                 pair[i] = None
-            left = before[i]
             if left >= 0:
                 rank = pair[left] = get(piece[left:end])
                 if rank is not None:
-                    push(rank, left)
+                    if rank in buckets:
+                        heappush(buckets[rank], left)
+                    else:
+                        buckets[rank] = [left]
+                        leaf = rank >> shift
+                        leaves[leaf] |= 1 << (rank & low)
+                        top |= 1 << leaf
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
