@@ -12,9 +12,8 @@ whatever they say.
 
 Slots are nodes: every text of a page is one leaf of its skeleton, in page order,
 and carries what the alignment says of this leaf.  Elements deeper than DEPTH
-become children of the one at that depth, as browsers do; siblings whose
-matching would take over WORK steps are matched in their order by runs of
-equal labels, in time that grows with their number.
+become children of the one at that depth, as browsers do.  Trees of any size are
+matched in the same way; subtrees that look the same to an alignment are compared once.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +43,8 @@ MARKS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs com
 PLACES = frozenset("a area b bar block bottom box col column container content first global id inner item items js last left links list main menu middle mobile nav outer page panel right row section site slot top unit web widget wrap wrapper www".split())
 #: Words that say what a mark belongs to; a header of one of these is content.
 OWNERS = frozenset("article body entry form post reader readers story text thread user".split())
-#: Elements nest so deep; a matching of siblings may take so many steps.
-DEPTH, WORK = 256, 40_000
+#: Elements nest so deep.
+DEPTH = 256
 #: A slot with the reference's text on this share of at least so many pages is template.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 3
 LINK_SHARE = 0.6
@@ -195,36 +195,126 @@ def skeleton(tree: Node) -> tuple[Node, list[Leaf]]:
 Pairs = list[tuple[Leaf, Leaf]]
 
 
+class Forms:
+    """Subtrees of two trees by what an alignment sees of them: labels, and those texts that both trees have. Equal subtrees have one number, by which sizes are kept."""
+
+    def __init__(self, a: Node | Leaf, b: Node | Leaf):
+        self.numbers: dict = {}
+        self.labels: list[str | None] = [None]  # 0: a leaf whose text is in one tree alone
+        self.children: list[tuple[int, ...]] = [()]
+        self.whole = [1]  # what a subtree has with its equal
+        self.of: dict[int, int] = {}
+        self.sizes: dict[tuple[int, int], int] = {}
+        self.shared = self.texts(a, set()) & self.texts(b, set())
+        self.number(a)
+        self.number(b)
+
+    def texts(self, tree: Node | Leaf, into: set[str]) -> set[str]:
+        if isinstance(tree, Leaf):
+            into.add(tree.text)
+        else:
+            for c in tree.children:
+                self.texts(c, into)
+        return into
+
+    def number(self, tree: Node | Leaf) -> int:
+        leaf = isinstance(tree, Leaf)
+        if leaf and tree.text not in self.shared:
+            n = 0
+        else:
+            below = () if leaf else tuple([self.number(c) for c in tree.children])
+            key = tree.text if leaf else (tree.label, below)
+            n = self.numbers.get(key)
+            if n is None:
+                n = self.numbers[key] = len(self.labels)
+                self.labels.append(None if leaf else tree.label)
+                self.children.append(below)
+                self.whole.append(2 if leaf else 1 + sum([self.whole[c] for c in below]))
+        self.of[id(tree)] = n
+        return n
+
+    def size(self, x: int, y: int) -> int:
+        """The largest matching of two subtrees whose roots match."""
+        if x == y:
+            return self.whole[x]
+        if self.labels[x] != self.labels[y]:
+            return 0
+        if self.labels[x] is None:
+            return 1
+        found = self.sizes.get((x, y))
+        if found is None:
+            xs, ys = self.children[x], self.children[y]
+            same = equal_end(xs, ys)
+            end = sum([self.whole[c] for c in xs[len(xs) - same :]])
+            last = None
+            for last in self.rows(xs[: len(xs) - same], ys[: len(ys) - same]):
+                pass
+            found = self.sizes[x, y] = 1 + end + int(last[0][-1])
+        return found
+
+    def rows(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> Iterator[tuple]:
+        """For 0, 1, ... of xs: the best with the first 0, 1, ... of ys, and the sizes of the last one of xs with each."""
+        n, wide = len(ys), len(ys) > 64
+        row = np.zeros(n + 1, np.int32) if wide else [0] * (n + 1)
+        yield row, None
+        for x in xs:
+            w = [self.size(x, y) for y in ys]
+            if wide:
+                w = np.array(w, np.int32)
+                row = np.concatenate([row[:1], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))])
+            else:
+                above, row, most = row, [0], 0
+                for j in range(n):
+                    most = max(most, above[j + 1], above[j] + w[j])
+                    row.append(most)
+            yield row, w
+
+    def pairs(self, a: Node | Leaf, b: Node | Leaf, into: Pairs) -> None:
+        """The leaves that the largest matching of two trees with matching roots puts together, in order."""
+        if isinstance(a, Leaf):
+            into.append((a, b))
+            return
+        if self.of[id(a)] == self.of[id(b)]:
+            for x, y in zip(a.children, b.children, strict=True):
+                self.pairs(x, y, into)
+            return
+        xs, ys = self.children[self.of[id(a)]], self.children[self.of[id(b)]]
+        same = equal_end(xs, ys)
+        i, j = len(xs) - same, len(ys) - same
+        chosen = [(len(xs) - k, len(ys) - k) for k in range(1, same + 1)]
+        best, sizes = zip(*self.rows(xs[:i], ys[:j]), strict=True)
+        while i and j:
+            w = sizes[i][j - 1]
+            if w and best[i][j] == best[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                chosen.append((i, j))
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        for i, j in reversed(chosen):
+            self.pairs(a.children[i], b.children[j], into)
+
+
+def equal_end(xs: tuple[int, ...], ys: tuple[int, ...]) -> int:
+    """How many at the end are equal: a largest matching has them together."""
+    n = 0
+    while n < len(xs) and n < len(ys) and xs[-1 - n] == ys[-1 - n]:
+        n += 1
+    return n
+
+
 def align(a: Node | Leaf, b: Node | Leaf) -> tuple[int, Pairs]:
     """Simple tree matching: the largest order-keeping matching of two trees whose roots match, as (size, pairs); equal texts count double."""
-    if isinstance(a, Leaf) or isinstance(b, Leaf):
-        return (1 + (a.text == b.text), [(a, b)]) if isinstance(a, Leaf) and isinstance(b, Leaf) else (0, [])
-    if a.label != b.label:
-        return 0, []
-    if a.size * b.size > WORK:
-        return in_order(a, b)
-    m, n = len(a.children), len(b.children)
-    found = {}
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        for j in range(n):
-            found[i, j] = align(a.children[i], b.children[j])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + found[i, j][0])
-    parts: list[Pairs] = []
-    i, j = m, n
-    while i and j:
-        if found[i - 1, j - 1][0] and best[i][j] == best[i - 1][j - 1] + found[i - 1, j - 1][0]:
-            parts.append(found[i - 1, j - 1][1])
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[m][n] + 1, [p for part in reversed(parts) for p in part]
+    forms, pairs = Forms(a, b), []
+    size = forms.size(forms.of[id(a)], forms.of[id(b)])
+    if size:
+        forms.pairs(a, b, pairs)
+    return size, pairs
 
 
 def in_order(a: Node, b: Node) -> tuple[int, Pairs]:
-    """A matching of two large trees in linear time at each level: equal children at both ends are paired from there, what lies between by runs of equal labels."""
+    """Not the largest matching but one in linear time at each level of the trees, which `align` doesn't use: equal children at both ends are paired from there, what lies between by runs of equal labels."""
     kind = lambda c: c.label if isinstance(c, Node) else ""
     xs, ys = a.children, b.children
     lo, most = 0, min(len(xs), len(ys))
