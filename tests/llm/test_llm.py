@@ -2,9 +2,11 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,6 +404,41 @@ def test_bit_counts_match_brute_force():
         assert {int(i): int(counts[k][i]) for i in np.flatnonzero(counts[k])} == plain
 
 
+def peak_bytes(call):
+    call()  # tables and powers that are kept
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_work_arrays_stay_small():
+    """A count makes nothing of a table's size, and a step nothing of a group's; nodes that paths begin with lie side by side."""
+    code = lm_score.Code(np.random.default_rng(1).integers(0, 9, (256, 257)))
+    counts = [np.zeros(2 << 21, np.int32) for _ in lm_score.ORDERS]
+    assert peak_bytes(lambda: lm_score.count_into(counts, code, [b"a short text"])) < 1 << 20
+    tables = [np.zeros(1 << 16, np.int16) for _ in lm_score.ORDERS]
+    texts = [np.random.default_rng(i).integers(97, 123, 8000).astype(np.uint8).tobytes() for i in range(100)]
+    few, many = (peak_bytes(lambda n=n: lm_score.log_probabilities(texts[:n], code, tables)) - n * 4 * 8000 for n in (10, 100))
+    assert many < 1.5 * few
+    assert 0 <= code.step.min() and code.step.max() < 256
+
+
+def test_words_and_segments_of_many_texts_equal_each_ones():
+    rng = np.random.default_rng(4)
+    texts = ["", " ", "a", "\n\nTwo  Words\t", "x\x0by\x0cz\r\n\x1c\u00a0\u2003Ä É", "b" * 40, *("".join(rng.choice(list("abc \u00e9\n"), n)) for n in (15, 16, 17, 20, 900, 5000, 0, 3000))]
+    words, owner = lm_score.words_of(pa.array(texts))
+    assert list(zip(owner.tolist(), words.to_pylist(), strict=True)) == [(i, w) for i, t in enumerate(texts) for w in lm_score.lowered(t).split()]
+    data = [lm_score.lowered(t) for t in texts]
+    together = lm_score.segments_of(data)
+    assert len(together) == len(data) and sum(len(x[0]) for x in together) > 20
+    for one, t in zip(together, data, strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(one, lm_score.segments(t), strict=True))
+    assert lm_score.segments_of([]) == []
+
+
 def test_segments_cover_and_repeat():
     rng = np.random.default_rng(2)
     passage = bytes(rng.integers(97, 123, 3000).astype(np.uint8))
