@@ -167,7 +167,8 @@ def first_lookup(spark, sf_dir):
     left = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), reports.detail_url(F.concat(F.lit("/"), k, F.lit("/")), found).alias("detail"))
     # lines of an order can have one number: the first in the file comes first
     place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
-    right = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), "l_linenumber", *place)
+    counted = read(spark, sf_dir, "lineitem").filter("l_partkey IS NOT NULL AND l_linenumber IS NOT NULL")  # as in arg_min
+    right = counted.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), "l_linenumber", *place)
     return reports.first_match(left, right, "id", "l_linenumber", "file", "row")
 
 
